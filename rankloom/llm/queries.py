@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dedup
+from . import near_dedup, repeats
 from .store import table
 
 
@@ -15,8 +15,12 @@ def op5_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_hyperminhash": op5_hyperminhash}
+    return {"op3_suffix_repeats": op3_suffix_repeats, "op5_hyperminhash": op5_hyperminhash}
 
 
 def oracle_sql() -> dict[str, str]:
