@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dedup, repeats
+from . import decontaminate, near_dedup, repeats
 from .store import table
 
 
@@ -19,8 +19,13 @@ def op3_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op8_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = decontaminate.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.report(hits)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_suffix_repeats": op3_suffix_repeats, "op5_hyperminhash": op5_hyperminhash}
+    return {"op3_suffix_repeats": op3_suffix_repeats, "op5_hyperminhash": op5_hyperminhash, "op8_prefix_decontamination": op8_prefix_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
