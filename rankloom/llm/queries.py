@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, mixing, near_dedup, repeats
+from . import decontaminate, fingerprints, mixing, near_dedup, quality, repeats
 from .store import table
 
 
@@ -32,8 +32,12 @@ def op9_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edited(table(spark, sf_dir, "documents"))
 
 
+def op1_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_suffix_repeats": op3_suffix_repeats, "op4_multinomial_mix": op4_multinomial_mix, "op5_hyperminhash": op5_hyperminhash, "op8_prefix_decontamination": op8_prefix_decontamination, "op9_bottom_k": op9_bottom_k}
+    return {"op1_rule_ensemble": op1_rule_ensemble, "op3_suffix_repeats": op3_suffix_repeats, "op4_multinomial_mix": op4_multinomial_mix, "op5_hyperminhash": op5_hyperminhash, "op8_prefix_decontamination": op8_prefix_decontamination, "op9_bottom_k": op9_bottom_k}
 
 
 def oracle_sql() -> dict[str, str]:
