@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, mixing, near_dedup, quality, repeats
-from .store import table
+from . import decontaminate, fingerprints, mixing, near_dedup, quality, repeats, shards
+from .store import fresh, table
 
 
 def op5_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,8 +36,15 @@ def op1_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = shards.shard_documents(table(spark, sf_dir, "documents"), fresh(spark, "shards"))
+    text = F.coalesce("text", F.lit(""))
+    version = F.lit(store.manifest()["version"])
+    return store.read(shard="shard").select("doc_id", "shard", "source", F.octet_length(text).alias("n_bytes"), F.sha2(text, 256).alias("text_sha256"), version.alias("version"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_rule_ensemble": op1_rule_ensemble, "op3_suffix_repeats": op3_suffix_repeats, "op4_multinomial_mix": op4_multinomial_mix, "op5_hyperminhash": op5_hyperminhash, "op8_prefix_decontamination": op8_prefix_decontamination, "op9_bottom_k": op9_bottom_k}
+    return {"op1_rule_ensemble": op1_rule_ensemble, "op2_tiered_shards": op2_tiered_shards, "op3_suffix_repeats": op3_suffix_repeats, "op4_multinomial_mix": op4_multinomial_mix, "op5_hyperminhash": op5_hyperminhash, "op8_prefix_decontamination": op8_prefix_decontamination, "op9_bottom_k": op9_bottom_k}
 
 
 def oracle_sql() -> dict[str, str]:
