@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, mixing, near_dedup, quality, repeats, shards
+from . import decontaminate, fingerprints, mixing, near_dedup, quality, repeats, secrets, shards
 from .store import fresh, table
 
 
@@ -43,8 +43,12 @@ def op2_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read(shard="shard").select("doc_id", "shard", "source", F.octet_length(text).alias("n_bytes"), F.sha2(text, 256).alias("text_sha256"), version.alias("version"))
 
 
+def op6_crf_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_rule_ensemble": op1_rule_ensemble, "op2_tiered_shards": op2_tiered_shards, "op3_suffix_repeats": op3_suffix_repeats, "op4_multinomial_mix": op4_multinomial_mix, "op5_hyperminhash": op5_hyperminhash, "op8_prefix_decontamination": op8_prefix_decontamination, "op9_bottom_k": op9_bottom_k}
+    return {"op1_rule_ensemble": op1_rule_ensemble, "op2_tiered_shards": op2_tiered_shards, "op3_suffix_repeats": op3_suffix_repeats, "op4_multinomial_mix": op4_multinomial_mix, "op5_hyperminhash": op5_hyperminhash, "op6_crf_secrets": op6_crf_secrets, "op8_prefix_decontamination": op8_prefix_decontamination, "op9_bottom_k": op9_bottom_k}
 
 
 def oracle_sql() -> dict[str, str]:
