@@ -9,6 +9,8 @@ Two exact reductions keep the sorted set far below one row per byte:
   grams at equal offsets; a run of windows with one pick is one row.  Runs whose gram
   is unique in the corpus are out.  Runs whose whole context equals another's are
   settled at once: all but the first occurrence repeat.
+* Round 1 does the same with cells of a few windows, ranked by the bytes that all windows
+  of a cell share: a cell whose shared bytes are unique is out.
 * What is left, windows at the edges of repeats, is ranked at every position: names of
   ``base`` bytes first, then Spark sorts rank pairs at offsets base, 2 * base, ...
   dropping positions whose pair is unique, until ranks stand for ``length`` bytes.
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .numbering import numbered
-from .store import kept
+from .store import bounded_batches, kept
 
 _POS = 24
 _LOW = np.uint64((1 << _POS) - 1)
@@ -40,7 +42,7 @@ def _sliding_min(v: np.ndarray, width: int) -> np.ndarray:
 
 
 def _runs(texts: list[bytes], length: int, gram: int):
-    """Of each run of windows with one picked gram: text index, first window start, windows, gram hash, context hash."""
+    """Of each run of windows with one picked gram: text index, first window start, windows, the gram's offset in the first, gram hash, context hash."""
     buf = np.frombuffer(b"".join(texts), np.uint8)
     if len(buf) < length:
         return None
@@ -60,7 +62,7 @@ def _runs(texts: list[bytes], length: int, gram: int):
     s0, n = s[cut], np.diff(np.r_[cut, len(s)])
     p = pick[s0]
     context = W.mix(name(s0, s0 + n - 1 + length) ^ W.mix(((p - s0) * 65536 + n).astype(np.uint64)))
-    return owner[s0], s0 - starts[owner[s0]], n, name(p, p + gram), context
+    return owner[s0], s0 - starts[owner[s0]], n, p - s0, name(p, p + gram), context
 
 
 def _pieces(u: np.ndarray, texts: list[bytes], length: int, most: int = 1 << 23):
@@ -72,7 +74,7 @@ def _pieces(u: np.ndarray, texts: list[bytes], length: int, most: int = 1 << 23)
     return np.array(out_u, np.int64), np.array(out_at, np.int64), out
 
 
-_ANCHOR = "key long, context long, u long, start int, n int"
+_RUN = "key long, context long, u long, start int, n int, offset int"
 
 
 def _first(order: np.ndarray, *columns: np.ndarray) -> np.ndarray:
@@ -100,36 +102,81 @@ def _merged(u: np.ndarray, start: np.ndarray, end: np.ndarray):
     return u[at], start[at], top[np.r_[at[1:] - 1, len(u) - 1]] - shift[at]
 
 
-def _sampled(length: int, gram: int):
+def _combined(length: int, key, context, u, start, n, offset) -> pa.RecordBatch:
+    """Runs with one key and context in this batch but the first are settled here; they pass the exchange as merged spans (n < 0)."""
+    order = np.lexsort((start, u, context, key))
+    first = _first(order, key, context)
+    keep, rest = order[first], order[~first]
+    mu, ms, me = _merged(u[rest], start[rest], start[rest] + n[rest] - 1 + length)
+    none = np.zeros(len(mu), np.int64)
+    columns = (
+        np.r_[key[keep], W.mix(mu.view(np.uint64)).view(np.int64)], np.r_[context[keep], none], np.r_[u[keep], mu],
+        np.r_[start[keep], ms].astype(np.int32), np.r_[n[keep], ms - me].astype(np.int32), np.r_[offset[keep], none].astype(np.int32),
+    )
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "context", "u", "start", "n", "offset"])
+
+
+def _gathered(length: int, parts_of, most: int = 1 << 18):
+    """mapInArrow function: runs of texts from ``parts_of``, combined over some hundred thousand at a time."""
+
     def run(batches):
+        held, total = [], 0
         for batch in batches:
-            ids = batch.column("u").to_numpy(zero_copy_only=False)
-            parts = []
-            for first, texts in W.chunks(batch.column("text")):
-                u, at, pieces = _pieces(ids[first : first + len(texts)], texts, length)
-                if (found := _runs(pieces, length, gram)) is not None:
-                    owner, start, n, key, context = found
-                    parts.append((key.view(np.int64), context.view(np.int64), u[owner], start + at[owner], n))
-            if not parts:
-                continue
-            key, context, u, start, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((start, u, context, key))
-            first = _first(order, key, context)
-            keep, rest = order[first], order[~first]
-            # repeats inside this batch are settled here and only pass through the exchange as merged spans
-            mu, ms, me = _merged(u[rest], start[rest], start[rest] + n[rest] - 1 + length)
-            columns = (
-                np.r_[key[keep], W.mix(mu.view(np.uint64)).view(np.int64)],
-                np.r_[context[keep], np.zeros(len(mu), np.int64)],
-                np.r_[u[keep], mu],
-                np.r_[start[keep], ms].astype(np.int32),
-                np.r_[n[keep], ms - me].astype(np.int32),
-            )
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "context", "u", "start", "n"])
+            for part in parts_of(batch):
+                held.append(part)
+                total += len(part[0])
+                if total >= most:
+                    yield _combined(length, *(np.concatenate(x) for x in zip(*held, strict=True)))
+                    held, total = [], 0
+        if held:
+            yield _combined(length, *(np.concatenate(x) for x in zip(*held, strict=True)))
 
     return run
 
 
+def _sampled(length: int, gram: int):
+    """Round 0: one row for each run of windows that pick one gram."""
+
+    def parts_of(batch):
+        ids = batch.column("u").to_numpy(zero_copy_only=False)
+        for first, texts in W.chunks(batch.column("text")):
+            u, at, pieces = _pieces(ids[first : first + len(texts)], texts, length)
+            if (found := _runs(pieces, length, gram)) is not None:
+                owner, start, n, offset, key, context = found
+                yield key.view(np.int64), context.view(np.int64), u[owner], start + at[owner], n, offset
+
+    return _gathered(length, parts_of)
+
+
+def _cells(length: int, width: int):
+    """Round 1: runs in cells of ``width`` windows, aligned to the gram; the key names the bytes that a cell's windows have in common."""
+
+    def parts_of(batch):
+        ids = batch.column("u").to_numpy(zero_copy_only=False)
+        spans = batch.column("spans")
+        for first, texts in W.chunks(batch.column("text")):
+            packed = [spans[first + k].values.to_numpy(zero_copy_only=False) for k in range(len(texts))]
+            owner = np.repeat(np.arange(len(texts)), [len(x) for x in packed])
+            packed = np.concatenate(packed)
+            base = np.r_[0, np.cumsum([len(t) for t in texts])][owner]
+            start, offset, n = packed >> 16, packed >> 8 & 255, packed & 255
+            high, low = offset // width, (offset - n + 1) // width
+            each = high - low + 1
+            k = np.repeat(np.arange(len(packed)), each)
+            c = high[k] - (np.arange(len(k)) - np.repeat(np.cumsum(each) - each, each))
+            top, bottom = np.minimum(offset[k], c * width + width - 1), np.maximum((offset - n + 1)[k], c * width)
+            p = (start + offset)[k]
+            s, m = p - top, top - bottom + 1
+            h, inverse = W.prefix_hash(np.frombuffer(b"".join(texts), np.uint8))
+            name = lambda a, b: W.mix((h[b] - h[a]) * inverse[a])  # noqa: B023, E731
+            core = base[k] + p - c * width
+            key = W.mix(name(core, core - width + 1 + length) + c.astype(np.uint64))
+            context = W.mix(name(base[k] + s, base[k] + s + m - 1 + length) ^ W.mix((top * 65536 + m).astype(np.uint64)))
+            yield key.view(np.int64), context.view(np.int64), ids[first + owner[k]], s, m, top
+
+    return _gathered(length, parts_of)
+
+
 def _grouped(length: int):
     """Rows sorted by key, context, u, start: spans of settled repeats (n < 0: start..start-n) and windows to rank (n > 0)."""
 
@@ -137,15 +184,15 @@ def _grouped(length: int):
         pending = None  # the last key's only context so far, and its first row
         seen = None  # (key, context, whether the key has several contexts)
         for batch in batches:
-            key, context, u, start, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "context", "u", "start", "n"))
+            key, context, u, start, n, offset = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "context", "u", "start", "n", "offset"))
             done = n < 0
-            out = [(u[done], start[done], n[done])]
-            key, context, u, start, n = (x[~done] for x in (key, context, u, start, n))
+            out = [(u[done], start[done], n[done], offset[done])]
+            key, context, u, start, n, offset = (x[~done] for x in (key, context, u, start, n, offset))
             if len(key):
                 new_key = np.r_[seen is None or key[0] != seen[0], key[1:] != key[:-1]]
                 new = new_key | np.r_[seen is None or context[0] != seen[1], context[1:] != context[:-1]]
                 rest = ~new
-                out.append((u[rest], start[rest], -(n[rest] - 1 + length)))
+                out.append((u[rest], start[rest], -(n[rest] - 1 + length), offset[rest]))
                 at = np.flatnonzero(new)
                 # a first-of-context row is to be ranked if its key has another context before or after
                 before = ~new_key[at]
@@ -155,12 +202,12 @@ def _grouped(length: int):
                 if len(at):
                     pending = None
                 ranked = before | after
-                out.append((u[at[ranked]], start[at[ranked]], n[at[ranked]]))
+                out.append((u[at[ranked]], start[at[ranked]], n[at[ranked]], offset[at[ranked]]))
                 if len(at) and not ranked[-1]:
-                    pending = (u[at[-1]], start[at[-1]], n[at[-1]])
+                    pending = (u[at[-1]], start[at[-1]], n[at[-1]], offset[at[-1]])
                 seen = (key[-1], context[-1])
-            u, start, n = (np.concatenate(x) for x in zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(u.astype(np.int64)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], ["u", "start", "n"])
+            u, *rest = (np.concatenate(x) for x in zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(u.astype(np.int64)), *(pa.array(x.astype(np.int32)) for x in rest)], ["u", "start", "n", "offset"])
 
     return run
 
@@ -254,15 +301,24 @@ def _removed(batches):
             )
 
 
-def repeated_spans(rows: DataFrame, length: int = 100, gram: int = 25, base: int = 50) -> DataFrame:
+def repeated_spans(rows: DataFrame, length: int = 100, gram: int = 25, base: int = 50, width: int = 8) -> DataFrame:
     """(u, spans) of documents with bytes covered by a ``length``-byte string that starts earlier in (u, position) order.
 
     ``rows``: (u, id, text) with unique u.  spans: packed start * 2**32 + end, unmerged.
     Texts shorter than ``length`` have none.
     """
-    anchors = rows.mapInArrow(_sampled(length, gram), _ANCHOR)
-    found = kept(anchors.repartition("key").sortWithinPartitions("key", "context", "u", "start").mapInArrow(_grouped(length), "u long, start int, n int"), "runs")
-    edge = found.where("n > 0").groupBy("u").agg(F.collect_list(F.expr("start * 4294967296L + start + n")).alias("spans"))
+    if not (0 < gram <= length - 2 * width and length <= 255 and 0 < base < length):
+        raise ValueError("gram <= length - 2 * width, base < length <= 255")
+    bounded_batches(rows.sparkSession)
+
+    def settled(runs: DataFrame) -> DataFrame:
+        by_rank = runs.repartition("key").sortWithinPartitions("key", "context", "u", "start")
+        return kept(by_rank.mapInArrow(_grouped(length), "u long, start int, n int, offset int"), "runs")
+
+    sampled = settled(rows.mapInArrow(_sampled(length, gram), _RUN))
+    edge = sampled.where("n > 0").groupBy("u").agg(F.collect_list(F.expr("start * 65536L + offset * 256 + n")).alias("spans"))
+    celled = settled(rows.select("u", "text").join(edge, "u").mapInArrow(_cells(length, width), _RUN))
+    edge = celled.where("n > 0").groupBy("u").agg(F.collect_list(F.expr("start * 4294967296L + start + n")).alias("spans"))
     at = rows.select("u", "text").join(edge, "u").mapInArrow(_positions(length, base), "u long, s int, x long, y long")
     h = base
     while 2 * h < length:
@@ -276,7 +332,8 @@ def repeated_spans(rows: DataFrame, length: int = 100, gram: int = 25, base: int
         at = kept(at, "ranks")
         at = at.join(at.select("u", (F.col("s") - (length - h)).alias("s"), F.col("x").alias("y")), ["u", "s"])
     late = at.repartition("x", "y").sortWithinPartitions("x", "y", "u", "s").mapInArrow(_ranked(True, length), "u long, start int, n int")
-    spans = found.where("n < 0").unionByName(late)
+    late = kept(late, "late")
+    spans = sampled.where("n < 0").unionByName(celled.where("n < 0")).select("u", "start", "n").unionByName(late)
     return spans.groupBy("u").agg(F.collect_list(F.expr("start * 4294967296L + start - n")).alias("spans"))
 
 
