@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, html_text, mixing, near_dedup, quality, repeats, secrets, shards
+from . import decontaminate, fingerprints, html_text, lm, mixing, near_dedup, quality, repeats, secrets, shards
 from .store import fresh, table
 
 
@@ -51,8 +51,12 @@ def op7_consensus_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(table(spark, sf_dir, "pages"))
 
 
+def op10_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_rule_ensemble": op1_rule_ensemble, "op2_tiered_shards": op2_tiered_shards, "op3_suffix_repeats": op3_suffix_repeats, "op4_multinomial_mix": op4_multinomial_mix, "op5_hyperminhash": op5_hyperminhash, "op6_crf_secrets": op6_crf_secrets, "op7_consensus_paths": op7_consensus_paths, "op8_prefix_decontamination": op8_prefix_decontamination, "op9_bottom_k": op9_bottom_k}
+    return {"op1_rule_ensemble": op1_rule_ensemble, "op2_tiered_shards": op2_tiered_shards, "op3_suffix_repeats": op3_suffix_repeats, "op4_multinomial_mix": op4_multinomial_mix, "op5_hyperminhash": op5_hyperminhash, "op6_crf_secrets": op6_crf_secrets, "op7_consensus_paths": op7_consensus_paths, "op8_prefix_decontamination": op8_prefix_decontamination, "op9_bottom_k": op9_bottom_k, "op10_attention_lm": op10_attention_lm}
 
 
 def oracle_sql() -> dict[str, str]:
