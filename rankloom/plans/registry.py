@@ -1,11 +1,456 @@
-"""Named queries over the synthetic tables and their SQL counterparts."""
+"""Named queries over the synthetic tables and their SQL counterparts.
+
+Each query gets its rows through the package's operators; the SQL beside it states the
+same result for DuckDB, where SQL can.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rankloom.functions import exprs as X
+from rankloom.functions import vectors as V
+from rankloom.operators import aggregate, dedup, graph, judge, linear, pairs
+from rankloom.operators.filters import HullConfig, RecallConfig
+from rankloom.plans import pipelines
+from rankloom.plans.testdata import decisions, jobs, read, sql_decisions, sql_jobs
+from rankloom.sources import files, slugs
+
+_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_sql: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        _queries[f.__name__] = f
+        if sql is not None:
+            _sql[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_sql)
+
+
+JOBS, DECISIONS, ACYCLIC = sql_jobs(), sql_decisions(), sql_decisions(acyclic=True)
+HULL = HullConfig(functions=("medium", "standard", "small", "promo"), levels=("Senior", "Staff"), country="US", remote=True, titles=("widget", "gear", "lead small"), min_comp=50)
+RECALL = RecallConfig(functions=("medium", "standard", "small"), country="US", min_comp=40, seeds=("red", "small gizmo", "brand#4"))
+WEIGHTS = [((k % 7) - 3) / 10 for k in range(64)]
+
+_DEDUP = "partition by lower(coalesce(coalesce(nullif(company_name, ''), company), 'None')), lower(coalesce(title, 'None'))"
+_SQL_WEIGHTS = "[" + ", ".join(f"cast({w} as double)" for w in WEIGHTS) + "]"
+_VEC = "list_transform({v}, lambda x: cast(x as double))"
+_DOT = f"list_sum(list_transform(list_zip({_VEC}, {_SQL_WEIGHTS}), lambda p: p[1] * p[2]))"
+_NORM = f"sqrt(list_sum(list_transform({_VEC}, lambda x: x * x)))"
+
+
+def _hull_sql(titles: tuple[str, ...], comp: str, flags: str) -> str:
+    title = " or ".join(f"contains(lower(coalesce(title, '')), '{t}') or coalesce(len(list_filter(alt_titles, lambda a: contains(lower(coalesce(a, '')), '{t}'))) > 0, false)" for t in titles)
+    return f"""select id, coalesce(nullif(company_name, ''), company) as company, title, url, level, sub_function, remote_scope, country_code,
+      salary_min_k, salary_max_k, array_to_string(skills, '|') as skills, array_to_string(alt_titles, '|') as alt_titles
+    from (select *, row_number() over ({_DEDUP} order by id) as place from {JOBS} j
+      where function in ('medium', 'standard', 'small', 'promo') and level in ('Senior', 'Staff') and work_mode in ('fully_remote', 'remote_first')
+        and (country_code = 'US' or remote_scope in ('us-only', 'us-canada')) {comp} {flags} and ({title})) where place = 1"""
+
+
+_FLOOR = "and coalesce(nullif(salary_max_k, 0), -1) >= 50"
+_FLAGS = "and not coalesce(is_staffing, false) and not coalesce(management, false)"
+
+
+def _flat(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.array_join(c, "|") for c in ("skills", "alt_titles")})
+
+
+@query(_hull_sql(HULL.titles, _FLOOR, _FLAGS))
+def hull_filter(spark, sf):
+    return _flat(pipelines.hull(jobs(spark, sf), HULL))
+
+
+@query(_hull_sql(("ring", "bolt"), "", ""))
+def hull_no_floor(spark, sf):
+    return _flat(pipelines.hull(jobs(spark, sf), HullConfig(**{**HULL.__dict__, "titles": ("Ring ", "bolt"), "min_comp": 0, "include_staffing": True, "include_management": True})))
+
+
+@query(_hull_sql(HULL.titles, "and (coalesce(nullif(salary_max_k, 0), -1) >= 50 or coalesce(nullif(salary_max_k, 0), -1) <= 0)", _FLAGS + " and visa_sponsorship = 'yes'"))
+def hull_keep_unknown_comp(spark, sf):
+    return _flat(pipelines.hull(jobs(spark, sf), HullConfig(**{**HULL.__dict__, "unknown_comp": "keep", "require_visa": True})))
+
+
+@query(f"select id, title, work_mode, level, is_staffing from {JOBS} j where level = 'Senior' and is_staffing = false order by id limit 25")
+def stream_where_limit(spark, sf):
+    return files.stream_rows(jobs(spark, sf), ["id", "title", "work_mode"], where=files.parse_where("level=Senior,is_staffing=False,ignored"), limit=25, order="id")
+
+
+@query(f"select id, title, cast(null as varchar) as nope from {JOBS} j where company_name is null")
+def stream_missing_column(spark, sf):
+    return files.stream_rows(jobs(spark, sf), ["id", "title", "absent"], where={"nope": "None", "company_name": "None"}).drop("company_name")
+
+
+@query(f"select * exclude (skills, alt_titles, jd_embedding), array_to_string(skills, '|') as skills, array_to_string(alt_titles, '|') as alt_titles from {JOBS} j")
+def stream_without_embeddings(spark, sf):
+    return _flat(files.stream_rows(jobs(spark, sf), embeddings=False))
+
+
+@query("select event_id, event_type, value, props, cast(null as varchar) as note from events")
+def jsonl_row(spark, sf):
+    rows = files.to_jsonl(read(spark, sf, "events").select("event_id", "event_type", "value", "props", F.lit(None).cast("string").alias("note")))
+    return rows.select(F.from_json("value", "event_id long, event_type string, value double, props string, note string").alias("r")).select("r.*")
+
+
+_HAY = "concat_ws(' ', lower(coalesce(title, '')), array_to_string(alt_titles, ' '), array_to_string(skills, ' '), lower(coalesce(sub_function, '')))"
+
+
+@query(f"select id, {_HAY} as hay from {JOBS} j where contains({_HAY}, 'red') or contains({_HAY}, 'small gizmo') or contains({_HAY}, 'brand#4')")
+def seed_haystack(spark, sf):
+    return jobs(spark, sf).where(RECALL.is_seed()).select("id", RECALL.haystack().alias("hay"))
+
+
+@query(f"select id, array_to_string(list_filter(['brand#4', 'red', 'small gizmo'], lambda s: contains({_HAY}, s)), ',') as hits from {JOBS} j")
+def seed_hits(spark, sf):
+    return jobs(spark, sf).select("id", F.array_join(X.hits(RECALL.haystack(), X.terms_of(RECALL.seeds)), ",").alias("hits"))
+
+
+_CLASS = f"case when function in ('medium', 'standard', 'small') and (contains({_HAY}, 'red') or contains({_HAY}, 'small gizmo') or contains({_HAY}, 'brand#4')) then 'pos' when function in ('medium', 'standard', 'small') then 'hard' else 'easy' end"
+
+
+@query(f"select id, class from (select id, class, row_number() over (partition by class order by id) as place from (select id, {_CLASS} as class from {JOBS} j where jd_embedding is not null)) where place <= 40")
+def first_n_per_class(spark, sf):
+    return dedup.first_n(pipelines.classed(jobs(spark, sf), RECALL).select("id", "class"), "class", "id", 40)
+
+
+@query(f"select class, count(*) as n from (select {_CLASS} as class from {JOBS} j where jd_embedding is not null) group by class")
+def class_counts(spark, sf):
+    return pipelines.classed(jobs(spark, sf), RECALL).groupBy("class").agg(F.count("*").alias("n"))
+
+
+_RECALL_WHERE = """jd_embedding is not null and function in ('medium', 'standard', 'small') and (country_code = 'US' or remote_scope in ('us-only', 'us-canada')) and coalesce(nullif(salary_max_k, 0), -1) >= 40
+  and not coalesce(is_staffing, false) and not coalesce(management, false) and coalesce(nullif(salary_currency, ''), 'USD') = 'USD'"""
+
+
+@query(f"select id, title, salary_currency from {JOBS} j where {_RECALL_WHERE}")
+def recall_filter(spark, sf):
+    return jobs(spark, sf).where(F.col("jd_embedding").isNotNull() & RECALL.column()).select("id", "title", "salary_currency")
+
+
+@query(f"select vec_id, round({_NORM.format(v='embedding')}, 4) as length, round(cast(embedding[1] as double) / ({_NORM.format(v='embedding')} + 1e-9), 4) as first, round(cast(embedding[64] as double) / ({_NORM.format(v='embedding')} + 1e-9), 4) as last from embeddings")
+def vector_normalise(spark, sf):
+    v = V.doubles(F.col("embedding"))
+    return read(spark, sf, "embeddings").select("vec_id", F.round(V.norm(v), 4).alias("length"), F.round(V.unit(v)[0], 4).alias("first"), F.round(V.unit(v)[63], 4).alias("last"))
+
+
+@query(f"select vec_id, round({_DOT.format(v='embedding')}, 4) as score from embeddings")
+def linear_score(spark, sf):
+    return linear.linear_score(read(spark, sf, "embeddings"), "embedding", WEIGHTS).select("vec_id", F.round("score", 4).alias("score"))
+
+
+@query(f"select id, title, round(score, 4) as score from (select *, row_number() over ({_DEDUP} order by score desc, id) as place from (select *, {_DOT.format(v='jd_embedding')} as score from {JOBS} j where jd_embedding is not null)) where place = 1")
+def dedup_best(spark, sf):
+    rows = linear.linear_score(jobs(spark, sf).where("jd_embedding is not null"), "jd_embedding", WEIGHTS)
+    return dedup.best_by(rows, dedup.company_title_key(), "score", "id").select("id", "title", F.round("score", 4).alias("score"))
+
+
+@query("select user_id, event_id, event_type, value from (select *, row_number() over (partition by user_id order by event_id desc) as place from events) where place = 1")
+def keep_last(spark, sf):
+    return dedup.last_by(read(spark, sf, "events").select("user_id", "event_id", "event_type", "value"), ["user_id"], "event_id")
+
+
+@query(f"select j.id, substr(coalesce(d.text, ''), 1, 4000) as jd from {JOBS} j join documents d on d.doc_id = j.id where j.level = 'Staff'")
+def fetch_jd(spark, sf):
+    corpus = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    wanted = jobs(spark, sf).where("level = 'Staff'").select("id")
+    return corpus.join(wanted, "id").select("id", F.substring(X.text(F.col("text")), 1, judge.PAIR_TEXT).alias("jd"))
+
+
+@query(f"select id, title from {JOBS} j where id not in (select doc_id from labels)")
+def undone(spark, sf):
+    done = read(spark, sf, "labels").select(F.col("doc_id").alias("id")).distinct()
+    return jobs(spark, sf).join(done, "id", "left_anti").select("id", "title")
+
+
+@query(f"select id, length(jd_markdown) as n from {JOBS} j where jd_markdown is not null and regexp_matches(jd_markdown, '[^[:space:] ]')")
+def jd_present(spark, sf):
+    return jobs(spark, sf).where(X.is_filled(F.col("jd_markdown"))).select("id", F.length("jd_markdown").cast("long").alias("n"))
+
+
+@query(f"select a_id, b_id, winner from {DECISIONS} d where a_id in (select vec_id from embeddings where label < 5) and b_id in (select vec_id from embeddings where label < 5)")
+def decision_closed(spark, sf):
+    ids = read(spark, sf, "embeddings").where("label < 5").select(F.col("vec_id").alias("id"))
+    return graph.closed(decisions(spark, sf), ids).select("a_id", "b_id", "winner")
+
+
+@query(f"select case when winner = 'A' then a_id else b_id end as src, case when winner = 'A' then b_id else a_id end as dst, count(*) as n from {DECISIONS} d group by 1, 2")
+def preference_edges(spark, sf):
+    return graph.edges(decisions(spark, sf)).groupBy("src", "dst").agg(F.count("*").alias("n"))
+
+
+@query(f"select id, count(*) as comparisons from (select a_id as id from {DECISIONS} d union all select b_id from {DECISIONS} d) group by id")
+def degree(spark, sf):
+    return graph.degree(decisions(spark, sf))
+
+
+_EDGE = f"(select case when winner = 'A' then a_id else b_id end as src, case when winner = 'A' then b_id else a_id end as dst from {DECISIONS} d)"
+
+
+@query(f"select g.i, g.j, g.n, w.wins from (select i, j, count(*) as n from (select src as i, dst as j from {_EDGE} e union all select dst, src from {_EDGE} e) group by i, j) g join (select id, sum(w) as wins from (select src as id, 1 as w from {_EDGE} e union all select dst, 0 from {_EDGE} e) group by id) w on w.id = g.i")
+def games_wins(spark, sf):
+    d = decisions(spark, sf)
+    return graph.games(d).join(graph.wins(d).withColumnRenamed("id", "i"), "i").select("i", "j", "n", "wins")
+
+
+@query(f"select least(a_id, b_id) as lo, greatest(a_id, b_id) as hi, case when (winner = 'A') = (a_id < b_id) then 1 else 0 end as lo_won from {DECISIONS} d")
+def pair_normalise(spark, sf):
+    return graph.pairs(decisions(spark, sf))
+
+
+@query(f"select x.a_id, x.b_id, case when max(case when (d.winner = 'A') = (d.a_id < d.b_id) then 1 else 0 end) = (case when x.a_id < x.b_id then 1 else 0 end) then 'A' else 'B' end as winner from (select vec_id as a_id, (vec_id * 7 + 13) % 500 as b_id from embeddings where vec_id < 500 union all select (vec_id * 7 + 26) % 500, vec_id from embeddings where vec_id < 500) x join {DECISIONS} d on least(x.a_id, x.b_id) = least(d.a_id, d.b_id) and greatest(x.a_id, x.b_id) = greatest(d.a_id, d.b_id) group by x.a_id, x.b_id")
+def memo_replay(spark, sf):
+    ids = read(spark, sf, "embeddings").where("vec_id < 500")
+    asked = ids.selectExpr("vec_id as a_id", "(vec_id * 7 + 13) % 500 as b_id").unionByName(ids.selectExpr("(vec_id * 7 + 26) % 500 as a_id", "vec_id as b_id")).distinct()
+    return judge.with_memo(asked, decisions(spark, sf))[0]
+
+
+@query("select cast(place as integer) as place, round(avg(x), 4) as mean, round(stddev_pop(x) + 1e-9, 4) as std from (select unnest(range(64)) as place, unnest(list_transform(embedding, lambda x: cast(x as double))) as x from embeddings) group by place")
+def vector_mean_std(spark, sf):
+    return linear.mean_std(read(spark, sf, "embeddings"), "embedding").select("place", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"))
+
+
+@query(f"select d.a_id, d.b_id, round(cast(a.embedding[1] as double) - cast(b.embedding[1] as double), 4) as first, round(cast(a.embedding[64] as double) - cast(b.embedding[64] as double), 4) as last, case when winner = 'A' then 1.0::double else 0.0::double end as y from {DECISIONS} d join embeddings a on a.vec_id = d.a_id join embeddings b on b.vec_id = d.b_id")
+def edge_diff(spark, sf):
+    out = linear.edge_diff(decisions(spark, sf), read(spark, sf, "embeddings"), "vec_id", "embedding")
+    return out.select("a_id", "b_id", F.round(F.col("x")[0], 4).alias("first"), F.round(F.col("x")[63], 4).alias("last"), "y")
+
+
+@query("select cast(i as integer) as i, cast(j as integer) as j, round(sum(cast(embedding[i + 1] as double) * cast(embedding[j + 1] as double)), 4) as x from embeddings, (select unnest(range(8)) as i) a, (select unnest(range(8)) as j) b group by 1, 2")
+def gram(spark, sf):
+    xx, *_ = linear.gram(read(spark, sf, "embeddings").withColumn("v", F.slice("embedding", 1, 8)), "v")
+    return spark.createDataFrame([(i, j, round(float(xx[i, j]), 4)) for i in range(8) for j in range(8)], "i int, j int, x double")
+
+
+_BT = sql_decisions(200)
+_BT_EDGE = f"(select case when winner = 'A' then a_id else b_id end as src, case when winner = 'A' then b_id else a_id end as dst from {_BT} d)"
+
+
+def _bt_sql(rounds: int) -> str:
+    steps = [
+        f"g as (select i, j, count(*) as n from (select src as i, dst as j from {_BT_EDGE} e union all select dst, src from {_BT_EDGE} e) group by i, j)",
+        f"p0 as (select id, sum(w) as wins, cast(1 as double) as p from (select src as id, 1 as w from {_BT_EDGE} e union all select dst, 0 from {_BT_EDGE} e) group by id)",
+    ]
+    for k in range(rounds):
+        steps.append(f"q{k} as (select x.id, x.wins, (x.wins + 0.5) / (coalesce(s.load, 0) + 1.0 / (x.p + 1)) as p from p{k} x left join (select g.i, sum(g.n / (a.p + b.p)) as load from g join p{k} a on a.id = g.i join p{k} b on b.id = g.j group by g.i) s on s.i = x.id)")
+        steps.append(f"p{k + 1} as (select id, wins, p / (select exp(avg(ln(greatest(p, 1e-12)))) from q{k}) as p from q{k})")
+    return f"with {', '.join(steps)} select id, wins, round(p, 4) as strength from p{rounds}"
+
+
+@query(_bt_sql(3))
+def bt_3_iters(spark, sf):
+    return aggregate.bt_tables(decisions(spark, sf, 200), 3).select("id", "wins", F.round("p", 4).alias("strength"))
+
+
+def _fuse_sql(rounds: int) -> str:
+    prior = f"select vec_id as id, {_DOT.format(v='embedding')} as s from embeddings where vec_id < 200"
+    steps = [f"t0 as (select id, s, s as theta from ({prior}))"]
+    for k in range(rounds):
+        r = f"(select d.a_id, d.b_id, (case when winner = 'A' then 1.0 else 0.0 end) - 1 / (1 + exp(b.theta - a.theta)) as r from {_BT} d join t{k} a on a.id = d.a_id join t{k} b on b.id = d.b_id)"
+        g = f"(select id, sum(g) as g from (select a_id as id, r as g from {r} x union all select b_id, -r from {r} x) group by id)"
+        steps.append(f"t{k + 1} as (select t.id, t.s, t.theta + 0.5 * (coalesce(g.g, 0) / (select count(*) from {_BT} d) - (t.theta - t.s) / (select count(*) from t{k})) as theta from t{k} t left join {g} g on g.id = t.id)")
+    return f"with {', '.join(steps)} select id, round(theta, 4) as theta from t{rounds}"
+
+
+@query(_fuse_sql(3))
+def fuse_3_iters(spark, sf):
+    prior = linear.linear_score(read(spark, sf, "embeddings").where("vec_id < 200"), "embedding", WEIGHTS, name="s").select(F.col("vec_id").alias("id"), "s")
+    return aggregate.fuse_tables(prior, decisions(spark, sf, 200), iterations=3).select("id", F.round("theta", 4).alias("theta"))
+
+
+_REACH = f"r as (select src, dst from {_EDGE} e union select r.src, e.dst from r join {_EDGE} e on e.src = r.dst)"
+_NODES = f"(select src as id from {_EDGE} e union select dst from {_EDGE} e)"
+_SCC = f"(select n.id, least(n.id, coalesce(min(a.dst), n.id)) as component from {_NODES} n left join (select x.src, x.dst from r x join r y on y.src = x.dst and y.dst = x.src) a on a.src = n.id group by n.id)"
+
+
+@query(f"with recursive {_REACH} select id, component from {_SCC} c")
+def scc_members(spark, sf):
+    return graph.strong_components(graph.edges(decisions(spark, sf)))
+
+
+@query(f"with recursive {_REACH} select c.component, round(max({_DOT.format(v='e.embedding')}), 4) as best, count(*) as members from {_SCC} c join embeddings e on e.vec_id = c.id group by c.component")
+def component_max(spark, sf):
+    scores = linear.linear_score(read(spark, sf, "embeddings"), "embedding", WEIGHTS).select(F.col("vec_id").alias("id"), "score")
+    return graph.strong_components(graph.edges(decisions(spark, sf))).join(scores, "id").groupBy("component").agg(F.round(F.max("score"), 4).alias("best"), F.count("*").alias("members"))
+
+
+@query(f"with recursive {_REACH} select count(*) as in_cycles from (select id, count(*) over (partition by component) as n from {_SCC} c) where n > 1")
+def nodes_in_cycles(spark, sf):
+    sizes = graph.strong_components(graph.edges(decisions(spark, sf))).groupBy("component").agg(F.count("*").alias("n"))
+    return sizes.where("n > 1").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("in_cycles"))
+
+
+@query(f"with recursive {_REACH} select src, dst from r")
+def closure(spark, sf):
+    return graph.closure(graph.edges(decisions(spark, sf)))
+
+
+_ASKED = "(select a.vec_id as a_id, (a.vec_id * 11 + 3) % 500 as b_id from embeddings a where a.vec_id < 500)"
+
+
+@query(f"with recursive {_REACH} select a_id, b_id from {_ASKED} p where not exists (select 1 from r where r.src = p.a_id and r.dst = p.b_id) and not exists (select 1 from r where r.src = p.b_id and r.dst = p.a_id)")
+def incomparable_pairs(spark, sf):
+    asked = read(spark, sf, "embeddings").where("vec_id < 500").selectExpr("vec_id as a_id", "(vec_id * 11 + 3) % 500 as b_id")
+    return graph.incomparable(asked, graph.closure(graph.edges(decisions(spark, sf))))
+
+
+@query(f"select round(avg(case when a.pos < b.pos then 1.0 else 0.0 end), 4) as fidelity from {_EDGE} e join (select vec_id as id, row_number() over (order by embedding[1] desc, vec_id) as pos from embeddings where vec_id < 500) a on a.id = e.src join (select vec_id as id, row_number() over (order by embedding[1] desc, vec_id) as pos from embeddings where vec_id < 500) b on b.id = e.dst")
+def fidelity(spark, sf):
+    order = pipelines.numbered(read(spark, sf, "embeddings").where("vec_id < 500").select(F.col("vec_id").alias("id"), F.col("embedding")[0].alias("u")), [F.desc("u"), "id"]).select("id", F.col("rank").alias("pos"))
+    return graph.fidelity(graph.edges(decisions(spark, sf)), order).select(F.round("fidelity", 4).alias("fidelity"))
+
+
+@query(f"select round(avg(case when (a.theta > b.theta) = (d.winner = 'A') then 1.0 else 0.0 end), 4) as agreement from {DECISIONS} d join (select vec_id as id, {_DOT.format(v='embedding')} as theta from embeddings) a on a.id = d.a_id join (select vec_id as id, {_DOT.format(v='embedding')} as theta from embeddings) b on b.id = d.b_id")
+def agreement(spark, sf):
+    scores = linear.linear_score(read(spark, sf, "embeddings"), "embedding", WEIGHTS, name="theta").select(F.col("vec_id").alias("id"), "theta")
+    return graph.agreement(decisions(spark, sf), scores).select(F.round("agreement", 4).alias("agreement"))
+
+
+@query(f"with g as (select id, count(*) as n from (select a_id as id from {_BT} d union all select b_id from {_BT} d) group by id) select j.id, j.title, coalesce(g.n, 0) as comparisons, g.n is not null as compared, row_number() over (order by (case when g.n is null then 1 else 0 end), coalesce(g.n, 0) desc, j.id) as rank from {JOBS} j left join g on g.id = j.id where j.id < 300")
+def uncompared_append(spark, sf):
+    some, met = jobs(spark, sf).where("id < 300").select("id", "title"), graph.degree(decisions(spark, sf, 200))
+    ranked = met.join(some, "id", "left").withColumn("compared", F.lit(True)).where("title is not null")
+    rest = some.join(met, "id", "left_anti").withColumns({"comparisons": F.lit(0).cast("long"), "compared": F.lit(False)})
+    both = ranked.unionByName(rest.select(*ranked.columns))
+    return pipelines.numbered(both, [F.desc("compared"), F.desc("comparisons"), "id"]).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(f"select id, concat(coalesce(company, 'None'), ': ', coalesce(title, 'None')) as label, case when salary_min_k > 0 then concat('$', cast(cast(salary_min_k as bigint) as varchar), '-', case when salary_max_k > 0 then cast(cast(salary_max_k as bigint) as varchar) else '?' end, 'k') else '' end as salary, rpad(substr(coalesce(title, ''), 1, 8), 8, ' ') as cell, case when id % 4 > 0 then concat('[', cast(id % 4 as varchar), 'cmp]') else '[imputed]' end as tag, coalesce(jd_markdown, '') = '' as blank from {JOBS} j")
+def cli_labels(spark, sf):
+    return jobs(spark, sf).select("id", X.label(F.col("company"), F.col("title")).alias("label"), X.salary(F.col("salary_min_k"), F.col("salary_max_k")).alias("salary"), X.fixed(F.col("title"), 8).alias("cell"), X.compared(F.col("id") % 4).alias("tag"), (X.text(F.col("jd_markdown")) == "").alias("blank"))
+
+
+@query("select o_orderkey, n, case when n < 1024 then concat(printf('%.1f', n), 'B') when n < 1048576 then concat(printf('%.1f', n / 1024), 'KB') when n < 1073741824 then concat(printf('%.1f', n / 1048576), 'MB') else concat(printf('%.1f', n / 1073741824), 'GB') end as size from (select o_orderkey, cast(o_orderkey as double) * o_custkey as n from orders)")
+def human_size(spark, sf):
+    rows = read(spark, sf, "orders").select("o_orderkey", (F.col("o_orderkey").cast("double") * F.col("o_custkey")).alias("n"))
+    return rows.withColumn("size", X.human_size(F.col("n")))
+
+
+@query("select page_id, regexp_extract(url, '^https?://(?:www\\.|blog\\.|m\\.)?([^./]+)\\.example\\.(?:com|net|org)', 1) as slug from pages where regexp_extract(url, '^https?://(?:www\\.|blog\\.|m\\.)?([^./]+)\\.example\\.(?:com|net|org)', 1) <> ''")
+def slug_from_url(spark, sf):
+    pattern = (("greenhouse", r"^https?://(?:www\.|blog\.|m\.)?([^./]+)\.example\.(?:com|net|org)"),)
+    return read(spark, sf, "pages").select("page_id", slugs.from_url(F.col("url"), pattern)["slug"].alias("slug")).where("slug is not null")
+
+
+@query("select distinct ats, case when ats in ('smartrecruiters', 'workday') then slug else lower(slug) end as slug from (select case p_size % 3 when 0 then 'lever' when 1 then 'workday' else 'nosuch' end as ats, trim(p_brand) as slug from part where p_partkey % 4 <> 0) where ats <> 'nosuch' and not (ats = 'lever' and lower(slug) in (select lower(p_brand) from part where p_partkey % 50 = 0))")
+def slug_lines(spark, sf):
+    part = read(spark, sf, "part")
+    system = F.expr("case p_size % 3 when 0 then 'lever' when 1 then 'Workday' else 'nosuch' end")
+    line = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("# "), system, F.lit(","), F.col("p_brand"))).otherwise(F.concat(F.lit(" "), system, F.lit(" , "), F.col("p_brand")))
+    registry = part.where("p_partkey % 50 = 0").select(F.lit("lever").alias("ats"), F.lower("p_brand").alias("slug")).distinct()
+    return slugs.missing(slugs.parse_lines(part.select(line.alias("value"))).distinct(), registry)
+
+
+@query("select p_partkey, case when p_size * 2 >= 90 then 'strong' when p_size * 2 >= 70 then 'solid' when p_size * 2 >= 50 then 'stretch' else 'weak' end as verdict from part")
+def verdict_band(spark, sf):
+    return read(spark, sf, "part").select("p_partkey", X.verdict(F.col("p_size") * 2).alias("verdict"))
+
+
+@query(f"select count(*) as n, count(*) filter (where jd_embedding is null) as missing, count(*) filter (where coalesce(is_staffing, false)) as staffing, count(*) filter (where jd_markdown is null) as without_text from {JOBS} j")
+def summary_counts(spark, sf):
+    return jobs(spark, sf).agg(F.count("*").alias("n"), F.count_if(F.col("jd_embedding").isNull()).alias("missing"), F.count_if(X.flag(F.col("is_staffing"))).alias("staffing"), F.count_if(F.col("jd_markdown").isNull()).alias("without_text"))
+
+
+@query(f"""select id from {JOBS} j where level in ('Senior', 'Staff') and not coalesce(is_staffing, false) and not coalesce(management, false) and
+  (contains(lower(coalesce(title, '')), 'gear') or coalesce(len(list_filter(alt_titles, lambda a: contains(lower(coalesce(a, '')), 'gear'))) > 0, false)
+   or coalesce({_DOT.format(v='jd_embedding')} / (({_NORM.format(v='jd_embedding')} + 1e-9) * (sqrt(list_sum(list_transform({_SQL_WEIGHTS}, lambda x: x * x))) + 1e-9)) >= 0.1, false))""")
+def semantic_union(spark, sf):
+    return pipelines.semantic_union(jobs(spark, sf), HullConfig(levels=("Senior", "Staff"), titles=("gear",)), WEIGHTS, 0.1)
+
+
+@query("select vec_id as id, row_number() over (order by embedding[1] desc, vec_id) as rank from embeddings where vec_id < 500 order by rank limit 20")
+def ranked_head(spark, sf):
+    rows = read(spark, sf, "embeddings").where("vec_id < 500").select(F.col("vec_id").alias("id"), F.col("embedding")[0].alias("u"))
+    return pipelines.numbered(rows, [F.desc("u"), "id"]).orderBy("rank").limit(20).select("id", F.col("rank").cast("long").alias("rank"))
+
+
+# what SQL doesn't express: fits, sequential orders, sampling
+
+
+def _people(spark, sf, most: int = 500) -> DataFrame:
+    rows = read(spark, sf, "embeddings").where(F.col("vec_id") < most)
+    return rows.select(F.col("vec_id").alias("id"), F.concat(F.lit("company "), F.col("label")).alias("company"), F.concat(F.lit("title "), F.col("vec_id")).alias("title"), "embedding", F.col("embedding")[0].cast("double").alias("utility"))
+
+
+@query()
+def ridge_rank(spark, sf):
+    return _flat(pipelines.recall_rank(jobs(spark, sf), RECALL)[0]).withColumn("seed_hits", F.array_join("seed_hits", ","))
+
+
+@query()
+def pca_logistic(spark, sf):
+    people = _people(spark, sf)
+    model = linear.fit_preference(people, decisions(spark, sf), "id", "embedding")
+    return linear.preference_scores(model, people, "embedding").select("id", F.round("model_score", 4).alias("model_score"))
+
+
+@query()
+def distilled_scores(spark, sf):
+    model = linear.fit_preference(_people(spark, sf), decisions(spark, sf), "id", "embedding")
+    return linear.preference_scores(model, jobs(spark, sf), "jd_embedding").select("id", F.round("model_score", 4).alias("model_score"))
+
+
+@query()
+def gold_rank(spark, sf):
+    people = _people(spark, sf)
+    scored = linear.preference_scores(linear.fit_preference(people, decisions(spark, sf), "id", "embedding"), people, "embedding")
+    return aggregate.gold_rank(scored, decisions(spark, sf))[0].select("rank", "id", "company", "title", F.round("model_score", 4).alias("model_score"), "comparisons", "compared")
+
+
+@query()
+def soft_fuse(spark, sf):
+    people = _people(spark, sf)
+    scored = linear.preference_scores(linear.fit_preference(people, decisions(spark, sf), "id", "embedding"), people, "embedding")
+    return aggregate.fuse_rank(scored, decisions(spark, sf))[0].select("rank", "id", "company", "title", "fused_strength", "model_prior", "comparisons", "compared")
+
+
+@query()
+def bradley_terry(spark, sf):
+    return aggregate.bt_rank(_people(spark, sf).select("id", "company", "title"), decisions(spark, sf, 400))
+
+
+@query()
+def random_pairs(spark, sf):
+    return pairs.random_pairs(_people(spark, sf), per_item=3)
+
+
+def _asking(spark, sf, most: int):
+    people = _people(spark, sf, most).select("id", "company", "title", "utility")
+    ids = [r["id"] for r in people.select("id").orderBy("id").collect()]
+    return ids, pairs.ask_with(lambda t: judge.decide(t, judge.UtilityJudge()), people)
+
+
+@query()
+def gated_sampling(spark, sf):
+    ids, ask = _asking(spark, sf, 64)
+    return spark.createDataFrame(pairs.gated_sampling(ids, ask, per_item=6, batch=128), "a_id long, b_id long, first boolean")
+
+
+@query("select vec_id as id, row_number() over (order by cast(embedding[1] as double) desc, vec_id desc) as rank from embeddings where vec_id < 24")
+def merge_sort(spark, sf):
+    ids, ask = _asking(spark, sf, 24)
+    return spark.createDataFrame([(v, k + 1) for k, v in enumerate(pairs.merge_sort(ids, ask))], "id long, rank long")
+
 
-def queries():
-    return {}
+RESUME = "An invented engineer who has built standard and economy widgets with small teams, led brand#4 work on promo gear, and would rather write tests than meetings notes."
 
 
-def oracle_sql():
-    return {}
+@query()
+def match_scores(spark, sf):
+    done = read(spark, sf, "labels").select(F.col("doc_id").alias("id"))
+    rows = jobs(spark, sf).select("id", "company", "title", "url", "skills", "jd_markdown")
+    out = judge.score_fits(rows, judge.OverlapFit(), RESUME, done)
+    return out.withColumns({c: F.array_join(c, "|") for c in ("strengths", "gaps")})
