@@ -179,6 +179,8 @@ class ShardStore:
             return out
         # as many rows as shards: the manifest, which the driver holds anyway
         number = self.spark.createDataFrame([(s["path"], k) for k, s in enumerate(m["shards"])], "_path string, _number int")
+        if len(m["shards"]) <= 100_000:  # some ten megabytes; beyond that the join is planned by size
+            number = F.broadcast(number)
         name = out.metadataColumn("_metadata")["file_path"]
         columns = [F.col(f"`{c}`") for c in out.columns]
         return out.select(*columns, name.alias("_path_of")).join(number, F.col("_path_of") == F.col("_path")).select(*columns, F.col("_number").alias(shard))
