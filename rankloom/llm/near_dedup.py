@@ -9,23 +9,27 @@ drops those far below the threshold, and whole sets confirm the rest.
 
 Skew.  Documents with equal sets become one class first (a hash aggregate), so
 copies are never paired.  Within a band bucket only a centre is compared with the
-others; pairs across components that are left follow in rounds with more centres,
-until none is left, so no candidate pair between different components is skipped.
+others.  What is left are buckets that still hold several components.  There, a pair's
+similarity is bounded by how many shingles that others have too either document has, in
+each of 64 hash groups; pairs across components that the bound allows follow, from few
+centres first and then from all, so no candidate pair between different components is
+skipped.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
-from .store import kept
+from .store import bounded_batches, kept
 
 BITS, LEADING, MANTISSA = 8, 6, 10
 K = 1 << BITS
+GROUPS = 64
 _order = np.random.default_rng(7).random((K, K), np.float32)
 _band_mult = np.random.default_rng(8).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -97,11 +101,13 @@ def _sketches(rows: int, bands: int):
 
 
 def _sets(batches):
+    """Whole sets, and how many shingles fall into each of GROUPS hash groups."""
     for batch in batches:
         for start, texts in W.chunks(batch.column("text")):
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id").slice(start, len(texts)), pa.array([s.tobytes() for s in W.shingle_sets(texts)], pa.binary())], ["id", "shingles"]
-            )
+            sets = W.shingle_sets(texts)
+            profile = np.array([np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS) for s in sets], np.int32)
+            lists = pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * GROUPS, profile.ravel())
+            yield pa.RecordBatch.from_arrays([batch.column("id").slice(start, len(texts)), pa.array([s.tobytes() for s in sets], pa.binary()), lists], ["id", "shingles", "profile"])
 
 
 def _estimated(least: float):
@@ -128,6 +134,35 @@ def _confirmed(percent: int):
     return run
 
 
+def _shared(batches):
+    for batch in batches:
+        profile = batch.column("profile").flatten().to_numpy(zero_copy_only=False).reshape(-1, GROUPS).copy()
+        for k, x in enumerate(batch.column("alone")):
+            if x.is_valid:
+                np.subtract.at(profile[k], x.values.to_numpy(zero_copy_only=False), 1)
+        lists = pa.ListArray.from_arrays(np.arange(len(profile) + 1, dtype=np.int32) * GROUPS, profile.ravel())
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n"), lists, pa.array(profile.sum(1).astype(np.int64))], ["id", "n", "profile", "shared"])
+
+
+def _exploded(batches):
+    for batch in batches:
+        lists = [np.frombuffer(x.as_py(), np.int64) for x in batch.column("shingles")]
+        ids = np.repeat(batch.column("id").to_numpy(zero_copy_only=False), [len(x) for x in lists])
+        values = np.concatenate(lists) if lists else np.empty(0, np.int64)
+        for k in range(0, len(values), 1 << 18):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + (1 << 18)]), pa.array(values[k : k + (1 << 18)])], ["id", "shingle"])
+
+
+def _mixed(rows: DataFrame, found: DataFrame | None) -> DataFrame:
+    """Rows (key, id, ...) with their component, of keys that hold several components; written once."""
+    if found is None:
+        rows = rows.withColumn("component", F.col("id"))
+    else:
+        rows = rows.join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    several = rows.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p < q")
+    return kept(rows.join(several.select("key"), "key", "left_semi"), "mixed")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, rows: int = 7, bands: int = 36, slack: float = 0.13) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id (smallest linked id), kept.
 
@@ -141,7 +176,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     node; a null id keeps null as component and kept true.  Other columns of
     ``docs`` are ignored, whatever their names.
     """
-    spark = docs.sparkSession
+    bounded_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     base = kept(source.mapInArrow(_sketches(rows, bands), "id long, n long, sig_a long, sig_b long, sketch binary, keys array<long>"), "sketches")
     classes = base.where("n > 0 and id is not null").groupBy("sig_a", "sig_b", "n").agg(F.min(F.struct("id", "sketch", "keys")).alias("r"))
@@ -150,7 +185,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     centre = rows_of.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre < last")
     buckets = kept(rows_of.join(centre.select("key", "centre"), "key"), "buckets")
     wanted = buckets.select("id").distinct()
-    sets = kept(source.where("id is not null").join(wanted, "id", "left_semi").mapInArrow(_sets, "id long, shingles binary"), "sets")
+    sets = kept(source.where("id is not null").join(wanted, "id", "left_semi").mapInArrow(_sets, "id long, shingles binary, profile array<int>"), "sets")
     small = reps.select("id", "n", "sketch")
 
     def check(pairs: DataFrame) -> DataFrame:
@@ -168,29 +203,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tried = kept(buckets.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     links = check(tried)
     found = components(links) if not links.isEmpty() else None
-    low, high = 0, 4
-    while True:
-        state = buckets.select("key", "id")
-        state = state.join(found.select(F.col("node").alias("id"), "component"), "id", "left") if found is not None else state.withColumn("component", F.lit(None).cast("long"))
-        state = state.withColumn("component", F.coalesce("component", "id"))
-        mixed = state.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count("*").alias("size")).where(f"p < q and size > greatest({low}, 2)")
-        state = state.join(mixed.select("key"), "key", "left_semi")
-        # members of a bucket in an order that puts small components first: their pairs run out soonest
-        state = state.withColumn("place", F.expr("row_number() over (partition by key order by id)"))
-        state = kept(state, "mixed")
-        a = state.where(f"place > {low} and place <= {high}").select("key", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("place").alias("pa"))
-        b = state.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("place").alias("pb"))
-        if state.isEmpty():
-            break
-        pairs = a.join(b, (a.key == b.key) & (F.col("pa") < F.col("pb")) & (F.col("ca") != F.col("cb"))).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-        pairs = kept(pairs, "pairs")
-        if not pairs.isEmpty():
-            more = check(pairs)
-            if not more.isEmpty():
-                links = kept(links.unionByName(more), "links")
-                found = components(links)
-            tried = tried.unionByName(pairs)
-        low, high = high, high * 8
+    mixed = _mixed(buckets.select("key", "id"), found)
+    if not mixed.isEmpty():
+        # A shingle that no other document left here has can't be shared.  How many of the
+        # rest each document has in each hash group bounds what any two have in common.
+        left = mixed.select("id").distinct()
+        alone = sets.select("id", "shingles").join(left, "id", "left_semi").mapInArrow(_exploded, "id long, shingle long")
+        alone = alone.groupBy("shingle").agg(F.min("id").alias("id"), F.count("*").alias("holders")).where("holders = 1")
+        alone = alone.groupBy("id").agg(F.collect_list(F.expr(f"cast(shingle & {GROUPS - 1} as int)")).alias("alone"))
+        shared = small.select("id", "n").join(sets.select("id", "profile").join(left, "id", "left_semi").dropDuplicates(["id"]), "id").join(alone, "id", "left")
+        shared = shared.mapInArrow(_shared, "id long, n long, profile array<int>, shared long").where(f"100 * shared >= {percent} * n")
+        shared = kept(shared, "shared")
+        low, high = 0, 16
+        while True:
+            state = _mixed(buckets.select("key", "id").join(shared, "id"), found).withColumn("place", F.expr("row_number() over (partition by key order by id)"))
+            last = state.agg(F.max("place")).first()[0]
+            if last is None or last <= low + 1:
+                break
+            a = state.where(f"place > {low} and place <= {high}").select("key", *[F.col(c).alias(f"{c}_a") for c in ("id", "n", "shared", "profile", "component", "place")])
+            b = state.select("key", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "shared", "profile", "component", "place")])
+            could = lambda most: f"100 * {most} >= {percent} * (n_a + n_b - {most})"
+            # written out, the sum is compiled; as a higher-order function it would be interpreted for each pair
+            common = "(" + " + ".join(f"least(profile_a[{k}], profile_b[{k}])" for k in range(GROUPS)) + ")"
+            on = F.expr(f"place_a < place_b and component_a <> component_b and {could('least(shared_a, shared_b)')} and {percent} * (n_a + n_b) <= {100 + percent} * {common}")
+            pairs = a.join(b, (a["key"] == b["key"]) & on).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+            pairs = kept(pairs, "pairs")
+            if not pairs.isEmpty():
+                more = check(pairs)
+                if not more.isEmpty():
+                    links = kept(links.unionByName(more), "links")
+                    found = components(links)
+                tried = tried.unionByName(pairs)
+            low, high = high, 1 << 40
     rep = reps.select("sig_a", "sig_b", "n", F.col("id").alias("rep"))
     out = base.select("id", "n", "sig_a", "sig_b").join(rep, ["sig_a", "sig_b", "n"], "left")
     if found is not None:
@@ -199,3 +243,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         out = out.withColumn("component", F.lit(None).cast("long"))
     component = F.when(F.col("id").isNull(), F.col("id")).otherwise(F.coalesce("component", "rep", "id"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Rows of ``docs``, all columns, without those linked to a smaller id.  Of rows with one id the first by text stays; null ids stay."""
+    found = near_duplicates(docs, id_col, text_col, **options)
+    gone = kept(found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    place = "_place"
+    while place in docs.columns:
+        place += "_"
+    rows = docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
+    first = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))
+    repeated = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").limit(1)
+    if repeated.isEmpty():
+        return rows
+    return rows.withColumn(place, first).where((F.col(place) == 1) | F.col(id_col).isNull()).drop(place)
