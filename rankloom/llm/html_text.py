@@ -102,11 +102,11 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
             if tag == "a":
                 in_link = False
             elif tag in BLOCKS:
-                flush()
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
-                        del stack[k:]
-                        break
+                at_tag = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
+                if at_tag or tag == "p":  # any other end tag without a start is nothing
+                    flush()
+                if at_tag:
+                    del stack[at_tag:]
             continue
         if tag in RAW:
             stop = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.IGNORECASE).search(page, at)
