@@ -66,44 +66,50 @@ def _counted(vocabulary):
     return run
 
 
+def _found(texts: list[bytes], shared: tuple) -> tuple[np.ndarray, ...]:
+    """Text, word and window of every occurrence of a window, by text and word; first word of each text."""
+    prefix, begin, offset, window, size, name, content, _ = shared
+    h, start, end, first, joined = W.words(texts, W.ALNUM)
+    doc_of, at_of, win_of = (np.empty(0, np.int64) for _ in range(3))
+    if len(h) and len(prefix):
+        at = np.minimum(np.searchsorted(prefix, h), len(prefix) - 1)
+        hit = np.flatnonzero(prefix[at] == h)
+        # every window led by the word that was hit
+        each = begin[at[hit] + 1] - begin[at[hit]]
+        entry = np.repeat(begin[at[hit]], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        place = np.repeat(hit, each) - offset[entry]
+        doc = np.searchsorted(first, np.repeat(hit, each), "right") - 1
+        win = window[entry]
+        fits = (place >= first[doc]) & (place + size[win] <= first[doc + 1])
+        place, doc, win = place[fits], doc[fits], win[fits]
+        for n in np.unique(size[win]) if len(win) else ():
+            of_n = np.flatnonzero(size[win] == n)
+            near = np.zeros(len(of_n), np.uint64)
+            for j in range(n):
+                near += h[place[of_n] + j] * W._SHINGLE[j]
+            of_n = of_n[W.mix(near + np.uint64(n)) == name[win[of_n]]]
+            exact = np.array([content[win[k]] == tuple(joined[start[p] : end[p]] for p in range(place[k], place[k] + n)) for k in of_n], bool)
+            of_n = of_n[exact] if len(of_n) else of_n
+            doc_of, at_of, win_of = np.r_[doc_of, doc[of_n]], np.r_[at_of, place[of_n]], np.r_[win_of, win[of_n]]
+    order = np.lexsort((at_of, doc_of))
+    return doc_of[order], at_of[order], win_of[order], first
+
+
 def _probed(shared):
-    """(id or u, n_words, starts and ends of hit word runs, item ids) of every document."""
+    """(u, id, n_words, hit word runs, item ids) of every document."""
 
     def run(batches):
-        prefix, begin, offset, window, size, name, content, items = shared.value
+        size, items = shared.value[4], shared.value[7]
         for batch in batches:
             for row, texts in W.chunks(batch.column("text")):
-                h, start, end, first, joined = W.words(texts, W.ALNUM)
-                doc_of, at_of, win_of = (np.empty(0, np.int64) for _ in range(3))
-                if len(h) and len(prefix):
-                    at = np.minimum(np.searchsorted(prefix, h), len(prefix) - 1)
-                    hit = np.flatnonzero(prefix[at] == h)
-                    # every window led by the word that was hit
-                    each = begin[at[hit] + 1] - begin[at[hit]]
-                    entry = np.repeat(begin[at[hit]], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-                    place = np.repeat(hit, each) - offset[entry]
-                    doc = np.searchsorted(first, np.repeat(hit, each), "right") - 1
-                    win = window[entry]
-                    fits = (place >= first[doc]) & (place + size[win] <= first[doc + 1])
-                    place, doc, win = place[fits], doc[fits], win[fits]
-                    for n in np.unique(size[win]) if len(win) else ():
-                        of_n = np.flatnonzero(size[win] == n)
-                        near = np.zeros(len(of_n), np.uint64)
-                        for j in range(n):
-                            near += h[place[of_n] + j] * W._SHINGLE[j]
-                        same = W.mix(near + np.uint64(n)) == name[win[of_n]]
-                        of_n = of_n[same]
-                        exact = np.array([content[win[k]] == tuple(joined[start[p] : end[p]] for p in range(place[k], place[k] + n)) for k in of_n], bool)
-                        of_n = of_n[exact] if len(of_n) else of_n
-                        doc_of, at_of, win_of = np.r_[doc_of, doc[of_n]], np.r_[at_of, place[of_n]], np.r_[win_of, win[of_n]]
-                order = np.lexsort((at_of, doc_of))
-                doc_of, at_of, win_of = doc_of[order], at_of[order], win_of[order]
+                doc_of, at_of, win_of, first = _found(texts, shared.value)
                 cut = np.searchsorted(doc_of, np.arange(len(texts) + 1))
                 spans, ids = [], []
                 for k in range(len(texts)):
                     own = slice(cut[k], cut[k + 1])
-                    spans.append(merged(zip((at_of[own] - first[k]).tolist(), (at_of[own] - first[k] + size[win_of[own]]).tolist(), strict=True)) if cut[k] < cut[k + 1] else [])
-                    ids.append(sorted({x for w in set(win_of[own].tolist()) for x in items[w]}) if cut[k] < cut[k + 1] else [])
+                    at = at_of[own] - first[k]
+                    spans.append(merged(zip(at.tolist(), (at + size[win_of[own]]).tolist(), strict=True)))
+                    ids.append(sorted({x for w in set(win_of[own].tolist()) for x in items[w]}))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("u").slice(row, len(texts)), batch.column("id").slice(row, len(texts)), pa.array(np.diff(first)), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(ids, pa.list_(pa.string()))],
                     ["u", "id", "n_words", "spans", "items"],
@@ -112,6 +118,17 @@ def _probed(shared):
     return run
 
 
+def _without_hits(shared, column: int):
+    def run(batches):
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for row, texts in W.chunks(batch.column(column)):
+                keep[row + _found(texts, shared.value)[0]] = False
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
 def merged(spans) -> list[list[int]]:
     """Sorted disjoint [start, end) spans of overlapping or touching ones."""
     out: list[list[int]] = []
@@ -140,24 +157,30 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     Items of fewer than ``size`` words are one window; items and documents without words
     or with null text hit nothing.  Repeated items and rows count as they stand.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(docs.sparkSession)
     rows = numbered(docs, id_col, text_col)
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).cast("string").alias("text"))
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    slices = max(1, -(-total // slice_bytes))
-    found = None
-    for k in range(slices):
-        own = items if slices == 1 else items.where(F.pmod(F.xxhash64("text", "item"), F.lit(slices)) == k)
-        hits = _one_slice(rows, item_windows([tuple(r) for r in own.toLocalIterator()], size))
-        found = hits if found is None else found.unionByName(hits)
+    found, slices = None, 0
+    for windows in _slices(benchmark, item_col, item_text, size, slice_bytes):
+        hits = rows.mapInArrow(_probed(_shared(rows.select("text"), windows)), _HITS)
+        found, slices = hits if found is None else found.unionByName(hits), slices + 1
     if slices > 1:
         found = kept(found, "hits").groupBy("u", "id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
         found = found.mapInArrow(_joined, _HITS)
     return found
 
 
-def _one_slice(rows: DataFrame, windows: dict[tuple[bytes, ...], list[str]]) -> DataFrame:
+def _slices(benchmark: DataFrame, item_col: str, item_text: str, size: int, slice_bytes: int):
+    """The benchmark's windows, in slices of about ``slice_bytes`` of text."""
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).cast("string").alias("text"))
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = max(1, -(-total // slice_bytes))
+    for k in range(n):
+        own = items if n == 1 else items.where(F.pmod(F.xxhash64("text", "item"), F.lit(n)) == k)
+        yield item_windows([tuple(r) for r in own.toLocalIterator()], size)
+
+
+def _shared(rows: DataFrame, windows: dict[tuple[bytes, ...], list[str]]):
+    """Windows under their prefix words, rarest in ``rows`` (text), broadcast."""
     context = rows.sparkSession.sparkContext
     content = list(windows)
     vocabulary = sorted({t for w in content for t in w})
@@ -179,8 +202,7 @@ def _one_slice(rows: DataFrame, windows: dict[tuple[bytes, ...], list[str]]) ->
     size = np.array([len(w) for w in content], np.int64)
     name = np.array([int(W.windows(np.array([by_word[t] for t in w], np.uint64), len(w))[0]) for w in content], np.uint64)
     offset, window = (np.array([x[j] for x in led], np.int64) for j in (1, 2))
-    shared = context.broadcast((prefix, begin, offset, window, size, name, content, [windows[w] for w in content]))
-    return rows.mapInArrow(_probed(shared), _HITS)
+    return context.broadcast((prefix, begin, offset, window, size, name, content, [windows[w] for w in content]))
 
 
 def report(hits: DataFrame) -> DataFrame:
@@ -192,8 +214,10 @@ def report(hits: DataFrame) -> DataFrame:
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, most: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``docs``, all columns, whose share of hit words is at most ``most``."""
-    hits = report(benchmark_hits(docs, benchmark, id_col, text_col))
-    bad = hits.where(F.col("n_hit") > most * F.col("n_words")).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col].cast("long").eqNullSafe(bad["_bad"]), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = 10, slice_bytes: int = 16 << 20) -> DataFrame:
+    """Rows of ``docs``, all columns, without any occurrence of a window.  Texts are not moved: every slice is a filter where they lie."""
+    bounded_batches(docs.sparkSession)
+    texts = docs.select(F.col(text_col).cast("string").alias("text"))
+    for windows in _slices(benchmark, item_col, item_text, size, slice_bytes):
+        docs = docs.mapInArrow(_without_hits(_shared(texts, windows), docs.columns.index(text_col)), docs.schema)
+    return docs
