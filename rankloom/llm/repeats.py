@@ -347,3 +347,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = numbered(docs, id_col, text_col)
     spans = repeated_spans(rows, length)
     return rows.join(spans, "u", "left").select("id", "text", "spans").mapInArrow(_removed, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", "doc_id")
+
+
+def _ranges_of(spans: list[int]) -> list[tuple[int, int]]:
+    """Maximal (start, end) runs of packed spans."""
+    x = np.sort(np.array(spans, np.int64))
+    _, start, end = _merged(np.zeros(len(x), np.int64), x >> 32, x & 0xFFFFFFFF)
+    return list(zip(start.tolist(), end.tolist(), strict=True))
