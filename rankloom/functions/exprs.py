@@ -116,9 +116,9 @@ def compared(n: Column) -> Column:
 
 def human_size(n: Column) -> Column:
     """Bytes as B, KB, MB, GB or TB with one decimal, by 1024."""
-    out = F.concat(F.format_string("%.1f", n / 1024.0**4), F.lit("TB"))
+    out = F.concat(F.format_string("%.1f", F.bround(n / 1024.0**4, 1)), F.lit("TB"))
     for power, unit in ((3, "GB"), (2, "MB"), (1, "KB"), (0, "B")):
-        out = F.when(n < 1024.0 ** (power + 1), F.concat(F.format_string("%.1f", n / 1024.0**power), F.lit(unit))).otherwise(out)
+        out = F.when(n < 1024.0 ** (power + 1), F.concat(F.format_string("%.1f", F.bround(n / 1024.0**power, 1)), F.lit(unit))).otherwise(out)
     return out
 
 
