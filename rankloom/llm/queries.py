@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, html_text, lm, mixing, near_dedup, quality, repeats, secrets, shards
+from . import decontaminate, fingerprints, html_text, lm, mixing, near_dedup, oracle, quality, repeats, secrets, shards
 from .store import fresh, table
 
 
@@ -60,4 +60,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """What SQL can express; the other queries are tested against brute force."""
+    return {"op3_suffix_repeats": oracle.OP3, "op5_hyperminhash": oracle.OP5, "op8_prefix_decontamination": oracle.OP8}

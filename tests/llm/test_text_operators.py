@@ -349,4 +349,9 @@ def test_subwords_of_long_runs():
 
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         e = lm.encoder(f.read(), public_tokenizers.PATTERN)
-    assert e.decode(list(lm.subwords("x" * 5000 + " y", e.encode_ordinary))) == "x" * 5000 + " y"
+    for text in ("x" * 5000 + " y", " " * 3000 + "a", "a b" + "\n" * 1500, "plain", "a " * 2000):
+        raw = [b"", text.encode(), b"z"]
+        _, start, end, first, _ = W.words(raw)
+        long = lm.has_long_runs(start, end, first, raw)
+        assert long.tolist() == [False, bool(re.search(r"\S{1000}|\s{1000}", text)), False]
+        assert e.decode(list(lm.subwords(text, e.encode_ordinary, bool(long[1])))) == text
