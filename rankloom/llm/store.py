@@ -6,7 +6,7 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
 _own: dict[str, str] = {}
@@ -55,3 +55,15 @@ def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(setting)) <= rows:
         spark.conf.set(setting, str(rows))
+
+
+def some_rows(df: DataFrame, key: Column, most: int) -> list:
+    """All rows, or about ``most`` of them if there are more: those whose key, a 64-bit hash, is low.
+
+    A cut by the hash needs no order, so tasks send the driver only what it keeps: a top-k
+    would send it k rows from every task.
+    """
+    n = df.count()
+    if n > most:
+        df = df.where(key < int(most / n * 2.0**64) - (1 << 63))
+    return df.collect()
