@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .store import bounded_batches, kept
+from .store import bounded_batches, kept, some_rows
 
 _CLASSES = (b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\r\x0b\x0c", b"\n", b".,;:'\"()-", b"!?", b"#$%&*@", b"|/\\<>[]{}=_~^`+")
 _OTHER_ASCII, _WIDE = len(_CLASSES), len(_CLASSES) + 1
@@ -223,14 +223,14 @@ def is_held_out(id_column: Column, modulus: int = 3, remainder: int = 1) -> Colu
 
 
 def train(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", most_rows: int = 40_000) -> Rules:
-    """Fits on at most ``most_rows`` labelled rows that are not held out, the first by a hash of their ids.
+    """Fits on the labelled rows that are not held out, or about ``most_rows`` of them by a hash of their ids.
 
     ``stats``: (id, stats).  Rows without a label of 0 or 1 don't count; a document with
     several labels counts once for each.
     """
     wanted = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where(F.col("_y").isin(0, 1) & ~is_held_out(F.col("_id")))
-    rows = stats.join(wanted, stats["id"] == wanted["_id"]).select("id", "stats", "_y")
-    rows = rows.orderBy(F.xxhash64("id"), "id", "_y").limit(most_rows).collect()
+    rows = kept(stats.join(wanted, stats["id"] == wanted["_id"]).select("id", "stats", "_y"), "labelled")
+    rows = some_rows(rows, F.xxhash64("id", "_y"), most_rows)
     rows.sort(key=lambda r: (r["id"], r["_y"], r["stats"]))
     x = np.array([r["stats"] for r in rows], float).reshape(len(rows), len(STATS))
     return fit(x, np.array([r["_y"] for r in rows], float))
