@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .store import bounded_batches
+from .store import bounded_batches, kept
 
 # The base patterns, their order and least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -356,19 +356,23 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Per row of ``docs``: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_crf.
 
     The field is trained on pieces of at most ``sample_rows`` texts with a base match and
-    as many others, of at most ``sample_chars`` code points each, the first by a hash;
+    as many others, distinct and of at most ``sample_chars`` code points each, the first by a hash;
     every whole text is scanned.  Null texts are empty, empty texts have no spans;
     repeated rows are scanned each; other columns are ignored.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    short = rows.where(F.length("text").between(1, sample_chars)).select("text")
-    pattern = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"""
-    order = F.xxhash64("text")
-    hot = short.where(F.col("text").rlike(pattern)).orderBy(order, "text").limit(sample_rows)
-    cold = short.where(order % 4 == 0).where(~F.col("text").rlike(pattern)).orderBy(order, "text").limit(sample_rows)
-    texts = [r["text"] for part in (hot, cold) for r in part.collect()]
+    short = rows.where(F.length("text").between(1, sample_chars)).select("text", F.xxhash64("text").alias("h"))
+    hot = F.col("text").rlike(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}""")
+    # the patterns run over all texts once; texts are fetched by the hashes below a cut
+    marks = kept(short.select("h", hot.alias("hot")).distinct(), "marks")
+    texts = []
+    for kind in (True, False):
+        cut = marks.where(F.col("hot") == kind).orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
+        if cut is not None:
+            found = short.where((F.col("h") <= cut) & (hot == kind)).select("text").distinct()
+            texts += sorted(r["text"] for r in found.collect())
     shared = spark.sparkContext.broadcast(train(*sample_lines(texts)))
 
     def run(batches):
