@@ -163,12 +163,12 @@ def _mixed(rows: DataFrame, found: DataFrame | None) -> DataFrame:
     return kept(rows.join(several.select("key"), "key", "left_semi"), "mixed")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, rows: int = 7, bands: int = 36, slack: float = 0.13) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, rows: int = 6, bands: int = 42, slack: float = 0.13) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id (smallest linked id), kept.
 
     ``percent``: link where 100 * intersection >= percent * union of the shingle sets.
-    ``rows`` x ``bands`` <= 256 registers; at similarity 0.85 a pair shares no band
-    with a chance of 1e-6.  ``slack``: estimates below percent/100 - slack (over
+    ``rows`` x ``bands`` <= 256 registers; a pair at the threshold shares no band with a
+    chance of (1 - s**rows)**bands: 3e-6 at 0.8 as preset, 1e-6 at 0.85 with 7 x 36.  ``slack``: estimates below percent/100 - slack (over
     five standard errors) are not verified.
 
     Null or empty texts and texts without words have an empty set and link with

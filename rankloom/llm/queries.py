@@ -31,7 +31,7 @@ def op4_multinomial_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85, rows=7, bands=36)
 
 
 def op6_crf_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

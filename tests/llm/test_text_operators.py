@@ -82,7 +82,7 @@ def test_repeats_of_nothing(no_docs):
     assert repeats.remove_repeats(no_docs).count() == 0
 
 
-def linked(rows, percent=85):
+def linked(rows, percent=80):
     ids = [r[0] for r in rows]
     sets = [shingles(r[1]) for r in rows]
     of = {i: i for i in ids}
@@ -100,8 +100,9 @@ def linked(rows, percent=85):
     return sorted((i, len(s), top(i), top(i) == i) for i, s in zip(ids, sets, strict=True))
 
 
-def test_near_duplicates(plain_docs, rows):
-    assert sorted(tuple(r) for r in near_dedup.near_duplicates(plain_docs).collect()) == linked(rows[:-2])
+@pytest.mark.parametrize("percent", [80, 95])
+def test_near_duplicates(plain_docs, rows, percent):
+    assert sorted(tuple(r) for r in near_dedup.near_duplicates(plain_docs, percent=percent).collect()) == linked(rows[:-2], percent)
 
 
 def test_near_duplicates_in_a_group_that_mostly_has_no_links(spark):
@@ -109,7 +110,7 @@ def test_near_duplicates_in_a_group_that_mostly_has_no_links(spark):
     words = [f"w{k}" for k in range(150)]
     rows = [(n * 10 + e, " ".join(w if (k * 7 + n) % 150 >= e else f"x{n}.{k}" for k, w in enumerate(words))) for n in range(12) for e in range(6)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(tuple(r) for r in near_dedup.near_duplicates(df).collect()) == linked(rows)
+    assert sorted(tuple(r) for r in near_dedup.near_duplicates(df, percent=85, rows=7, bands=36).collect()) == linked(rows, 85)
 
 
 def test_near_duplicates_with_odd_ids(docs, rows):
