@@ -59,13 +59,15 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: floa
     return rows.withColumn("target", target).select("source", "source_size", "weight", "target")
 
 
-_PART = 1 << 16
+_PART = 1 << 15
 
 
 def _spread(goals: DataFrame, column: str, name: str) -> DataFrame:
     """Rows of ``goals`` once for each 0 <= name < column, dealt out in parts: no task makes a whole source's."""
     parts = goals.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col(column) - 1) / _PART))).alias("_part"))
-    parts = parts.where(F.col(column) > 0).repartition(F.col("k"), F.col("_part"))
+    # a number of its own: adaptive execution would put these few bytes into one task, which then makes all rows
+    n = max(1, int(goals.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = parts.where(F.col(column) > 0).repartition(n, F.col("k"), F.col("_part"))
     upto = F.least((F.col("_part") + 1) * _PART, F.col(column)) - 1
     return parts.select("*", F.explode(F.sequence(F.col("_part") * _PART, upto)).alias(name)).drop("_part")
 
@@ -123,10 +125,12 @@ class Mix:
         first = F.col("bin_first") + F.coalesce(F.sum("size").over(inside), F.lit(0))
         placed = kept(rows.select("doc_id", "source", "size", "source_size", "target", "k", "bin", first.alias("first_word")), "placed")
 
+        self.placed = placed
+
         # blocks joined by index: how many words of each document they take
         times = self.plan.groupBy("k", "block").agg(F.count("*").alias("times"))
         self.pieces = placed.where("size > 0").select("k", "first_word", "size", F.explode(F.sequence(F.floor(F.col("first_word") / block), F.floor((F.col("first_word") + F.col("size") - 1) / block))).alias("block"))
-        self.pieces = self.pieces.join(times, ["k", "block"])
+        self.pieces = self.pieces.join(times, ["k", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
         words = F.least(F.col("first_word") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("first_word"), F.col("block") * block)
         taken = self.pieces.groupBy("k", "first_word").agg(F.sum(words * F.col("times")).alias("taken"))
         both = placed.alias("p").join(taken.select(F.col("k").alias("_k"), F.col("first_word").alias("_f"), "taken"), (F.col("k") == F.col("_k")) & (F.col("first_word") == F.col("_f")) & (F.col("size") > 0), "left")
@@ -139,19 +143,25 @@ class Mix:
         one space, and a column n_chars is set to the new length.  Texts without words go.
         """
         id_col, text_col, source_col, seed, bins = self._columns
-        laps = self.pieces.groupBy("k", "first_word").agg(F.min("size").alias("size"), F.max("times").alias("laps"), F.map_from_entries(F.collect_list(F.struct("block", "times"))).alias("taken_blocks"))
-        # rows of one id, size and source are told apart by a number among them
+        # how often each block of a text is taken, in the order of its blocks
+        times = F.transform(F.array_sort(F.collect_list(F.struct("block", "times"))), lambda x: x["times"])
+        laps = self.pieces.groupBy("k", "first_word").agg(F.max("times").alias("laps"), times.alias("times")).where("laps > 0")
         rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).cast("long").alias("_id"), F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("_size"), F.col(source_col).cast("string").alias("_source"))
-        rows = rows.where("_size > 0").withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_size", "_source").orderBy(F.col("_row").cast("string"))))
-        where = self.documents.where("size > 0").select("doc_id", "size", "source", "k", "first_word").withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "size", "source").orderBy("first_word")))
+        rows = rows.where("_size > 0")
+        where = self.placed.where("size > 0").select("doc_id", "size", "source", "k", "first_word")
+        same = F.lit(True)
+        if not where.groupBy("doc_id", "size", "source").count().where("count > 1").limit(1).isEmpty():
+            # rows of one id, size and source are told apart by a number among them
+            rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_size", "_source").orderBy(F.xxhash64(f"_row.`{text_col}`"))))
+            where = where.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "size", "source").orderBy("first_word")))
+            same = rows["_n"] == where["n"]
         where = where.withColumnRenamed("size", "_sz").join(laps, ["k", "first_word"])
-        rows = rows.join(where, rows["_id"].eqNullSafe(where["doc_id"]) & (rows["_size"] == where["_sz"]) & rows["_source"].eqNullSafe(where["source"]) & (rows["_n"] == where["n"]))
+        rows = rows.join(where, rows["_id"].eqNullSafe(where["doc_id"]) & (rows["_size"] == where["_sz"]) & rows["_source"].eqNullSafe(where["source"]) & same)
         rows = rows.select("*", F.explode(F.sequence(F.lit(1), F.col("laps").cast("int"))).alias("_lap"))
         words = F.regexp_extract_all(F.col(f"_row.`{text_col}`"), F.lit(f"({WORD})"), F.lit(1))
-        block_of = lambda i: F.floor((F.col("first_word") + i) / self.block)
-        chosen = F.filter(words, lambda w, i: F.coalesce(F.element_at("taken_blocks", block_of(i)), F.lit(0)) >= F.col("_lap"))
-        first, last = F.floor(F.col("first_word") / self.block), F.floor((F.col("first_word") + F.col("size") - 1) / self.block)
-        whole = (F.size("taken_blocks") == last - first + 1) & (F.array_min(F.map_values("taken_blocks")) >= F.col("_lap"))
+        own = F.floor(F.col("first_word") / self.block)
+        chosen = F.filter(words, lambda w, i: F.get("times", F.floor((F.col("first_word") + i) / self.block) - own) >= F.col("_lap"))
+        whole = F.array_min("times") >= F.col("_lap")
         text = F.when(whole, F.col(f"_row.`{text_col}`")).otherwise(F.array_join(chosen, " "))
         out = rows.select("_row", text.alias("_text")).where("_text <> ''")
         value = {text_col: F.col("_text")} | ({"n_chars": F.length("_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
