@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import bounded_batches
+from .store import bounded_batches, kept
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"<]*+"|'[^'<]*+')*+[^>]*+)>""", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
@@ -223,11 +223,13 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     Null html is empty and gives an empty text; pages without a host in their url vote
     together.  Repeated pages vote and are extracted each; other columns are ignored.
-    Votes are summed before they are shuffled; the paths come back by a join on the host,
-    whose large hosts adaptive execution splits.
+    Votes are summed before they are shuffled; the paths come back by a join on the host, a
+    broadcast one where the written table is under the session's threshold; else adaptive
+    execution splits large hosts.
     """
     bounded_batches(pages.sparkSession, 500)
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col).cast("string"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"), host.alias("host"))
-    paths = winning_paths(rows)
+    # once written its size is known: a small table is broadcast, and pages are not moved
+    paths = kept(winning_paths(rows), "paths")
     return rows.join(paths, "host", "left").select("page_id", "url", "html", "paths").mapInArrow(_texts, "page_id long, url string, text string, n_chars long")
