@@ -296,6 +296,35 @@ def test_lm_base_scores(docs, rows):
     assert all(r["score"] < 0 for r in got)
 
 
+def test_lm_embeds_ids_of_all_training_texts(docs, rows, monkeypatch):
+    fit, models = lm.fit, []
+    monkeypatch.setattr(lm, "fit", lambda *a: models.append(fit(*a)) or models[0])
+    assert lm.score(docs, every=1, most_windows=1).count() == len(rows)
+    import public_tokenizers
+
+    with open(lm.tokenizer_file(), "rb") as f:
+        e = lm.encoder(f.read(), public_tokenizers.PATTERN)
+    learned = {x for r in rows if r[0] is None or zlib.crc32(str(r[0]).encode()) % 7 != 2 for x in e.encode_ordinary(low(r[1])) if len(r[1]) < 1000}
+    assert len(learned) > 50 and models[0].embed[sorted(learned)].any(1).all()
+
+
+def test_lm_counts_neighbours_of_all_texts(spark):
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(0, 600, n).astype(np.uint16) for n in (0, 1, 2, 40, 700)]
+    counts = np.bincount(np.concatenate([*texts, np.full(len(texts), lm.END)]), minlength=lm.VOCABULARY)
+    df = spark.createDataFrame([(x.tobytes(),) for x in texts], "ids binary").repartition(3)
+    following, preceding = lm._neighbours(df, counts)
+    column = lm._columns(counts)
+    assert sorted(column[np.argsort(-counts, kind="stable")[:255]]) == list(range(255))
+    want = Counter()
+    for x in texts:
+        s = [lm.END, *x.tolist(), lm.END]
+        want.update((0, a, int(column[b])) for a, b in zip(s, s[1:], strict=False))
+        want.update((1, b, int(column[a])) for a, b in zip(s, s[1:], strict=False))
+    got = np.stack([following, preceding])
+    assert {tuple(map(int, p)): int(got[tuple(p)]) for p in np.argwhere(got)} == dict(want)
+
+
 def test_lm_of_nothing(no_docs):
     assert lm.score(no_docs).count() == 0
 
