@@ -16,7 +16,7 @@ from rankloom.functions import vectors as V
 from rankloom.operators import aggregate, dedup, graph, judge, linear, pairs
 from rankloom.operators.filters import HullConfig, RecallConfig
 from rankloom.plans import pipelines
-from rankloom.plans.testdata import decisions, jobs, read, sql_decisions, sql_jobs
+from rankloom.plans.testdata import all_decisions, decisions, jobs, read, sql_decisions, sql_jobs
 from rankloom.sources import files, slugs
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -380,8 +380,8 @@ def ranked_head(spark, sf):
 # what SQL doesn't express: fits, sequential orders, sampling
 
 
-def _people(spark, sf, most: int = 500) -> DataFrame:
-    rows = read(spark, sf, "embeddings").where(F.col("vec_id") < most)
+def _people(spark, sf) -> DataFrame:
+    rows = read(spark, sf, "embeddings")
     return rows.select(F.col("vec_id").alias("id"), F.concat(F.lit("company "), F.col("label")).alias("company"), F.concat(F.lit("title "), F.col("vec_id")).alias("title"), "embedding", F.col("embedding")[0].cast("double").alias("utility"))
 
 
@@ -393,33 +393,33 @@ def ridge_rank(spark, sf):
 @query()
 def pca_logistic(spark, sf):
     people = _people(spark, sf)
-    model = linear.fit_preference(people, decisions(spark, sf), "id", "embedding")
+    model = linear.fit_preference(people, all_decisions(spark, sf), "id", "embedding")
     return linear.preference_scores(model, people, "embedding").select("id", F.round("model_score", 4).alias("model_score"))
 
 
 @query()
 def distilled_scores(spark, sf):
-    model = linear.fit_preference(_people(spark, sf), decisions(spark, sf), "id", "embedding")
+    model = linear.fit_preference(_people(spark, sf), all_decisions(spark, sf), "id", "embedding")
     return linear.preference_scores(model, jobs(spark, sf), "jd_embedding").select("id", F.round("model_score", 4).alias("model_score"))
 
 
 @query()
 def gold_rank(spark, sf):
     people = _people(spark, sf)
-    scored = linear.preference_scores(linear.fit_preference(people, decisions(spark, sf), "id", "embedding"), people, "embedding")
-    return aggregate.gold_rank(scored, decisions(spark, sf))[0].select("rank", "id", "company", "title", F.round("model_score", 4).alias("model_score"), "comparisons", "compared")
+    scored = linear.preference_scores(linear.fit_preference(people, all_decisions(spark, sf), "id", "embedding"), people, "embedding")
+    return aggregate.gold_rank(scored, all_decisions(spark, sf))[0].select("rank", "id", "company", "title", F.round("model_score", 4).alias("model_score"), "comparisons", "compared")
 
 
 @query()
 def soft_fuse(spark, sf):
     people = _people(spark, sf)
-    scored = linear.preference_scores(linear.fit_preference(people, decisions(spark, sf), "id", "embedding"), people, "embedding")
-    return aggregate.fuse_rank(scored, decisions(spark, sf))[0].select("rank", "id", "company", "title", "fused_strength", "model_prior", "comparisons", "compared")
+    scored = linear.preference_scores(linear.fit_preference(people, all_decisions(spark, sf), "id", "embedding"), people, "embedding")
+    return aggregate.fuse_rank(scored, all_decisions(spark, sf))[0].select("rank", "id", "company", "title", "fused_strength", "model_prior", "comparisons", "compared")
 
 
 @query()
 def bradley_terry(spark, sf):
-    return aggregate.bt_rank(_people(spark, sf).select("id", "company", "title"), decisions(spark, sf, 400))
+    return aggregate.bt_rank(_people(spark, sf).select("id", "company", "title"), all_decisions(spark, sf))
 
 
 @query()
@@ -427,15 +427,15 @@ def random_pairs(spark, sf):
     return pairs.random_pairs(_people(spark, sf), per_item=3)
 
 
-def _asking(spark, sf, most: int):
-    people = _people(spark, sf, most).select("id", "company", "title", "utility")
+def _asking(spark, sf, most: int | None = None):
+    people = _people(spark, sf).where(F.lit(True) if most is None else F.col("id") < most).select("id", "company", "title", "utility")
     ids = [r["id"] for r in people.select("id").orderBy("id").collect()]
     return ids, pairs.ask_with(lambda t: judge.decide(t, judge.UtilityJudge()), people)
 
 
 @query()
 def gated_sampling(spark, sf):
-    ids, ask = _asking(spark, sf, 64)
+    ids, ask = _asking(spark, sf)
     return spark.createDataFrame(pairs.gated_sampling(ids, ask, per_item=6, batch=128), "a_id long, b_id long, first boolean")
 
 

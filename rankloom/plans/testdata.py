@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _JOBS = """
 select p.p_partkey as id, concat('ats', p.p_partkey % 16) as ats, p.p_brand as company,
@@ -54,3 +55,9 @@ def decisions(spark: SparkSession, sf_dir: str, most: int = 500, acyclic: bool =
     """Three decisions for each vector under ``most``, by a hidden utility; every 50th vector's are turned, so cycles exist, unless ``acyclic``."""
     text = _DECISIONS.replace("{first}", "0").replace("{most}", str(most)).replace("{flip}", "" if acyclic else "<> (a_id % 50 = 0)")
     return spark.sql(text, embeddings=read(spark, sf_dir, "embeddings"))
+
+
+def all_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three decisions for each vector of the table; partners are taken modulo one over its largest id."""
+    last = read(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0]
+    return decisions(spark, sf_dir, 1 if last is None else last + 1)
