@@ -65,8 +65,9 @@ def _runs(texts: list[bytes], length: int, gram: int):
     return owner[s0], s0 - starts[owner[s0]], n, p - s0, name(p, p + gram), context
 
 
-def _pieces(u: np.ndarray, texts: list[bytes], length: int, most: int = 1 << 23):
-    """Texts of under ``most`` bytes; longer ones in overlapping pieces, so that each window is in one piece."""
+def _pieces(u: np.ndarray, texts: list[bytes], length: int):
+    """Texts of under half of the places that _runs can tell apart; longer ones in overlapping pieces, so that each window is in one piece."""
+    most = 1 << (_POS - 1)
     out_u, out_at, out = [], [], []
     for k, t in enumerate(texts):
         for at in range(0, max(1, len(t) - length + 1), most):
@@ -74,6 +75,18 @@ def _pieces(u: np.ndarray, texts: list[bytes], length: int, most: int = 1 << 23)
     return np.array(out_u, np.int64), np.array(out_at, np.int64), out
 
 
+def _groups(pieces: list[bytes]):
+    """(first, end) of runs of pieces whose places together fit in _POS bits."""
+    first, total = 0, 0
+    for k, t in enumerate(pieces):
+        if k > first and total + len(t) > 1 << _POS:
+            yield first, k
+            first, total = k, 0
+        total += len(t)
+    if pieces:
+        yield first, len(pieces)
+
+
 _RUN = "key long, context long, u long, start int, n int, offset int"
 
 
@@ -141,9 +154,10 @@ def _sampled(length: int, gram: int):
         ids = batch.column("u").to_numpy(zero_copy_only=False)
         for first, texts in W.chunks(batch.column("text")):
             u, at, pieces = _pieces(ids[first : first + len(texts)], texts, length)
-            if (found := _runs(pieces, length, gram)) is not None:
-                owner, start, n, offset, key, context = found
-                yield key.view(np.int64), context.view(np.int64), u[owner], start + at[owner], n, offset
+            for a, b in _groups(pieces):
+                if (found := _runs(pieces[a:b], length, gram)) is not None:
+                    owner, start, n, offset, key, context = found
+                    yield key.view(np.int64), context.view(np.int64), u[a:b][owner], start + at[a:b][owner], n, offset
 
     return _gathered(length, parts_of)
 
