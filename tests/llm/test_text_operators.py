@@ -410,3 +410,26 @@ def test_subwords_of_long_runs():
         long = lm.has_long_runs(start, end, first, raw)
         assert long.tolist() == [False, bool(re.search(r"\S{1000}|\s{1000}", text)), False]
         assert e.decode(list(lm.subwords(text, e.encode_ordinary, bool(long[1])))) == text
+
+
+def test_subwords_around_long_runs_are_the_usual_ones():
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        encode = lm.encoder(f.read(), public_tokenizers.PATTERN).encode_ordinary
+    before, after = "the cat isn't 12 on\n\n the mat\x1c\u3000 so", "sat, down\t\there  again"
+    for gap in (" ", "\n", "  ", " \n", "\n "):
+        for run in ("x" * 1001, "ab" * 1750, "/" * 999 + "q" * 2000):
+            text = before + gap + run + gap + after
+            # one word of the usual size in the run's place: what is around it is encoded alike
+            usual = list(encode(before + gap + "qqq" + gap + after))
+            at = len(encode(before + gap[:-1])) + (gap[-1] != " ")
+            left, right = usual[:at], list(encode(gap + after))
+            got = list(lm.subwords(text, encode, True))
+            assert got[:at] == left and got[-len(right) :] == right == usual[-len(right) :]
+    for many in (1001, 2000, 2001):
+        got = list(lm.subwords(before + " " * many + after, encode, True))
+        left, right = list(encode(before)), list(encode(" " + after))
+        assert got[: len(left)] == left and got[-len(right) :] == right
+    plain = before + " " + "x" * 1000 + " " + after
+    assert list(lm.subwords(plain, encode, True)) == list(encode(plain))
