@@ -399,6 +399,28 @@ def test_lm_gradient():
         assert abs(slope - g[k]) < 2e-3 + 0.05 * abs(g[k])
 
 
+def test_lm_windows_hold_each_target_once():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 30, 31, 32, 33, 80):
+        ids = rng.integers(0, lm.END, n).astype(np.uint16)
+        [got] = lm._windows(1)([pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary())], ["ids"])])
+        windows = [np.frombuffer(w, np.uint16) for w in got.column("window").to_pylist()]
+        assert all(len(w) == lm.WINDOW + 1 for w in windows)
+        flat = np.concatenate([windows[0][:1], *(w[1:] for w in windows)])
+        assert flat[flat != lm.PAD].tolist() == [lm.END, *ids.tolist(), lm.END]
+        assert all(w[0] == v[-1] for v, w in zip(windows, windows[1:], strict=False))
+
+
+def test_lm_padding_changes_no_slope():
+    m = small_model()
+    ids = np.random.default_rng(7).integers(0, lm.END, (2, lm.WINDOW + 1))
+    ids[1, 9:] = lm.PAD
+    loss, g = m.slope(ids, m.weights)
+    whole, part = m.slope(ids[:1], m.weights), m.slope(ids[1:, :9], m.weights)  # 32 and 8 targets
+    assert abs(loss - (whole[0] * 32 + part[0] * 8) / 40) < 1e-5
+    assert np.abs(g - (whole[1] * 32 + part[1] * 8) / 40).max() < 1e-5
+
+
 def test_subwords_of_long_runs():
     import public_tokenizers
 
