@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import html as entities
 import re
+from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import bounded_batches, kept
@@ -186,10 +187,10 @@ def best_path(found: list[tuple[str, str, int]]) -> tuple[str, float] | None:
 
 def text_of(found: list[tuple[str, str, int]], ranked: list[str]) -> str:
     """Blocks of the containers on the first of the ranked paths that the page has; without one, on its own best path."""
-    for path in ranked:
-        own = [t for p, t, _ in found if p == path or p.startswith(path + ">")]
-        if own:
-            return "\n".join(own)
+    have = {p for path, _, _ in found for p in accumulate(path.split(">"), "{}>{}".format)}
+    path = next((p for p in ranked if p in have), None)
+    if path is not None:
+        return "\n".join(t for p, t, _ in found if p == path or p.startswith(path + ">"))
     best = best_path(found)
     return "\n".join(t for p, t, _ in found if best and (p == best[0] or p.startswith(best[0] + ">")))
 
@@ -210,12 +211,11 @@ def _texts(batches):
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
-def winning_paths(pages: DataFrame, most: int = 8) -> DataFrame:
-    """(host, paths): the ``most`` highest voted paths of each host, best first."""
+def winning_paths(pages: DataFrame) -> DataFrame:
+    """(host, paths): all voted paths of each host, best first."""
     votes = pages.select("host", "html").mapInArrow(_votes, "host string, path string, score double").groupBy("host", "path").agg(F.sum(F.round("score")).alias("score"))
-    place = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("score"), "path"))
-    ranked = votes.withColumn("place", place).where(F.col("place") <= most)
-    return ranked.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "path"))), lambda x: x["path"]).alias("paths"))
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("place"), "path")))
+    return votes.groupBy("host").agg(F.transform(ranked, lambda x: x["path"]).alias("paths"))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

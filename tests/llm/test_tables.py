@@ -207,6 +207,17 @@ def page(spark, *rows):
     return spark.createDataFrame(list(rows), "page_id long, url string, html string, host string")
 
 
+def test_main_text_of_a_host_with_many_templates(spark):
+    names = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda".split()
+    say = lambda w, n: " ".join([w] * n)
+    html = lambda name, main, extra: f"<body><div class='{name}'><div class='story'><p>{main}</p></div><div class='more'><p>{extra}</p></div></div></body>"
+    many = [(k * 10 + j, "https://host.example/x", html(name, say(name, 300), "one two three"), None) for k, name in enumerate(names) for j in range(3)]
+    few = [(500 + j, "https://host.example/y", html("rare", say("right", 70), "one two three"), None) for j in range(2)]
+    odd = (600, "https://host.example/z", html("rare", say("right", 50), say("wrong", 90)), None)
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(page(spark, *many, *few, odd)).collect()}
+    assert got[600] == say("right", 50) and got[500] == say("right", 70) and got[0] == say("alpha", 300)
+
+
 def test_main_text(spark):
     odd = '<body><div class="post">short</div><div class="hot"><p>' + "a teaser that is longer than the post itself " * 4 + "</p></div></body>"
     rows = [(k, f"https://a.example.com/{k}", PAGE.replace("{cls}", "post").replace("{n}", str(k)), "x") for k in range(4)]
