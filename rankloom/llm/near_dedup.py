@@ -13,7 +13,8 @@ others.  What is left are buckets that still hold several components.  There, a
 similarity is bounded by how many shingles that others have too either document has, in
 each of 64 hash groups; pairs across components that the bound allows follow, from few
 centres first and then from all, so no candidate pair between different components is
-skipped.
+skipped.  A bucket is dealt out in parts of some hundred rows, each met by the centres
+or by the others, so no bucket is ever in one task.
 """
 
 from __future__ import annotations
@@ -25,11 +26,13 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
-from .store import bounded_batches, kept
+from .store import bounded_batches, drop, holding, kept
 
 BITS, LEADING, MANTISSA = 8, 6, 10
 K = 1 << BITS
 GROUPS = 64
+#: Centres of a left-over bucket that are tried first, and rows of one part of it.
+CENTRES, PART = 16, 256
 _order = np.random.default_rng(7).random((K, K), np.float32)
 _band_mult = np.random.default_rng(8).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -154,13 +157,44 @@ def _exploded(batches):
 
 
 def _mixed(rows: DataFrame, found: DataFrame | None) -> DataFrame:
-    """Rows (key, id, ...) with their component, of keys that hold several components; written once."""
+    """Rows (key, id) with their component, of keys that hold several components, and how many rows the key has; written once."""
     if found is None:
         rows = rows.withColumn("component", F.col("id"))
     else:
         rows = rows.join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    several = rows.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p < q")
-    return kept(rows.join(several.select("key"), "key", "left_semi"), "mixed")
+    several = rows.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count("*").alias("many")).where("p < q")
+    return kept(rows.join(several.select("key", "many"), "key"), "mixed")
+
+
+def _components(links: DataFrame) -> DataFrame:
+    steps = components(links)
+    found = kept(steps, "found")
+    drop(steps)
+    return found
+
+
+def _possible(state: DataFrame, shared: DataFrame, percent: int, centres: int) -> DataFrame:
+    """(a, b), a < b: pairs of different components in one bucket of ``state`` that the bounds allow, all or those with a centre.
+
+    The rows of a bucket are dealt out in parts of about PART; its centres, or all its
+    rows, come to each part.
+    """
+    some = state.select("key", "id", "component", "many")
+    if centres:
+        chosen = state.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(centres)).alias("slot")).agg(F.min("id").alias("id"))
+        some = some.join(chosen.select("key", "id"), ["key", "id"], "left_semi")
+    parts = F.ceil(F.col("many") / PART).cast("int")
+    part = F.pmod(F.xxhash64(F.col("id"), F.lit(1)), parts).cast("int")
+    side = lambda rows, end: rows.join(shared, "id").select("key", "part", *[F.col(c).alias(f"{c}_{end}") for c in ("id", "n", "shared", "profile", "component")])
+    x = side(state.withColumn("part", part), "x")
+    y = side(some.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))), "y")
+    could = lambda most: f"100 * {most} >= {percent} * (n_x + n_y - {most})"
+    # written out, the sum is compiled; as a higher-order function it would be interpreted for each pair
+    common = "(" + " + ".join(f"least(profile_x[{k}], profile_y[{k}])" for k in range(GROUPS)) + ")"
+    order = "id_x <> id_y" if centres else "id_x < id_y"
+    on = F.expr(f"{order} and component_x <> component_y and {could('least(shared_x, shared_y)')} and {percent} * (n_x + n_y) <= {100 + percent} * {common}")
+    pairs = x.join(y, (x["key"] == y["key"]) & (x["part"] == y["part"]) & on)
+    return pairs.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, rows: int = 6, bands: int = 42, slack: float = 0.13) -> DataFrame:
@@ -202,7 +236,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     tried = kept(buckets.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     links = check(tried)
-    found = components(links) if not links.isEmpty() else None
+    found = _components(links) if not links.isEmpty() else None
     mixed = _mixed(buckets.select("key", "id"), found)
     if not mixed.isEmpty():
         # A shingle that no other document left here has can't be shared.  How many of the
@@ -214,27 +248,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         shared = small.select("id", "n").join(sets.select("id", "profile").join(left, "id", "left_semi").dropDuplicates(["id"]), "id").join(alone, "id", "left")
         shared = shared.mapInArrow(_shared, "id long, n long, profile array<int>, shared long").where(f"100 * shared >= {percent} * n")
         shared = kept(shared, "shared")
-        low, high = 0, 16
-        while True:
-            state = _mixed(buckets.select("key", "id").join(shared, "id"), found).withColumn("place", F.expr("row_number() over (partition by key order by id)"))
-            last = state.agg(F.max("place")).first()[0]
-            if last is None or last <= low + 1:
+        for centres in (CENTRES, 0):
+            state = _mixed(buckets.select("key", "id").join(shared.select("id"), "id", "left_semi"), found)
+            if state.isEmpty():
+                drop(state)
                 break
-            a = state.where(f"place > {low} and place <= {high}").select("key", *[F.col(c).alias(f"{c}_a") for c in ("id", "n", "shared", "profile", "component", "place")])
-            b = state.select("key", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "shared", "profile", "component", "place")])
-            could = lambda most: f"100 * {most} >= {percent} * (n_a + n_b - {most})"
-            # written out, the sum is compiled; as a higher-order function it would be interpreted for each pair
-            common = "(" + " + ".join(f"least(profile_a[{k}], profile_b[{k}])" for k in range(GROUPS)) + ")"
-            on = F.expr(f"place_a < place_b and component_a <> component_b and {could('least(shared_a, shared_b)')} and {percent} * (n_a + n_b) <= {100 + percent} * {common}")
-            pairs = a.join(b, (a["key"] == b["key"]) & on).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-            pairs = kept(pairs, "pairs")
+            pairs = kept(_possible(state, shared, percent, centres).join(tried, ["a", "b"], "left_anti"), "pairs")
+            drop(state)
             if not pairs.isEmpty():
                 more = check(pairs)
                 if not more.isEmpty():
-                    links = kept(links.unionByName(more), "links")
-                    found = components(links)
-                tried = tried.unionByName(pairs)
-            low, high = high, 1 << 40
+                    every = kept(links.unionByName(more), "links")
+                    drop(links, found)
+                    links, found = every, _components(every)
+                drop(more)
+                tried = holding(tried.unionByName(pairs), tried, pairs)
+        drop(shared)
+    drop(mixed, tried, links, sets, buckets)
     rep = reps.select("sig_a", "sig_b", "n", F.col("id").alias("rep"))
     out = base.select("id", "n", "sig_a", "sig_b").join(rep, ["sig_a", "sig_b", "n"], "left")
     if found is not None:
@@ -242,19 +272,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     else:
         out = out.withColumn("component", F.lit(None).cast("long"))
     component = F.when(F.col("id").isNull(), F.col("id")).otherwise(F.coalesce("component", "rep", "id"))
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    out = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    return holding(out, base, reps, found)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Rows of ``docs``, all columns, without those linked to a smaller id.  Of rows with one id the first by text stays; null ids stay."""
     found = near_duplicates(docs, id_col, text_col, **options)
     gone = kept(found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    place = "_place"
-    while place in docs.columns:
-        place += "_"
+    drop(found)
+    place, own = "_place", "_own"
+    while place in docs.columns or own in docs.columns:
+        place, own = place + "_", own + "_"
     rows = docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
-    first = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))
     repeated = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").limit(1)
     if repeated.isEmpty():
-        return rows
-    return rows.withColumn(place, first).where((F.col(place) == 1) | F.col(id_col).isNull()).drop(place)
+        return holding(rows, gone)
+    # rows without an id stay, each in a window of its own
+    first = F.row_number().over(Window.partitionBy(id_col, own).orderBy(text_col))
+    rows = rows.withColumn(own, F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())).withColumn(place, first)
+    return holding(rows.where(F.col(place) == 1).drop(place, own), gone)

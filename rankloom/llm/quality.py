@@ -81,8 +81,7 @@ def statistics(texts: list[bytes]) -> np.ndarray:
     line_start = np.r_[0, line_end[:-1] + 1]
     filled = line_end > line_start
     line_start, line_end = line_start[filled], line_end[filled]
-    prefix, inverse = W.prefix_hash(buf)
-    line = W.mix((prefix[line_end] - prefix[line_start]) * inverse[line_start])
+    line = W.names(joined, W.prefix_hash(buf), line_start, line_end)
     line_of = owner[line_start] if len(line_start) else np.zeros(0, np.int64)
     lines = np.bincount(line_of, minlength=n).astype(float)
     distinct_lines, _ = _distinct(line_of, line, n)

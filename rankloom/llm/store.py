@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+#: Spark deletes the shuffle files of a job's plan when the job ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: dict[str, str] = {}
 
 
@@ -27,23 +30,43 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """df written as a table in the shared folder and read again: its lineage ends there."""
-    path = fresh(df.sparkSession, name)
-    df.write.parquet(path)
-    release(df.sparkSession)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
+@contextmanager
+def option(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A session option set for a while and put back."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished steps: it does so once the driver's JVM has collected their owners."""
-    gc.collect()
-    spark._jvm.System.gc()
 
-
-def drop(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written as a table in the shared folder and read again: its lineage, and the shuffle files it came from, end there."""
+    spark = df.sparkSession
+    path = fresh(spark, name)
+    with option(spark, CLEANUP, "true"):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept_at = (path,)
+    return out
+
+
+def holding(df: DataFrame, *tables: DataFrame | None) -> DataFrame:
+    """df, marked as a plan over these kept tables: dropping it drops them."""
+    df._kept_at = tuple(p for t in tables if t is not None for p in getattr(t, "_kept_at", ()))
+    return df
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Deletes kept tables that no plan reads any more."""
+    for t in tables:
+        for path in getattr(t, "_kept_at", ()) if t is not None else ():
+            p = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

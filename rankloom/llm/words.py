@@ -3,16 +3,23 @@
 All functions take lists of UTF-8 byte strings and work on whole texts.  A word
 is a maximal run of non-separator bytes; every byte of a multi-byte code point
 is a word byte, so byte-wise and code-point-wise splitting agree.
+
+Short strings are named by a running polynomial modulo 2**64.  Such a hash maps Thue-Morse
+strings of 1,024 bytes to one value whatever its base, so strings of LONG bytes or more
+are named by a cryptographic hash instead.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
+#: Strings of so many bytes are named by BLAKE2b.
+LONG = 64
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _BASE_INV = pow(_BASE, -1, 1 << 64)
@@ -61,6 +68,18 @@ def prefix_hash(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h, inverse
 
 
+def names(joined: bytes, prefix: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each joined[start:end]; ``prefix``: prefix_hash of the buffer."""
+    h, inverse = prefix
+    size = end - start
+    out = mix((h[end] - h[start]) * inverse[start] + size.astype(U64))
+    long = np.flatnonzero(size >= LONG)
+    if len(long):
+        digests = [hashlib.blake2b(joined[a:b], digest_size=8).digest() for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)]
+        out[long] = np.frombuffer(b"".join(digests), U64)
+    return out
+
+
 def words(texts: list[bytes], kind: bytes = SPACED) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
     """Of lower-cased texts: word hashes, word starts, word ends, first word of each text (n + 1 entries), the joined buffer."""
     joined = (b" ".join(texts) + b" ").translate(LOWER)
@@ -68,8 +87,7 @@ def words(texts: list[bytes], kind: bytes = SPACED) -> tuple[np.ndarray, np.ndar
     inside = np.frombuffer(b"\0" + joined.translate(kind), np.int8)
     edge = np.diff(inside)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    h, inverse = prefix_hash(buf)
-    hashes = mix((h[ends] - h[starts]) * inverse[starts] + (ends - starts).astype(U64))
+    hashes = names(joined, prefix_hash(buf), starts, ends)
     bounds = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(t) + 1 for t in texts], out=bounds[1:])
     return hashes, starts, ends, np.searchsorted(starts, bounds), joined
