@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -156,14 +156,24 @@ def _exploded(batches):
             yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + (1 << 18)]), pa.array(values[k : k + (1 << 18)])], ["id", "shingle"])
 
 
+def _parts() -> Column:
+    """Into how many parts a bucket of ``many`` rows is dealt."""
+    return F.ceil(F.col("many") / PART).cast("int")
+
+
+def _part(seed: int) -> Column:
+    return F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), _parts()).cast("int").alias("part")
+
+
 def _mixed(rows: DataFrame, found: DataFrame | None) -> DataFrame:
-    """Rows (key, id) with their component, of keys that hold several components, and how many rows the key has; written once."""
+    """Rows (key, id, many) with their component, of keys that hold several components; written once."""
     if found is None:
         rows = rows.withColumn("component", F.col("id"))
     else:
         rows = rows.join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    several = rows.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count("*").alias("many")).where("p < q")
-    return kept(rows.join(several.select("key", "many"), "key"), "mixed")
+    several = rows.groupBy("key", "many").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p < q")
+    several = several.select("key", F.explode(F.sequence(F.lit(0), _parts() - 1)).alias("part"))
+    return kept(rows.select("key", "id", "many", "component", _part(2)).join(several, ["key", "part"]).drop("part"), "mixed")
 
 
 def _components(links: DataFrame) -> DataFrame:
@@ -183,11 +193,9 @@ def _possible(state: DataFrame, shared: DataFrame, percent: int, centres: int) -
     if centres:
         chosen = state.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(centres)).alias("slot")).agg(F.min("id").alias("id"))
         some = some.join(chosen.select("key", "id"), ["key", "id"], "left_semi")
-    parts = F.ceil(F.col("many") / PART).cast("int")
-    part = F.pmod(F.xxhash64(F.col("id"), F.lit(1)), parts).cast("int")
     side = lambda rows, end: rows.join(shared, "id").select("key", "part", *[F.col(c).alias(f"{c}_{end}") for c in ("id", "n", "shared", "profile", "component")])
-    x = side(state.withColumn("part", part), "x")
-    y = side(some.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))), "y")
+    x = side(state.select("*", _part(1)), "x")
+    y = side(some.withColumn("part", F.explode(F.sequence(F.lit(0), _parts() - 1))), "y")
     could = lambda most: f"100 * {most} >= {percent} * (n_x + n_y - {most})"
     # written out, the sum is compiled; as a higher-order function it would be interpreted for each pair
     common = "(" + " + ".join(f"least(profile_x[{k}], profile_y[{k}])" for k in range(GROUPS)) + ")"
@@ -216,8 +224,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = base.where("n > 0 and id is not null").groupBy("sig_a", "sig_b", "n").agg(F.min(F.struct("id", "sketch", "keys")).alias("r"))
     reps = kept(classes.select("r.id", "n", "r.sketch", "r.keys", "sig_a", "sig_b"), "classes")
     rows_of = reps.select("id", F.explode("keys").alias("key"))
-    centre = rows_of.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre < last")
-    buckets = kept(rows_of.join(centre.select("key", "centre"), "key"), "buckets")
+    centre = rows_of.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("last"), F.count("*").alias("many")).where("centre < last")
+    buckets = kept(rows_of.join(centre.select("key", "centre", "many"), "key"), "buckets")
     wanted = buckets.select("id").distinct()
     sets = kept(source.where("id is not null").join(wanted, "id", "left_semi").mapInArrow(_sets, "id long, shingles binary, profile array<int>"), "sets")
     small = reps.select("id", "n", "sketch")
@@ -237,7 +245,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tried = kept(buckets.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     links = check(tried)
     found = _components(links) if not links.isEmpty() else None
-    mixed = _mixed(buckets.select("key", "id"), found)
+    mixed = _mixed(buckets.select("key", "id", "many"), found)
     if not mixed.isEmpty():
         # A shingle that no other document left here has can't be shared.  How many of the
         # rest each document has in each hash group bounds what any two have in common.
@@ -249,7 +257,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         shared = shared.mapInArrow(_shared, "id long, n long, profile array<int>, shared long").where(f"100 * shared >= {percent} * n")
         shared = kept(shared, "shared")
         for centres in (CENTRES, 0):
-            state = _mixed(buckets.select("key", "id").join(shared.select("id"), "id", "left_semi"), found)
+            state = _mixed(buckets.select("key", "id", "many").join(shared.select("id"), "id", "left_semi"), found)
             if state.isEmpty():
                 drop(state)
                 break
