@@ -4,20 +4,26 @@ Arrivals are appended as small immutable Parquet shards.  Compaction puts shards
 tiers by size, merges runs of similarly sized ones of a tier into one file of at most
 the target size, and commits the new list of shards.  A manifest is one JSON file per
 version; a commit writes a temporary file and renames it to the next version's name,
-which fails if another writer was first.  Readers see a whole version or the one before.
+which fails if another writer was first.  Readers see a whole version or the one before,
+whose files stay until a later vacuum.
+
+The table's schema is the union of all arrivals' columns: a column that an arrival lacks is
+null in its rows.  Names are compared without regard to case; a name that comes back with
+another type is refused.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 from dataclasses import asdict, dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 
 @dataclass(frozen=True)
@@ -31,6 +37,24 @@ class Conflict(RuntimeError):
     """Another writer committed a version, or removed a shard, that this commit needs."""
 
 
+def united(old: StructType | None, new: StructType) -> StructType:
+    """The columns of both, the old ones first, all nullable; a ValueError where one name has two types."""
+    fields = {f.name.lower(): StructField(f.name, f.dataType, True) for f in (old.fields if old else ())}
+    for f in new.fields:
+        have = fields.setdefault(f.name.lower(), StructField(f.name, f.dataType, True))
+        if have.dataType != f.dataType:
+            raise ValueError(f"{f.name} is {have.dataType.simpleString()} in the table and {f.dataType.simpleString()} in the arrival")
+    return StructType(list(fields.values()))
+
+
+def _free(name: str, taken: list[str]) -> str:
+    """The name, with underscores behind it until no column has it."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def tier(size: int, smallest: int, fan_in: int) -> int:
     """0 up to ``smallest`` bytes, one more for each factor of ``fan_in``."""
     return 0 if size <= smallest else 1 + int(math.log(size / smallest, fan_in))
@@ -51,11 +75,13 @@ def plan(shards: list[Shard], target: int, smallest: int, fan_in: int, flush: bo
         if len(members) < (2 if flush else fan_in):
             continue
         group: list[Shard] = []
+        total = 0
         for s in members:
-            if group and sum(x.bytes for x in group) + s.bytes > target:
+            if group and total + s.bytes > target:
                 out.append(group)
-                group = []
+                group, total = [], 0
             group.append(s)
+            total += s.bytes
         out.append(group)
     return [g for g in out if len(g) > 1]
 
@@ -63,8 +89,9 @@ def plan(shards: list[Shard], target: int, smallest: int, fan_in: int, flush: bo
 class ShardStore:
     """A table of immutable shards under ``root``; every state is a manifest version.
 
-    Rows pass through unchanged: nulls, repeated rows and any columns (by their unique
-    names) are kept; an empty arrival commits a version without new shards.
+    Rows pass through unchanged: nulls, repeated rows, very long texts and any columns (by
+    their unique names) are kept, a column that was once there for good; an empty arrival
+    commits a version without new shards, and its columns.
     """
 
     def __init__(self, spark: SparkSession, root: str, target: int = 128 << 20, smallest: int = 4 << 20, fan_in: int = 4, wave: int = 256):
@@ -91,15 +118,18 @@ class ShardStore:
     def shards(self, version: int | None = None) -> list[Shard]:
         return [Shard(**s) for s in self.manifest(version)["shards"]]
 
-    def commit(self, add: list[Shard], remove: list[Shard], schema: str, tries: int = 5) -> int:
-        """Commits the next version atomically; rebases on versions that others committed meanwhile."""
+    def schema(self, manifest: dict) -> StructType | None:
+        return StructType.fromJson(json.loads(manifest["schema"])) if manifest["schema"] else None
+
+    def commit(self, add: list[Shard], remove: list[Shard], schema: StructType, tries: int = 5) -> int:
+        """Commits the next version atomically, with the columns of ``schema`` besides those that are there; rebases on versions that others committed meanwhile."""
         gone = {s.path for s in remove}
         for _ in range(tries):
             now = self.manifest()
             here = {s["path"] for s in now["shards"]}
             if not gone <= here:
                 raise Conflict("a shard to be replaced isn't in the last version")
-            body = {"version": now["version"] + 1, "schema": schema, "shards": [s for s in now["shards"] if s["path"] not in gone] + [asdict(s) for s in add]}
+            body = {"version": now["version"] + 1, "schema": united(self.schema(now), schema).json(), "shards": [s for s in now["shards"] if s["path"] not in gone] + [asdict(s) for s in add]}
             temporary = self._path(f"{self.root}/_manifests/.{uuid.uuid4().hex}")
             out = self._fs.create(temporary, False)
             out.write(json.dumps(body).encode())
@@ -134,8 +164,9 @@ class ShardStore:
         return sorted((Shard(r["path"], r["bytes"], r["rows"]) for r in listed), key=lambda s: s.path)
 
     def append(self, df: DataFrame) -> int:
-        """Adds an arrival as it is partitioned: one small shard for each partition."""
-        return self.commit(self._write(df), [], df.schema.json())
+        """Adds an arrival as it is partitioned: one small shard for each partition.  Its columns may be others than the table's."""
+        united(self.schema(self.manifest()), df.schema)  # refuse before anything is written
+        return self.commit(self._write(df), [], df.schema)
 
     def compact(self, flush: bool = False) -> int:
         """Merges until no tier is full; returns the version.
@@ -143,19 +174,27 @@ class ShardStore:
         Each merged file is written by one task that streams its group's shards: no
         shuffle, and memory for one batch.  Old shards stay until ``vacuum``.
         """
-        version = self.manifest()["version"]
-        while groups := plan(self.shards(), self.target, self.smallest, self.fan_in, flush):
-            schema = StructType.fromJson(json.loads(self.manifest()["schema"]))
+        now = self.manifest()
+        while groups := plan([Shard(**s) for s in now["shards"]], self.target, self.smallest, self.fan_in, flush):
+            schema = self.schema(now)
             for k in range(0, len(groups), self.wave):
                 some = groups[k : k + self.wave]
                 merged = [self.spark.read.schema(schema).parquet(*[s.path for s in g]).coalesce(1) for g in some]
-                version = self.commit(self._write(reduce(DataFrame.unionByName, merged)), [s for g in some for s in g], schema.json())
+                self.commit(self._write(reduce(DataFrame.unionByName, merged)), [s for g in some for s in g], schema)
+            now = self.manifest()
             if flush:
                 break
-        return version
+        return now["version"]
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Deletes shards that none of the last ``keep`` versions lists, and older manifests; returns how many shards went."""
+    def vacuum(self, keep: int = 2, orphans_after: float = 86_400.0) -> int:
+        """Deletes shards that none of the last ``keep`` versions lists, and older manifests; returns how many shards went.
+
+        With ``keep`` 2 a reader of the last version survives one commit and the vacuum after
+        it.  Folders that no manifest lists, left by writers that failed, go once they are
+        ``orphans_after`` seconds old: a younger one may be about to be committed.
+        """
+        if keep < 1:
+            raise ValueError("the last version stays")
         versions = self.versions()
         live = {s.path for v in versions[-keep:] for s in self.shards(v)}
         old = {s.path for v in versions[:-keep] for s in self.shards(v)} - live
@@ -163,32 +202,39 @@ class ShardStore:
             self._fs.delete(self._path(p), False)
         for v in versions[:-keep]:
             self._fs.delete(self._path(f"{self.root}/_manifests/v{v:012d}.json"), False)
+        data = self._path(f"{self.root}/data")
+        used = {p.rsplit("/", 2)[-2] for p in live}
+        for x in self._fs.listStatus(data) if self._fs.exists(data) else []:
+            if x.getPath().getName() not in used and x.getModificationTime() < (time.time() - orphans_after) * 1000:
+                self._fs.delete(x.getPath(), True)
         return len(old)
 
     def read(self, version: int | None = None, shard: str | None = None) -> DataFrame:
-        """The rows of a version; ``shard`` names a column with the number of the row's shard in the manifest."""
+        """The rows of a version; ``shard`` names a column with the number of the row's shard in the manifest, with underscores behind it where the table has that name."""
         m = self.manifest(version)
-        if m["schema"] is None:
+        schema = self.schema(m)
+        if schema is None:
             raise ValueError("nothing was ever appended")
-        schema = StructType.fromJson(json.loads(m["schema"]))
+        shard = shard and _free(shard, schema.names)
         if not m["shards"]:
             out = self.spark.createDataFrame([], schema)
             return out.withColumn(shard, F.lit(None).cast("int")) if shard else out
         out = self.spark.read.schema(schema).parquet(*[s["path"] for s in m["shards"]])
         if shard is None:
             return out
+        at, path = _free("at", [*schema.names, shard]), _free("path", [*schema.names, shard])
         # as many rows as shards: the manifest, which the driver holds anyway
-        number = self.spark.createDataFrame([(s["path"], k) for k, s in enumerate(m["shards"])], "_path string, _number int")
+        number = self.spark.createDataFrame([(s["path"], k) for k, s in enumerate(m["shards"])], StructType([StructField(path, StringType()), StructField(shard, IntegerType())]))
         if len(m["shards"]) <= 100_000:  # some ten megabytes; beyond that the join is planned by size
             number = F.broadcast(number)
         name = out.metadataColumn("_metadata")["file_path"]
         columns = [F.col(f"`{c}`") for c in out.columns]
-        return out.select(*columns, name.alias("_path_of")).join(number, F.col("_path_of") == F.col("_path")).select(*columns, F.col("_number").alias(shard))
+        return out.select(*columns, name.alias(at)).join(number, F.col(at) == F.col(path)).select(*columns, F.col(shard))
 
 
 def arrivals(docs: DataFrame, id_col: str, n: int) -> list[DataFrame]:
     """docs as n arrivals by ranges of the id (null ids come first), which a scan can skip to."""
-    ids = F.col(id_col)
+    ids = F.col(f"`{id_col}`")
     cuts = sorted(set(docs.select(ids.cast("double").alias("_id")).stat.approxQuantile("_id", [k / n for k in range(1, n)], 0.01)))
     edges = [None, *[int(c) for c in cuts], None]
     out = []
