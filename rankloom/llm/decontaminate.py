@@ -7,12 +7,14 @@ is probed with the prefix words only, candidates are cut by the positional and l
 bounds (the window has to fit around the word), and the words themselves are compared.
 
 The benchmark side is broadcast in slices of at most ``slice_bytes`` of text, measured
-before; a larger benchmark takes more passes over the documents, never more memory.
+before.  A slice is held as its text and arrays of a few numbers for each word of it, some
+40 bytes for each byte of text; a larger benchmark takes more passes over the documents,
+never more memory.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,24 +26,55 @@ from .numbering import numbered
 from .store import bounded_batches, kept
 
 
-def _tokens(text: bytes) -> list[bytes]:
-    low = text.translate(W.LOWER)
-    return bytes(b if W.ALNUM[b] else 0x20 for b in low).split()
-
-
-def item_windows(items: list[tuple[str | None, str | None]], size: int) -> dict[tuple[bytes, ...], list[str]]:
-    """Distinct windows and the ids of the items that hold them; a null id marks words but is not listed."""
-    out: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
-    for item, text in items:
-        t = _tokens((text or "").encode())
-        for k in range(max(1, len(t) - size + 1) if t else 0):
-            out[tuple(t[k : k + size])].add(item)
-    return {w: sorted(x for x in ids if x is not None) for w, ids in out.items()}
+@dataclass
+class Windows:
+    """Distinct windows of some items, as places in the items' joined text.
 
+    ``hashes``, ``start``, ``end``: of each word of the text.  ``place``, ``size``, ``name``:
+    of each window, its first word, its words and its hash.  ``items[at[k]:at[k + 1]]``:
+    the numbers of the items that hold window k in ``ids``.
+    """
 
-def _hash_words(tokens: list[bytes]) -> np.ndarray:
-    h, _, _, first, _ = W.words(tokens, W.ALNUM)
-    return h
+    joined: bytes
+    hashes: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    place: np.ndarray
+    size: np.ndarray
+    name: np.ndarray
+    items: np.ndarray
+    at: np.ndarray
+    ids: list[str | None]
+
+    def words(self, k: int) -> list[bytes]:
+        p = int(self.place[k])
+        return [self.joined[a:b] for a, b in zip(self.start[p : p + self.size[k]].tolist(), self.end[p : p + self.size[k]].tolist(), strict=True)]
+
+    def named(self, k: int) -> list[str]:
+        """The ids of the items that hold window k; a null id marks words but is not listed."""
+        return sorted({x for x in (self.ids[j] for j in self.items[self.at[k] : self.at[k + 1]].tolist()) if x is not None})
+
+
+def item_windows(items: list[tuple[str | None, str | None]], size: int) -> Windows:
+    """The distinct windows of (id, text) items; a text of fewer words, but not none, is one window."""
+    h, start, end, first, joined = W.words([(t or "").encode() for _, t in items], W.ALNUM)
+    many = np.diff(first)
+    n = np.where(many >= size, many - size + 1, np.minimum(many, 1))
+    item = np.repeat(np.arange(len(items)), n)
+    place = first[:-1][item] + np.arange(len(item)) - np.repeat(np.cumsum(n) - n, n)
+    length = np.minimum(many, size)[item]
+    name, check = np.zeros(len(place), np.uint64), np.zeros(len(place), np.uint64)
+    for j in range(size):
+        has = np.flatnonzero(length > j)
+        word = h[place[has] + j]
+        name[has] += word * W._SHINGLE[j]
+        check[has] += W.mix(word + W._SHINGLE[j]) * W._SHINGLE[size + j]
+    name = W.mix(name + length.astype(np.uint64))
+    # windows are told apart by 128 bits of their words' names
+    order = np.lexsort((item, check, name))
+    name, check, item, place, length = name[order], check[order], item[order], place[order], length[order]
+    new = np.flatnonzero(np.r_[np.ones(min(1, len(name)), bool), (name[1:] != name[:-1]) | (check[1:] != check[:-1])])
+    return Windows(joined, h, start.astype(np.int32), end.astype(np.int32), place[new].astype(np.int32), length[new].astype(np.int32), name[new], item.astype(np.int32), np.r_[new, len(name)], [i for i, _ in items])
 
 
 def _counted(vocabulary):
@@ -68,7 +101,8 @@ def _counted(vocabulary):
 
 def _found(texts: list[bytes], shared: tuple) -> tuple[np.ndarray, ...]:
     """Text, word and window of every occurrence of a window, by text and word; first word of each text."""
-    prefix, begin, offset, window, size, name, content, _ = shared
+    windows, prefix, begin, offset, window = shared
+    size, name = windows.size, windows.name
     h, start, end, first, joined = W.words(texts, W.ALNUM)
     doc_of, at_of, win_of = (np.empty(0, np.int64) for _ in range(3))
     if len(h) and len(prefix):
@@ -88,7 +122,7 @@ def _found(texts: list[bytes], shared: tuple) -> tuple[np.ndarray, ...]:
             for j in range(n):
                 near += h[place[of_n] + j] * W._SHINGLE[j]
             of_n = of_n[W.mix(near + np.uint64(n)) == name[win[of_n]]]
-            exact = np.array([content[win[k]] == tuple(joined[start[p] : end[p]] for p in range(place[k], place[k] + n)) for k in of_n], bool)
+            exact = np.array([windows.words(win[k]) == [joined[start[p] : end[p]] for p in range(place[k], place[k] + n)] for k in of_n], bool)
             of_n = of_n[exact] if len(of_n) else of_n
             doc_of, at_of, win_of = np.r_[doc_of, doc[of_n]], np.r_[at_of, place[of_n]], np.r_[win_of, win[of_n]]
     order = np.lexsort((at_of, doc_of))
@@ -99,7 +133,8 @@ def _probed(shared):
     """(u, id, n_words, hit word runs, item ids) of every document."""
 
     def run(batches):
-        size, items = shared.value[4], shared.value[7]
+        windows = shared.value[0]
+        size = windows.size
         for batch in batches:
             for row, texts in W.chunks(batch.column("text")):
                 doc_of, at_of, win_of, first = _found(texts, shared.value)
@@ -109,7 +144,7 @@ def _probed(shared):
                     own = slice(cut[k], cut[k + 1])
                     at = at_of[own] - first[k]
                     spans.append(merged(zip(at.tolist(), (at + size[win_of[own]]).tolist(), strict=True)))
-                    ids.append(sorted({x for w in set(win_of[own].tolist()) for x in items[w]}))
+                    ids.append(sorted({x for w in set(win_of[own].tolist()) for x in windows.named(w)}))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("u").slice(row, len(texts)), batch.column("id").slice(row, len(texts)), pa.array(np.diff(first)), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(ids, pa.list_(pa.string()))],
                     ["u", "id", "n_words", "spans", "items"],
@@ -150,13 +185,16 @@ def _joined(batches):
         yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("id"), batch.column("n_words"), spans, items], ["u", "id", "n_words", "spans", "items"])
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = 10, slice_bytes: int = 16 << 20) -> DataFrame:
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = 10, slice_bytes: int = 4 << 20) -> DataFrame:
     """(u, id, n_words, spans, items) per row of ``docs``: hit word runs [start, end) and the ids, as strings, of items with occurring windows.
 
     Words are runs of ASCII letters and digits (A-Z lowered) and non-ASCII code points.
     Items of fewer than ``size`` words are one window; items and documents without words
-    or with null text hit nothing.  Repeated items and rows count as they stand.
+    or with null text hit nothing.  Repeated items and rows count as they stand; texts of
+    any length are read whole, and other columns are ignored, whatever their names.
     """
+    if not 0 < size <= 32:
+        raise ValueError("windows have 1 to 32 words")
     bounded_batches(docs.sparkSession)
     rows = numbered(docs, id_col, text_col)
     found, slices = None, 0
@@ -179,30 +217,30 @@ def _slices(benchmark: DataFrame, item_col: str, item_text: str, size: int, slic
         yield item_windows([tuple(r) for r in own.toLocalIterator()], size)
 
 
-def _shared(rows: DataFrame, windows: dict[tuple[bytes, ...], list[str]]):
+def _shared(rows: DataFrame, windows: Windows):
     """Windows under their prefix words, rarest in ``rows`` (text), broadcast."""
     context = rows.sparkSession.sparkContext
-    content = list(windows)
-    vocabulary = sorted({t for w in content for t in w})
-    hashes = _hash_words(vocabulary) if vocabulary else np.empty(0, np.uint64)
-    by_word = dict(zip(vocabulary, hashes.tolist(), strict=True))
-    common: dict[int, int] = {}
-    if content:
-        counts = rows.select("text").mapInArrow(_counted(context.broadcast(np.unique(hashes))), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-        common = {r["word"] % (1 << 64): r["n"] for r in counts.toLocalIterator()}  # the benchmark's words at most
-    led = []
-    for k, w in enumerate(content):
-        ranked = [(common.get(by_word[t], 0), by_word[t], j) for j, t in enumerate(w)]
-        rarest = min(ranked)
-        if rarest[0]:  # a word that no document holds rules its window out
-            led.append((rarest[1], rarest[2], k))
-    led.sort()
-    prefix, begin = np.unique(np.array([x[0] for x in led], np.uint64), return_index=True)
+    vocabulary, number = np.unique(windows.hashes, return_inverse=True)
+    many = np.zeros(len(vocabulary), np.int64)
+    if len(vocabulary):
+        counts = rows.select("text").mapInArrow(_counted(context.broadcast(vocabulary)), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        for r in counts.toLocalIterator():  # the benchmark's words at most
+            many[np.searchsorted(vocabulary, np.uint64(r["word"] % (1 << 64)))] = r["n"]
+    # the words' order from rare to frequent, and each window's rarest word
+    rarity = np.empty(len(vocabulary), np.int64)
+    rarity[np.lexsort((vocabulary, many))] = np.arange(len(vocabulary))
+    best, offset = np.full(len(windows.place), len(vocabulary)), np.zeros(len(windows.place), np.int64)
+    for j in range(int(windows.size.max(initial=0))):
+        has = np.flatnonzero(windows.size > j)
+        rank = rarity[number[windows.place[has] + j]]
+        less = rank < best[has]
+        best[has[less]], offset[has[less]] = rank[less], j
+    word = number[windows.place + offset] if len(vocabulary) else np.empty(0, np.int64)
+    led = np.flatnonzero(many[word] > 0)  # a word that no document holds rules its window out
+    led = led[np.lexsort((led, offset[led], vocabulary[word[led]]))]
+    prefix, begin = np.unique(vocabulary[word[led]], return_index=True)
     begin = np.r_[begin, len(led)].astype(np.int64)
-    size = np.array([len(w) for w in content], np.int64)
-    name = np.array([int(W.windows(np.array([by_word[t] for t in w], np.uint64), len(w))[0]) for w in content], np.uint64)
-    offset, window = (np.array([x[j] for x in led], np.int64) for j in (1, 2))
-    return context.broadcast((prefix, begin, offset, window, size, name, content, [windows[w] for w in content]))
+    return context.broadcast((windows, prefix, begin, offset[led], led))
 
 
 def report(hits: DataFrame) -> DataFrame:
@@ -214,7 +252,7 @@ def report(hits: DataFrame) -> DataFrame:
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = 10, slice_bytes: int = 16 << 20) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = 10, slice_bytes: int = 4 << 20) -> DataFrame:
     """Rows of ``docs``, all columns, without any occurrence of a window.  Texts are not moved: every slice is a filter where they lie."""
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
