@@ -164,11 +164,66 @@ def test_store_versions_compaction_and_conflicts(spark, docs, rows):
     assert store.read().exceptAll(docs.unionAll(docs)).count() == 0
     assert store.read(1).count() == len(rows)  # older versions stay readable until they are vacuumed
     with pytest.raises(shards.Conflict):
-        store.commit([], old[:1], docs.schema.json())
-    assert store.vacuum() > 0 and len(store.versions()) == 1
+        store.commit([], old[:1], docs.schema)
+    assert store.vacuum(keep=1) > 0 and len(store.versions()) == 1
     assert store.read().count() == 2 * len(rows)
 
 
+def test_store_keeps_columns_that_later_arrivals_lack(spark):
+    store = shards.ShardStore(spark, fresh(spark, "store"), smallest=1 << 10, fan_in=2)
+    make = lambda rows, schema: spark.createDataFrame(rows, schema).coalesce(1)
+    store.append(make([(1, "a", 5)], "id long, text string, extra int"))
+    store.append(make([(2, "b")], "id long, TEXT string"))
+    store.compact(flush=True)
+    store.vacuum()
+    store.append(make([("x", 7, None)], "extra2 string, extra int, id long"))
+    store.compact(flush=True)
+    store.vacuum(keep=1)
+    assert sorted(map(tuple, store.read().select("id", "text", "extra", "extra2").collect()), key=repr) == [(1, "a", 5, None), (2, "b", None, None), (None, None, 7, "x")]
+    with pytest.raises(ValueError, match="extra is int in the table"):
+        store.append(make([("x",)], "extra string"))
+
+
+def test_store_serves_readers_of_the_version_before(spark, docs, rows):
+    store = shards.ShardStore(spark, fresh(spark, "store"), smallest=1 << 10, fan_in=2)
+    store.append(docs)
+    store.append(docs)
+    reader = store.read()
+    store.compact(flush=True)
+    store.vacuum()
+    assert reader.count() == 2 * len(rows)
+    orphan = store._path(f"{store.root}/data/left-by-a-failed-writer")
+    store._fs.mkdirs(orphan)
+    store.vacuum()
+    assert store._fs.exists(orphan)
+    store.vacuum(orphans_after=-60.0)
+    assert not store._fs.exists(orphan) and store.read().count() == 2 * len(rows)
+
+
+def test_store_with_columns_of_its_own_names(spark):
+    clash = "_path _number _path_of path at shard _metadata file_path".split()
+    df = spark.createDataFrame([tuple(range(len(clash)))], ", ".join(f"{c} int" for c in clash))
+    store = shards.ShardStore(spark, fresh(spark, "store"))
+    store.append(df)
+    got = store.read(shard="shard")
+    assert got.columns == [*clash, "shard_"] and tuple(got.first()) == (*range(len(clash)), 0)
+
+
+def test_tiered_shards_query(spark):
+    """Every row of the query from a plain read of the documents and of the shards' files."""
+    import hashlib
+
+    import duckdb
+
+    from rankloom.llm import queries
+
+    got = queries.op2_tiered_shards(spark, SF).collect()
+    docs = duckdb.sql(f"select doc_id, source, coalesce(text, '') from '{SF}/documents.parquet'").fetchall()
+    want = sorted((i, s, len(t.encode()), hashlib.sha256(t.encode()).hexdigest()) for i, s, t in docs)
+    assert sorted((r["doc_id"], r["source"], r["n_bytes"], r["text_sha256"]) for r in got) == want
+    assert {r["shard"] for r in got} == set(range(len({r["shard"] for r in got}))) and len({r["version"] for r in got}) == 1
+
+
 def test_a_version_is_committed_once(spark, docs):
     store = shards.ShardStore(spark, fresh(spark, "store"))
     store.append(docs)
@@ -238,13 +293,44 @@ def test_hosts_agree_on_a_path(spark):
 
 
 def test_markup_that_is_broken():
-    texts = lambda h: [t for _, t, _ in html_text.blocks(h)]
+    texts = lambda h: [t for _, t, _ in html_text.blocks(h)[0]]
     assert texts("<p><b>a<br><p>b</b></div> c") == ["a", "b c"]
     assert texts("<script>x") == [] and texts("a<!-- b") == ["a"] and texts("<nav>x<article>y") == ["y"]
     assert texts("<table><tr><td>a<td>b<tr><td>c</table>") == ["a", "b", "c"]
     assert texts('<p title="a>b">c</p><p title="d>e</p>') [:1] == ["c"]
     assert texts("&#x41;&eacute;&bogus; &lt;p&gt;") == ["Aé&bogus; <p>"]
     assert texts("<div>" * 3000 + "x") == ["x"]
+    assert texts("<iframe><p>a<iframe><p>b") == ["a", "b"] and texts("<p>a</p <p>b") == ["a", "b"] and texts("a <b") == ["a <b"]
+    assert texts('x <i a=">" <i a=">"') == ['x <i a=">" <i a=">"'] and texts("1 <! 2") == ["1 <! 2"] and texts("a<!x>b<?y>c") == ["abc"]
+
+
+@pytest.mark.parametrize("unit", ["<div>", "<div class='x{k}'>", "<a ", "<ul>", "</ul>", "<p><ul>", "<i a='>' ", "</script ", "<iframe>", "<!-", "<!", "<", "&amp", "<form><p>", "<article><nav>", "<td>a"])
+def test_a_megabyte_of_broken_markup(unit):
+    """Time and memory in proportion to the page."""
+    import time
+    import tracemalloc
+
+    page = "<div>" * 20_000 + "".join(unit.replace("{k}", str(k)) for k in range(900_000 // len(unit))) + "the end of it"
+    began = time.process_time()
+    text = html_text.text_of(*html_text.blocks(page), [])
+    assert time.process_time() - began < 6 and ("the end of it" in text or unit in ("<form><p>", "<article><nav>", "<i a='>' ", "<!-", "<!", "<a ", "&amp", "<"))
+    if unit in ("<div>", "<td>a"):
+        tracemalloc.start()
+        html_text.text_of(*html_text.blocks(page[:300_000]), [])
+        assert tracemalloc.get_traced_memory()[1] < 60 << 20
+        tracemalloc.stop()
+
+
+def test_hosts_with_more_paths_than_are_listed(spark):
+    """Path by path or by a list: the same texts."""
+    say = lambda w, n: " ".join([w] * n)
+    html = lambda name, main, extra: f"<body><div class='{name}'><div class='story'><p>{main}</p></div><div class='more'><p>{extra}</p></div></div></body>"
+    names = ["a" * (k + 1) for k in range(12)]
+    rows = [(k * 10 + j, f"https://h{k % 2}.example/x", html(name, say(name, 30 + 40 * (j > 0)), say("more", 50)), None) for k, name in enumerate(names) for j in range(3)]
+    rows += [rows[0], (999, "https://h0.example/", None, None), (998, "https://h0.example/", "<p>bare", None), (None, None, "<div>no host", None)]
+    df = page(spark, *rows)
+    run = lambda n: sorted((tuple(r) for r in html_text.main_text(df, listed=n).collect()), key=repr)
+    assert run(0) == run(1) == run(1000) and len(run(0)) == len(rows)
 
 
 # graph
