@@ -13,7 +13,10 @@ Two exact reductions keep the sorted set far below one row per byte:
   of a cell share: a cell whose shared bytes are unique is out.
 * What is left, windows at the edges of repeats, is ranked at every position: names of
   ``base`` bytes first, then Spark sorts rank pairs at offsets base, 2 * base, ...
-  dropping positions whose pair is unique, until ranks stand for ``length`` bytes.
+  dropping positions whose pair is unique and reranking the others, until ranks stand for
+  ``length`` bytes.  Where ``length`` is ``base`` times a power of two, a position brings the
+  names of its later parts along, and each round pairs them too; else ranks at an offset
+  are looked up by a join.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .numbering import numbered
-from .store import bounded_batches, kept
+from .store import bounded_batches, drop, holding, kept
 
 _POS = 24
 _LOW = np.uint64((1 << _POS) - 1)
@@ -232,8 +235,17 @@ def _ranges(spans: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
     return x >> 32, x & 0xFFFFFFFF
 
 
+def _offsets(length: int, base: int) -> list[int]:
+    """Where the names lie that a position brings along: all parts of a window, its two ends, or its beginning only."""
+    many = length // base
+    if length % base == 0 and many & (many - 1) == 0:
+        return list(range(0, length, base))
+    return [0, length - base] if 2 * base >= length else [0]
+
+
 def _positions(length: int, base: int):
-    """Names of ``base`` bytes at the positions of each span of windows; pairs at offset ``base`` where that reaches ``length``."""
+    """Names of ``base`` bytes at the positions of each span of windows (x), and at the further offsets (y, rest)."""
+    offsets = _offsets(length, base)
 
     def run(batches):
         for batch in batches:
@@ -244,54 +256,67 @@ def _positions(length: int, base: int):
                 for k, t in enumerate(texts):
                     start, end = _ranges(spans[first + k])
                     zero = np.zeros(len(start), np.int64)
-                    _, start, end = _merged(zero, start, end + (0 if 2 * base >= length else length - base))
+                    _, start, end = _merged(zero, start, end + (length - base if len(offsets) == 1 else 0))
                     for a, b in zip(start, end, strict=True):
                         b = min(b, len(t) - base + 1)
                         piece = np.frombuffer(t[a : min(b + length, len(t))], np.uint8)
                         h, inverse = W.prefix_hash(piece)
                         at = np.arange(b - a)
-                        name = lambda s, e, h=h, inverse=inverse: W.mix((h[e] - h[s]) * inverse[s])
-                        rank = name(at, at + base)
-                        other = name(at + length - base, at + length) if 2 * base >= length else np.zeros(b - a, np.uint64)
-                        out.append((np.full(b - a, ids[first + k]), at + a, rank, other))
+                        names = [W.mix((h[at + o + base] - h[at + o]) * inverse[at + o]) for o in offsets]
+                        out.append((np.full(b - a, ids[first + k]), at + a, np.column_stack([*names, *[np.zeros(b - a, np.uint64)] * (len(offsets) == 1)])))
                 if out:
-                    u, s, x, y = (np.concatenate(c) for c in zip(*out, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(s.astype(np.int32)), pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], ["u", "s", "x", "y"])
+                    yield _ranks(*(np.concatenate(c) for c in zip(*out, strict=True)))
 
     return run
 
 
+_RANKS = "u long, s int, x long, y long, rest array<long>"
+
+
+def _ranks(u: np.ndarray, s: np.ndarray, names: np.ndarray) -> pa.RecordBatch:
+    """Positions with the names of their parts: the first two apart, as they are sorted by."""
+    rest = np.ascontiguousarray(names[:, 2:]).view(np.int64)
+    lists = pa.ListArray.from_arrays(np.arange(len(u) + 1, dtype=np.int32) * rest.shape[1], rest.ravel())
+    return pa.RecordBatch.from_arrays([pa.array(u), pa.array(s.astype(np.int32)), pa.array(names[:, 0].view(np.int64)), pa.array(names[:, 1].view(np.int64)), lists], ["u", "s", "x", "y", "rest"])
+
+
+def _paired(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The names of pairs of names."""
+    return W.mix(x * np.uint64(3) + W.mix(y))
+
+
 def _ranked(last: bool, length: int):
     """Rows sorted by x, y, u, s.  Not last: new ranks of positions whose pair is not unique.  Last: spans of all but the first position of each pair."""
 
     def run(batches):
-        held = None  # the previous row: x, y, u, s, whether its pair was seen before
+        held = None  # the previous row: x, y, u, s, rest, whether its pair was seen before
         for batch in batches:
             x, y, u, s = (batch.column(c).to_numpy(zero_copy_only=False) for c in "xyus")
             if not len(x):
                 continue
+            rest = batch.column("rest").flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
             if held is not None:
-                x, y, u, s = (np.r_[a, b] for a, b in zip(held[:4], (x, y, u, s), strict=True))
+                x, y, u, s, rest = (np.concatenate([a, b]) for a, b in zip(held[:5], (x, y, u, s, rest), strict=True))
             first = np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])]
             if held is not None:
-                first[0] = not held[4]
+                first[0] = not held[5]
             if last:
-                rest = ~first
+                late = ~first
                 if held is not None:
-                    rest[0] = False  # given out with its own batch
-                a, b, c = _merged(u[rest], s[rest].astype(np.int64), s[rest].astype(np.int64) + length)
+                    late[0] = False  # given out with its own batch
+                a, b, c = _merged(u[late], s[late].astype(np.int64), s[late].astype(np.int64) + length)
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b.astype(np.int32)), pa.array((b - c).astype(np.int32))], ["u", "start", "n"])
             else:
-                lead = first.copy()
-                lead[0] = True
-                repeated = ~first | np.r_[~first[1:], False]
-                rank = W.mix(x.view(np.uint64) * np.uint64(3) + W.mix(y.view(np.uint64))).view(np.int64)
-                out = repeated.copy()
+                out = ~first | np.r_[~first[1:], False]
                 if held is not None:
-                    out[0] &= not held[4]
-                yield pa.RecordBatch.from_arrays([pa.array(u[out]), pa.array(s[out]), pa.array(rank[out])], ["u", "s", "x"])
-            held = (x[-1:], y[-1:], u[-1:], s[-1:], bool(not first[-1]))
+                    out[0] &= not held[5]
+                parts = np.column_stack([x, y, rest])[out].view(np.uint64)
+                pairs = [_paired(parts[:, k], parts[:, k + 1]) for k in range(0, parts.shape[1] - 1, 2)]
+                if len(pairs) == 1:  # what it is paired with next is looked up
+                    pairs.append(np.zeros(len(parts), np.uint64))
+                yield _ranks(u[out], s[out], np.column_stack(pairs))
+            held = (x[-1:], y[-1:], u[-1:], s[-1:], rest[-1:], bool(not first[-1]))
 
     return run
 
@@ -315,7 +340,7 @@ def _removed(batches):
             )
 
 
-def repeated_spans(rows: DataFrame, length: int = 100, gram: int = 25, base: int = 50, width: int = 8) -> DataFrame:
+def repeated_spans(rows: DataFrame, length: int = 100, gram: int = 25, base: int = 25, width: int = 8) -> DataFrame:
     """(u, spans) of documents with bytes covered by a ``length``-byte string that starts earlier in (u, position) order.
 
     ``rows``: (u, id, text) with unique u.  spans: packed start * 2**32 + end, unmerged.
@@ -333,22 +358,26 @@ def repeated_spans(rows: DataFrame, length: int = 100, gram: int = 25, base: int
     edge = sampled.where("n > 0").groupBy("u").agg(F.collect_list(F.expr("start * 65536L + offset * 256 + n")).alias("spans"))
     celled = settled(rows.select("u", "text").join(edge, "u").mapInArrow(_cells(length, width), _RUN))
     edge = celled.where("n > 0").groupBy("u").agg(F.collect_list(F.expr("start * 4294967296L + start + n")).alias("spans"))
-    at = rows.select("u", "text").join(edge, "u").mapInArrow(_positions(length, base), "u long, s int, x long, y long")
-    h = base
-    while 2 * h < length:
-        offset = h
-        at = kept(at.select("u", "s", "x"), "ranks")
-        other = at.select("u", (F.col("s") - offset).alias("s"), F.col("x").alias("y"))
-        pairs = at.join(other, ["u", "s"])
-        at = pairs.repartition("x", "y").sortWithinPartitions("x", "y", "u", "s").mapInArrow(_ranked(False, length), "u long, s int, x long")
-        h *= 2
-    if h > base:
-        at = kept(at, "ranks")
+    at = rows.select("u", "text").join(edge, "u").mapInArrow(_positions(length, base), _RANKS)
+    by_pair = lambda rows: rows.repartition("x", "y").sortWithinPartitions("x", "y", "u", "s")
+    names, h = len(_offsets(length, base)), base
+    tables = []
+    while 2 * h < length and names != 2:
+        if names == 1:
+            at = kept(at.select("u", "s", "x", "rest"), "ranks")
+            tables.append(at)
+            at = at.join(at.select("u", (F.col("s") - h).alias("s"), F.col("x").alias("y")), ["u", "s"])
+        at = by_pair(at).mapInArrow(_ranked(False, length), _RANKS)
+        names, h = max(1, names // 2), 2 * h
+    if names == 1:
+        at = kept(at.select("u", "s", "x", "rest"), "ranks")
+        tables.append(at)
         at = at.join(at.select("u", (F.col("s") - (length - h)).alias("s"), F.col("x").alias("y")), ["u", "s"])
-    late = at.repartition("x", "y").sortWithinPartitions("x", "y", "u", "s").mapInArrow(_ranked(True, length), "u long, start int, n int")
+    late = by_pair(at).mapInArrow(_ranked(True, length), "u long, start int, n int")
     late = kept(late, "late")
+    drop(*tables)
     spans = sampled.where("n < 0").unionByName(celled.where("n < 0")).select("u", "start", "n").unionByName(late)
-    return spans.groupBy("u").agg(F.collect_list(F.expr("start * 4294967296L + start - n")).alias("spans"))
+    return holding(spans.groupBy("u").agg(F.collect_list(F.expr("start * 4294967296L + start - n")).alias("spans")), sampled, celled, late)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
@@ -360,7 +389,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = numbered(docs, id_col, text_col)
     spans = repeated_spans(rows, length)
-    return rows.join(spans, "u", "left").select("id", "text", "spans").mapInArrow(_removed, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", "doc_id")
+    out = rows.join(spans, "u", "left").select("id", "text", "spans").mapInArrow(_removed, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", "doc_id")
+    return holding(out, rows, spans)
 
 
 def _ranges_of(spans: list[int]) -> list[tuple[int, int]]:
