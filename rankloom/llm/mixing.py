@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import kept
+from .store import drop, holding, kept
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -90,13 +90,14 @@ class Mix:
     Null texts and texts without words have size 0 and are taken 0 times; null is a
     source of its own.  Equal rows are separate documents in any order; null ids come
     first.  Columns of docs other than the three named are ignored, whatever their names.
+    Texts of any length are counted whole; a long one is many blocks.
     The sizes and the plan are written once, so that every later read agrees.
     """
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = 32, shard_blocks: int = 4096, seed: int = 20240517, bins: int = 1024, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0):
         self.block = block
         self._columns = (id_col, text_col, source_col, seed, bins)
-        rows = kept(sized(docs, *self._columns), "sizes")
+        self._sizes = rows = kept(sized(docs, *self._columns), "sizes")
         by_bin = rows.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
         goals = targets(by_bin.groupBy("source").agg(F.sum("bin_size").alias("source_size")), weights, most)
         goals = goals.withColumn("k", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
@@ -125,6 +126,7 @@ class Mix:
         first = F.col("bin_first") + F.coalesce(F.sum("size").over(inside), F.lit(0))
         placed = kept(rows.select("doc_id", "source", "size", "source_size", "target", "k", "bin", first.alias("first_word")), "placed")
 
+        drop(self._sizes)
         self.placed = placed
 
         # blocks joined by index: how many words of each document they take
@@ -137,10 +139,13 @@ class Mix:
         self.documents = both.withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long")).drop("_k", "_f", "bin")
 
     def applied(self, docs: DataFrame) -> DataFrame:
-        """Rows of ``docs``, all columns, as the mix takes them: a row for each lap with the text's words that are in blocks of that lap.
+        """Rows of ``docs``, all columns, as the mix takes them.
 
-        A lap that takes the whole text keeps it unchanged; else its words are joined by
-        one space, and a column n_chars is set to the new length.  Texts without words go.
+        A lap that takes a whole text gives one row with the text unchanged.  A lap that
+        takes some blocks of it gives one row for each run of neighbouring blocks: the
+        run's words, in order, joined by one space.  So a row is a stretch of one document,
+        never pieces of it glued together.  A column n_chars is set to the new length.
+        Texts without words go.
         """
         id_col, text_col, source_col, seed, bins = self._columns
         # how often each block of a text is taken, in the order of its blocks
@@ -157,17 +162,27 @@ class Mix:
             same = rows["_n"] == where["n"]
         where = where.withColumnRenamed("size", "_sz").join(laps, ["k", "first_word"])
         rows = rows.join(where, rows["_id"].eqNullSafe(where["doc_id"]) & (rows["_size"] == where["_sz"]) & rows["_source"].eqNullSafe(where["source"]) & same)
-        rows = rows.select("*", F.explode(F.sequence(F.lit(1), F.col("laps").cast("int"))).alias("_lap"))
+        # only texts that some lap takes in part are split into words, once for all laps
         words = F.regexp_extract_all(F.col(f"_row.`{text_col}`"), F.lit(f"({WORD})"), F.lit(1))
-        own = F.floor(F.col("first_word") / self.block)
-        chosen = F.filter(words, lambda w, i: F.get("times", F.floor((F.col("first_word") + i) / self.block) - own) >= F.col("_lap"))
+        rows = rows.withColumn("_words", F.when(F.array_min("times") < F.col("laps"), words))
+        rows = rows.select("*", F.explode(F.sequence(F.lit(1), F.col("laps").cast("int"))).alias("_lap"))
+        # runs of blocks that the lap takes: each begins where the block before is not taken, and ends where the next is not
+        taken = lambda i: F.coalesce(F.get("times", i) >= F.col("_lap"), F.lit(False))
+        places = F.sequence(F.lit(0), F.size("times") - 1)
+        begins = F.filter(places, lambda i: taken(i) & ~taken(i - 1))
+        ends = F.filter(places, lambda i: taken(i) & ~taken(i + 1))
         whole = F.array_min("times") >= F.col("_lap")
-        text = F.when(whole, F.col(f"_row.`{text_col}`")).otherwise(F.array_join(chosen, " "))
+        runs = F.when(whole, F.array(F.struct(F.lit(0).alias("a"), (F.size("times") - 1).alias("b")))).otherwise(F.transform(F.arrays_zip(begins.alias("a"), ends.alias("b")), lambda r: F.struct(r["a"].alias("a"), r["b"].alias("b"))))
+        rows = rows.select("*", whole.alias("_whole"), F.explode(runs).alias("_run"))
+        own = F.floor(F.col("first_word") / self.block)
+        begin = F.greatest((own + F.col("_run.a")) * self.block - F.col("first_word"), F.lit(0)).cast("int")
+        end = F.least((own + F.col("_run.b") + 1) * self.block - F.col("first_word"), F.col("_size")).cast("int")
+        text = F.when(F.col("_whole"), F.col(f"_row.`{text_col}`")).otherwise(F.array_join(F.slice("_words", begin + 1, end - begin), " "))
         out = rows.select("_row", text.alias("_text")).where("_text <> ''")
         value = {text_col: F.col("_text")} | ({"n_chars": F.length("_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-        return out.select(*[value.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
+        return holding(out.select(*[value.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns]), self.goals, self.plan, self.placed)
 
 
 def report(mix: Mix) -> DataFrame:
     """Digest columns of a mix."""
-    return mix.documents.select("doc_id", "size", "source_size", "target", "taken", "source")
+    return holding(mix.documents.select("doc_id", "size", "source_size", "target", "taken", "source"), mix.goals, mix.plan, mix.placed)
