@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .store import bounded_batches, kept
+from .store import bounded_batches, drop, kept
 
 # The base patterns, their order and least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -172,7 +172,7 @@ class Field:
         edges = np.flatnonzero(np.diff(np.r_[0, active.astype(np.int8), 0]))
         out = []
         starts = set(first.tolist())
-        cuts = np.sort(first)
+        cuts = np.unique(first)  # empty texts begin where the next one does
         for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
             inner = cuts[np.searchsorted(cuts, a, "right") : np.searchsorted(cuts, b, "left")].tolist()
             for x, y in zip([a, *inner], [*inner, b], strict=True):
@@ -365,14 +365,13 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     short = rows.where(F.length("text").between(1, sample_chars)).select("text", F.xxhash64("text").alias("h"))
     hot = F.col("text").rlike(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}""")
-    # the patterns run over all texts once; texts are fetched by the hashes below a cut
+    # the patterns run over all texts once; then one pass fetches the texts with hashes below their kind's cut, and looks again at those only
     marks = kept(short.select("h", hot.alias("hot")).distinct(), "marks")
-    texts = []
-    for kind in (True, False):
-        cut = marks.where(F.col("hot") == kind).orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
-        if cut is not None:
-            found = short.where((F.col("h") <= cut) & (hot == kind)).select("text").distinct()
-            texts += sorted(r["text"] for r in found.collect())
+    cuts = [marks.where(F.col("hot") == kind).orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0] for kind in (True, False)]
+    drop(marks)
+    own = [F.lit(False) if cut is None else F.col("h") <= cut for cut in cuts]
+    found = short.where((own[0] | own[1]) & ((own[0] & hot) | (own[1] & ~hot))).select("text", hot.alias("hot")).distinct().collect()
+    texts = [t for _, t in sorted((not r["hot"], r["text"]) for r in found)]
     shared = spark.sparkContext.broadcast(train(*sample_lines(texts)))
 
     def run(batches):
