@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .store import bounded_batches, kept, some_rows
+from .store import bounded_batches, drop, holding, kept, some_rows
 
 _CLASSES = (b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\r\x0b\x0c", b"\n", b".,;:'\"()-", b"!?", b"#$%&*@", b"|/\\<>[]{}=_~^`+")
 _OTHER_ASCII, _WIDE = len(_CLASSES), len(_CLASSES) + 1
@@ -173,6 +173,22 @@ def _paths(x: np.ndarray, bins: np.ndarray, cuts: list[np.ndarray], residual: np
         _paths(x, bins, cuts, residual, curve, rows[under != greater], features, depth, least, longer, out, step)
 
 
+def lasso(a: np.ndarray, y: np.ndarray, penalty: float, base: float = 0.0, steps: int = 400) -> tuple[np.ndarray, float]:
+    """Weights and intercept that minimise the mean logistic loss plus ``penalty`` times the weights' sizes, by accelerated proximal gradient steps."""
+    w, b, v, c, t = np.zeros(a.shape[1], np.float32), base, np.zeros(a.shape[1], np.float32), base, 1.0
+    top = float(np.linalg.norm(a[:2000].T @ a[:2000], 2)) / max(1, min(2000, len(a))) if a.shape[1] else 1.0
+    rate = 1 / (0.25 * (1.5 * top + 1))
+    for _ in range(steps):
+        r = (1 / (1 + np.exp(-(a @ v + c))) - y).astype(np.float32)
+        new = v - rate * (a.T @ r) / len(y)
+        new = np.sign(new) * np.maximum(np.abs(new) - rate * penalty, 0)
+        new_b = c - rate * float(r.mean())
+        t_new = (1 + (1 + 4 * t * t) ** 0.5) / 2
+        v, c = new + (t - 1) / t_new * (new - w), new_b + (t - 1) / t_new * (new_b - b)
+        w, b, t = new, new_b, t_new
+    return w, b
+
+
 def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rate: float = 0.3, bins: int = 32, penalty: float = 0.002, seed: int = 11) -> Rules:
     """Boosted trees to rules, rules to sparse logistic weights.  One class only or no rows: a constant score."""
     if not len(y) or y.min() == y.max():
@@ -199,18 +215,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rate: flo
     use = scale > 0
     rules, holds, mean, scale = [r for r, u in zip(rules, use, strict=True) if u], holds[:, use], mean[use], scale[use]
     a = (holds - mean) / scale
-    # accelerated proximal gradient for the lasso logistic model
-    w, b, v, c, t = np.zeros(a.shape[1], np.float32), base, np.zeros(a.shape[1], np.float32), base, 1.0
-    top = float(np.linalg.norm(a[:2000].T @ a[:2000], 2)) / max(1, min(2000, len(a))) if a.shape[1] else 1.0
-    rate = 1 / (0.25 * (1.5 * top + 1))
-    for _ in range(400):
-        r = (1 / (1 + np.exp(-(a @ v + c))) - y).astype(np.float32)
-        new = v - rate * (a.T @ r) / len(y)
-        new = np.sign(new) * np.maximum(np.abs(new) - rate * penalty, 0)
-        new_b = c - rate * float(r.mean())
-        t_new = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        v, c = new + (t - 1) / t_new * (new - w), new_b + (t - 1) / t_new * (new_b - b)
-        w, b, t = new, new_b, t_new
+    w, b = lasso(a, y, penalty, base)
     keep = np.flatnonzero(w)
     weights = (w / scale).astype(float)
     return Rules([rules[k] for k in keep], [float(weights[k]) for k in keep], float(b - (weights * mean).sum()))
@@ -229,7 +234,9 @@ def train(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col
     """
     wanted = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where(F.col("_y").isin(0, 1) & ~is_held_out(F.col("_id")))
     rows = kept(stats.join(wanted, stats["id"] == wanted["_id"]).select("id", "stats", "_y"), "labelled")
+    labelled = rows
     rows = some_rows(rows, F.xxhash64("id", "_y"), most_rows)
+    drop(labelled)
     rows.sort(key=lambda r: (r["id"], r["_y"], r["stats"]))
     x = np.array([r["stats"] for r in rows], float).reshape(len(rows), len(STATS))
     return fit(x, np.array([r["_y"] for r in rows], float))
@@ -242,7 +249,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     stats = kept(with_statistics(rows, "text", "stats").select("id", "stats"), "statistics")
     model = train(stats, labels, id_col, most_rows=most_rows)
     out = stats.select(F.col("id").alias("doc_id"), is_held_out(F.col("id")).alias("held_out"), model.column(F.col("stats")).alias("score"))
-    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return holding(out.withColumn("predicted", (F.col("score") >= 0.5).cast("int")), stats)
 
 
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 40_000) -> DataFrame:
