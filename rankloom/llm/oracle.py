@@ -41,3 +41,50 @@ t as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as
 select d.doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join c on c.doc_id = d.doc_id left join t on t.doc_id = d.doc_id
 """
+
+# the fixed columns of queries whose other columns SQL can't express
+
+_CRC = """xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, length({c}::varchar) + 1), lambda i: unicode(substr({c}::varchar, i, 1))::bigint)),
+  lambda acc, b: list_reduce(list_prepend(xor(acc, b), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+
+
+def _held_out(modulus: int, remainder: int) -> str:
+    return f"coalesce({_CRC.format(c='doc_id')} % {modulus} = {remainder}, false)"
+
+
+QUALITY_SPLIT = f"select doc_id, {_held_out(3, 1)} as held_out from documents"
+
+MIX_TARGETS = """
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size from documents),
+s as (select source, sum(size) as n, list_extract([5.0::double, 2.0::double, 1.0::double], (row_number() over (order by source nulls last) - 1) % 3 + 1) as w from d group by source),
+t as (select *, (sum(n) over () - coalesce(sum(3.0 * n) over (order by 3.0 * n / w, source nulls last rows between unbounded preceding and 1 preceding), 0)) / sum(w) over (order by 3.0 * n / w, source nulls last rows between current row and unbounded following) as level from s),
+l as (select min_by(level, 3.0 * n / w) as level from t where level * w <= 3.0 * n)
+select doc_id, size, n::bigint as source_size, round(least(3.0 * n, coalesce(l.level * w, 3.0 * n))::double, 4) as target from d join t on t.source is not distinct from d.source, l
+"""
+
+_ASSIGN = """([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_SPAN = "select doc_id, {k} as k, '{kind}' as kind, unnest(regexp_extract_all(t, '{p}')) as m, unnest(regexp_extract_all(t, '{p}', {g})) as v, unnest(string_split_regex(t, '{p}')[:len(regexp_extract_all(t, '{p}'))]) as before, generate_subscripts(regexp_extract_all(t, '{p}'), 1) as j from d"
+
+SECRET_BASE = f"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+m as ({_SPAN.format(k=0, kind="assign", p=_ASSIGN, g=2)} union all {_SPAN.format(k=1, kind="access", p="AKIA[A-Z0-9]+", g=0)} union all {_SPAN.format(k=2, kind="hex", p="[0-9a-f]+", g=0)}),
+p as (select *, sum(length(before) + length(m)) over (partition by doc_id, k order by j) as stop from m),
+b as (select doc_id, k, kind, stop - length(m) as start, stop from p where length(v) >= case k when 0 then 6 when 1 then 20 else 24 end),
+a as (select doc_id, count(*) filter (where k = 0) as n_assign, count(*) filter (where k = 1) as n_access, count(*) filter (where k = 2) as n_hex, string_agg(kind || ':' || start::bigint || ':' || stop::bigint, ',' order by start, k) as spans from b group by doc_id)
+select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(spans, '')) as base_sha256 from d left join a on a.doc_id = d.doc_id
+"""
+
+EDITED_TEXTS = """
+with d as (select doc_id, coalesce(text, '') as t from documents),
+n as (select *, length(t) as n, coalesce(lead(t) over (order by doc_id), first_value(t) over (order by doc_id)) as following from d)
+select doc_id, n as n_chars, sha256(substr(t, 1, n - n // 2) || substr(following, 1, n // 2)) as edited_sha256 from n
+"""
+
+LM_BASE = f"""
+with d as (select doc_id, {_held_out(7, 2)} as held_out, {_SPACED} as w from documents),
+t as (select doc_id, held_out, unnest(list_append(w, null)) as w from d),
+c as (select w, count(*) as c from t where not held_out group by w),
+k as (select sum(c) as n, count(*) as v from c)
+select doc_id, held_out, count(*) as n_tokens, count(*) filter (where c > 0) as n_known, max(n)::bigint as train_tokens, round(sum(log10((coalesce(c, 0) + 1) / (n + v + 1))), 4) as base_score
+from t left join c on c.w is not distinct from t.w, k group by doc_id, held_out
+"""

@@ -60,6 +60,53 @@ def test_compiled_rules_equal_the_model(spark):
     assert np.allclose(got, model.score(x))
 
 
+def plain_statistics(text):
+    """The statistics of a text, counted byte by byte and word by word."""
+    raw = text.encode()
+    if not raw:
+        return [0.0] * len(quality.STATS)
+    kinds = [quality._CLASS[b] for b in raw]
+    n = len(raw)
+    words = [w for w in re.split(rb"[\x20\x09-\x0D]+", raw) if w]
+    low = [w.lower() for w in words]
+    many = max(1, len(words))
+    share = lambda k: kinds.count(k) / n
+    each = lambda f: sum(bool(f(w)) for w in words) / many
+    letters = lambda w: [b for b in w if quality._CLASS[b] <= 1]
+    lines = [x for x in raw.split(b"\n") if x]
+    distinct_pairs = len(set(zip(low, low[1:], strict=False)))
+    at_least = max(1, len(lines))
+    return [
+        np.log1p(n), np.log1p(len(words)), sum(map(len, words)) / many, each(lambda w: len(w) > 14), each(lambda w: len(w) < 3), *[share(k) for k in range(11)],
+        len(set(low)) / many, max(map(low.count, low), default=0) / many, sum(a == b for a, b in zip(low, low[1:], strict=False)) / many, each(lambda w: quality._CLASS[w[-1]] == 7), each(lambda w: quality._CLASS[w[-1]] == 6),
+        each(lambda w: len(letters(w)) > 1 and all(65 <= b <= 90 for b in letters(w))), each(lambda w: any(48 <= b <= 57 for b in w)), np.log1p(len(lines)), np.log1p(n / at_least),
+        len({x.lower() for x in lines}) / at_least, sum(quality._CLASS[x[-1]] in (5, 6) for x in lines) / at_least, distinct_pairs / max(1, len(words) - 1),
+    ]
+
+
+def test_statistics_against_plain_counting():
+    import random
+
+    rng = random.Random(4)
+    bits = ["one", "Two", "TWO", " ", "  ", "\n", "\n\n", ".", "!", "#", "<b>", "x9", "é", "日本", "\t", "averylongwordindeed", "y" * 80, "\x00"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(0, 60))) for _ in range(300)]
+    got = quality.statistics([t.encode() for t in texts])
+    assert np.allclose(got, np.array([plain_statistics(t) for t in texts]))
+
+
+def test_lasso_is_at_its_optimum():
+    rng = np.random.default_rng(3)
+    a = rng.standard_normal((600, 25)).astype(np.float32)
+    y = (rng.random(600) < 1 / (1 + np.exp(-(2 * a[:, 0] - a[:, 1] + 0.3)))).astype(float)
+    for penalty in (0.002, 0.05, 1.0):
+        w, b = quality.lasso(a, y, penalty)
+        r = 1 / (1 + np.exp(-(a @ w + b))) - y
+        slope = a.T @ r / len(y)
+        assert abs(r.mean()) < 1e-4 and np.abs(slope[w == 0]).max(initial=0) <= penalty + 1e-4
+        assert np.abs(slope[w != 0] + penalty * np.sign(w[w != 0])).max(initial=0) < 1e-4
+    assert not w.any()
+
+
 def test_statistics_of_odd_texts():
     texts = [b"", b" ", b"\n\n", b"Two two one.\nTwo two one.\n", "é".encode(), b"A1!" * 5000]
     x = quality.statistics(texts)
@@ -137,6 +184,20 @@ def test_mixed_texts_have_the_words_that_were_taken(docs):
     count = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t))
     assert sum(count(r["text"]) for r in out.collect()) == sum(r["taken"] for r in mix.documents.collect())
     assert all(r["n_chars"] == len(r["text"]) for r in out.collect())
+    # a row is a stretch of one document, and a lap's rows are as many as its runs of blocks
+    words = {r["doc_id"]: f" {' '.join((r['text'] or '').split(' '))} " for r in docs.collect() if r["doc_id"] is not None and r["doc_id"] != 3}
+    split = lambda t: " ".join(re.findall(r"[^\x20\x09-\x0D]+", t))
+    assert all(f" {split(r['text'])} " in f" {split(words[r['doc_id']])} " for r in out.collect() if r["doc_id"] in words)
+    runs = 0
+    first = {(r["k"], r["first_word"]): r["size"] for r in mix.placed.where("size > 0").collect()}
+    times = {}
+    for r in mix.plan.collect():
+        times[r["k"], r["block"]] = times.get((r["k"], r["block"]), 0) + 1
+    for (k, at), size in first.items():
+        own = [times.get((k, b), 0) for b in range(at // 4, (at + size - 1) // 4 + 1)]
+        for lap in range(1, max(own) + 1):
+            runs += sum(n >= lap and (j == 0 or own[j - 1] < lap) for j, n in enumerate(own))
+    assert out.count() == runs
 
 
 def test_mix_of_nothing(spark, no_docs):
@@ -352,18 +413,60 @@ def test_components(spark):
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 def test_pipeline(spark):
+    """Each stage's rows from its predecessor's, by brute force."""
     import corpus_pipeline as pipeline
 
+    from .test_text_operators import SPACED, hits, linked
+
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    left = {}
+    columns = docs.columns
+    before = docs.collect()
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    bench = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
+    scores = {r["doc_id"]: r["score"] for r in quality.score(docs, labels).collect()}
+    ids = lambda rows: sorted(r["doc_id"] for r in rows)
     for name, stage in pipeline.STAGES:
-        new = stage(spark, docs, SF)
-        left[name] = new.count()
+        docs = stage(spark, docs, SF)
+        rows = docs.collect()
+        if name == "quality classifier":
+            assert ids(rows) == sorted(k for k, s in scores.items() if s >= 0.5) and 0 < len(rows) < len(before)
+        elif name == "near-duplicates":
+            assert ids(rows) == sorted(i for i, _, _, stays in linked([(r["doc_id"], r["text"]) for r in before]) if stays)
+        elif name == "benchmark decontamination":
+            assert ids(rows) == sorted(r[0] for r in hits([(r["doc_id"], r["text"]) for r in before], bench) if not r[5])
+        elif name == "mixing to target weights":
+            size, taken = {}, {}
+            for into, part in ((size, before), (taken, rows)):
+                for r in part:
+                    into[r["source"]] = into.get(r["source"], 0) + len(SPACED.findall(r["text"] or ""))
+            names = sorted(size, key=lambda s: (s is None, s or ""))
+            want = water([size[s] for s in names], [(5, 2, 1)[k % 3] for k in range(len(names))])
+            assert all(abs(taken.get(s, 0) - n) <= 64 + 0.02 * n for s, n in zip(names, want, strict=True))
+            text = {r["doc_id"]: " ".join(SPACED.findall(r["text"] or "")) for r in before}
+            assert all(" ".join(SPACED.findall(r["text"])) in text[r["doc_id"]] and r["n_chars"] == len(r["text"]) for r in rows)
+        else:
+            assert sorted(tuple(r[c] for c in columns) for r in rows) == sorted(map(tuple, before)) and docs.columns == [*columns, "shard"]
+            assert {r["shard"] for r in rows} == set(range(len({r["shard"] for r in rows})))
+        if name in ("quality classifier", "near-duplicates", "benchmark decontamination"):
+            whole = {tuple(r) for r in before}
+            assert all(tuple(r) in whole for r in rows)
         if name != pipeline.STAGES[-1][0]:
-            assert new.columns == docs.columns
-        docs = new
-    assert 0 < left["benchmark decontamination"] <= left["near-duplicates"] <= left["quality classifier"] < 200
-    assert left["sharding"] == left["mixing to target weights"]
+            assert docs.columns == columns
+        before = rows
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_pages_give_their_documents(spark):
+    """Every page was made around a document: the extracted text below its heading is that document's."""
+    from rankloom.llm import queries
+
+    sf = SF.replace("0.001", "0.01")
+    plain = lambda t: " ".join((t or "").split())
+    docs = {plain(r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = queries.op7_consensus_paths(spark, sf).collect()
+    assert len(got) == spark.read.parquet(f"{sf}/pages.parquet").count()
+    assert all(plain(r["text"].partition("\n")[2]) in docs or plain(r["text"]) in docs for r in got)
+    assert all(r["n_chars"] == len(r["text"]) for r in got)
 
 
 def test_registered():
