@@ -25,8 +25,8 @@ def norm(v: Column) -> Column:
 
 
 def unit(v: Column, eps: float = 1e-9) -> Column:
-    """v over its length plus eps."""
-    return F.transform(v, lambda x: x / (norm(v) + F.lit(eps)))
+    """v over its length plus eps.  The length stands outside the inner function, so that it is computed once for a vector and not for each coordinate."""
+    return F.transform(F.array(norm(v) + F.lit(eps)), lambda n: F.transform(v, lambda x: x / n))[0]
 
 
 def minus(a: Column, b: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions import exprs as X
-from rankloom.sources.store import kept
+from rankloom.sources.store import drop, kept
 
 #: Up to so many edges the driver's algorithms are used.
 DRIVER_EDGES = 5_000_000
@@ -68,17 +68,17 @@ def wins(decisions: DataFrame) -> DataFrame:
 
 
 def closure(edge: DataFrame) -> DataFrame:
-    """(src, dst) for every pair joined by a path, cycles included; paths double each round, so rounds grow with the logarithm of the longest path."""
-    known = kept(edge.select("src", "dst").distinct(), "closure")
-    new, n = known, known.count()
-    while n:
+    """(src, dst) for every pair joined by a path, cycles included; paths double each round, so rounds grow with the logarithm of the longest path.
+
+    A round writes only the pairs it found: what is known is the union of the rounds.
+    """
+    new = known = kept(edge.select("src", "dst").distinct(), "closure")
+    while not new.isEmpty():
         a, b = new.alias("a"), known.alias("b")
         far = a.join(b, F.col("a.dst") == F.col("b.src")).select(F.col("a.src"), F.col("b.dst"))
         back = b.join(a, F.col("b.dst") == F.col("a.src")).select(F.col("b.src"), F.col("a.dst"))
         new = kept(far.unionByName(back).distinct().join(known, ["src", "dst"], "left_anti"), "closure")
-        n = new.count()
-        if n:
-            known = kept(known.unionByName(new), "closure")
+        known = known.unionByName(new)
     return known
 
 
@@ -128,21 +128,21 @@ def components_of(nodes: list, out_edges: dict) -> list[list]:
 def strong_components(edge: DataFrame, driver_edges: int = DRIVER_EDGES) -> DataFrame:
     """(id, component) of every node: the smallest id of its strong component.
 
-    Up to ``driver_edges`` distinct edges on the driver, beyond that by forward colours
-    and backward search over the edge table.
+    Up to ``driver_edges`` distinct edges, counted first, on the driver; beyond that by
+    forward colours and backward search over the edge table.
     """
-    plain = edge.select("src", "dst").distinct()
     spark = edge.sparkSession
-    some = plain.limit(driver_edges + 1).collect()
-    if len(some) <= driver_edges:
-        out, nodes = defaultdict(list), set()
-        for r in some:
-            out[r["src"]].append(r["dst"])
-            nodes.update((r["src"], r["dst"]))
-        rows = [(v, min(group)) for group in components_of(sorted(nodes), out) for v in group]
-        kind = edge.schema["src"].dataType.simpleString()
-        return spark.createDataFrame(rows, f"id {kind}, component {kind}")
-    return coloured_components(plain)
+    plain = kept(edge.select("src", "dst").distinct(), "plain")
+    if plain.count() > driver_edges:
+        return coloured_components(plain)
+    src, dst = (c.to_pylist() for c in plain.toArrow().columns)
+    drop(plain)
+    out = defaultdict(list)
+    for a, b in zip(src, dst, strict=True):
+        out[a].append(b)
+    rows = [(v, min(group)) for group in components_of(sorted({*src, *dst}), out) for v in group]
+    kind = edge.schema["src"].dataType.simpleString()
+    return spark.createDataFrame(rows, f"id {kind}, component {kind}")
 
 
 def coloured_components(plain: DataFrame) -> DataFrame:

@@ -82,17 +82,25 @@ def patient(call: Callable, tries: int = 6, most: float = 30.0, sleep: Callable[
     return run
 
 
+def _bounded(rows: DataFrame, workers: int) -> tuple[DataFrame, int]:
+    """rows in so few partitions, and calls at a time in each, that all together make at most ``workers`` calls at a time."""
+    tasks = max(1, min(workers, rows.sparkSession.sparkContext.defaultParallelism))
+    return rows.coalesce(tasks), workers // tasks
+
+
 def decide(pairs: DataFrame, judge: PairJudge, resume: str = "", workers: int = 8) -> DataFrame:
     """Pairs (a, b: structs of candidates with id, company, title) with winner, winner_id and labels.
 
-    Any error fails the run, as an answer that is missing would bias the order.  Write
-    the result before anything else reads it: a second evaluation would ask again.
+    At most ``workers`` calls are made at a time, over all tasks.  Any error fails the run,
+    as an answer that is missing would bias the order.  Write the result before anything
+    else reads it: a second evaluation would ask again.
     """
+    pairs, each = _bounded(pairs, workers)
     kind = pairs.schema["a"].dataType["id"].dataType.simpleString()
 
     def run(batches: Iterable[pd.DataFrame]):
         ask = patient(lambda a, b: judge(resume, a, b))
-        with ThreadPoolExecutor(workers) as pool:
+        with ThreadPoolExecutor(each) as pool:
             for frame in batches:
                 got = list(pool.map(ask, frame["a"], frame["b"]))
                 if bad := set(got) - {"A", "B"}:
@@ -112,12 +120,18 @@ def with_memo(asked: DataFrame, log: DataFrame | None) -> tuple[DataFrame | None
 
 
 def score_fits(candidates: DataFrame, judge: FitJudge, resume: str, done: DataFrame | None = None, workers: int = 8) -> DataFrame:
-    """Match records of candidates with a job text that are not done yet; a failed one has null fields and its error, and is asked again next time."""
+    """Match records of candidates with a job text that are not done yet; a failed one has null fields and its error, and is asked again next time.
+
+    A column ``score`` of the candidates, of any numeric type, comes back as embed_score;
+    without one it is null.  At most ``workers`` calls are made at a time, over all tasks.
+    """
     if len(resume.strip()) < 100:
         raise ValueError("the text is too short to score")
     rows = candidates.where(X.is_filled(F.col("jd_markdown"))).withColumn("jd_markdown", F.substring("jd_markdown", 1, FIT_TEXT))
     if done is not None:
         rows = rows.join(done.select("id").distinct(), "id", "left_anti")
+    prior = F.col("score").cast("double") if "score" in rows.columns else F.lit(None).cast("double")
+    rows, each = _bounded(rows.withColumn("embed_score", prior), workers)
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterable[pd.DataFrame]):
@@ -129,13 +143,21 @@ def score_fits(candidates: DataFrame, judge: FitJudge, resume: str, done: DataFr
             except Exception as e:
                 return {"error": str(e)[:200]}
 
-        with ThreadPoolExecutor(workers) as pool:
+        with ThreadPoolExecutor(each) as pool:
             for frame in batches:
                 jobs = frame.to_dict("records")
                 got = list(pool.map(one, jobs))
-                yield pd.DataFrame([{"id": j["id"], "company": j.get("company"), "title": j.get("title"), "url": j.get("url"), **{k: g.get(k) for k in ("match_score", "verdict", "summary", "strengths", "gaps", "error")}} for j, g in zip(jobs, got, strict=True)]).astype({"match_score": "Int32"})
+                yield pd.DataFrame([{"id": j["id"], "company": j.get("company"), "title": j.get("title"), "url": j.get("url"), "embed_score": None if pd.isna(j["embed_score"]) else j["embed_score"], **{k: g.get(k) for k in ("match_score", "verdict", "summary", "strengths", "gaps", "error")}} for j, g in zip(jobs, got, strict=True)]).astype({"match_score": "Int32", "embed_score": "Float64"})
+
+    return rows.mapInPandas(run, f"id {kind}, company string, title string, url string, embed_score double, match_score int, verdict string, summary string, strengths array<string>, gaps array<string>, error string")
+
 
-    return rows.mapInPandas(run, f"id {kind}, company string, title string, url string, match_score int, verdict string, summary string, strengths array<string>, gaps array<string>, error string")
+def matched(candidates: DataFrame, log: DataFrame) -> DataFrame:
+    """The log's records of current candidates, the last one for each id if the log has ``at``, best score first; ids of earlier runs are left out."""
+    rows = log.where(F.col("match_score").isNotNull()).join(candidates.select("id").distinct(), "id", "left_semi")
+    if "at" in log.columns:
+        rows = rows.groupBy("id").agg(F.max_by(F.struct(*[c for c in log.columns if c != "id"]), "at").alias("r")).select("id", "r.*")
+    return rows.orderBy(F.desc("match_score"), "id")
 
 
 def append_round(spark, decisions: DataFrame, path: str) -> DataFrame:

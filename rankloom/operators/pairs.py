@@ -4,34 +4,56 @@ from __future__ import annotations
 
 import random
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.operators.judge import patient
+from rankloom.sources.store import drop, kept
+
 #: A batch of pairs (first, second) to the winner of each: True where the first won.
 Ask = Callable[[list[tuple]], list[bool]]
 
 
-def random_pairs(ids: DataFrame, per_item: int, seed: int = 0, most: int = 0, id_col: str = "id") -> DataFrame:
+def numbered(ids: DataFrame, order: list, name: str = "k") -> DataFrame:
+    """ids with consecutive numbers from 0 in ``order``, a total one: ranges are sorted apart, and each starts where the counts of those before it end."""
+    n = max(1, int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = ids.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # a row's place in its partition and the partition's number
+    placed = kept(ranged.withColumn("_m", F.monotonically_increasing_id()), "ranged")
+    part = F.shiftright("_m", 33)
+    many = {r["p"]: r["n"] for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}  # as many rows as partitions
+    first, starts = 0, []
+    for p in sorted(many):
+        starts.append((p, first))
+        first += many[p]
+    starts = F.broadcast(ids.sparkSession.createDataFrame(starts, "_p long, _first long"))
+    return placed.join(starts, part == F.col("_p")).withColumn(name, F.col("_first") + F.col("_m").bitwiseAND((1 << 33) - 1)).drop("_m", "_p", "_first")
+
+
+def random_pairs(ids: DataFrame, per_item: int, seed: int = 0, most: int = 0, id_col: str = "id", log: DataFrame | None = None) -> DataFrame:
     """Distinct unordered pairs, ``per_item`` draws for each id, in a hash order that reruns repeat; at most ``most`` of them (0: all).
 
     Ids get consecutive numbers by a sort; partners are drawn as numbers and looked up by an
-    equi-join, so no pair is formed that was not drawn.
+    equi-join, so no pair is formed that was not drawn.  Pairs that ``log`` (a_id, b_id)
+    has decided, in either orientation, are left out before ``most`` is counted.
     """
-    numbered = ids.select(F.col(id_col).alias("id")).distinct()
-    n = numbered.count()
+    rows = ids.select(F.col(id_col).alias("id")).where(F.col(id_col).isNotNull()).distinct()
+    n = rows.count()
     kind = ids.schema[id_col].dataType.simpleString()
     if n < 2:
         return ids.sparkSession.createDataFrame([], f"a_id {kind}, b_id {kind}")
-    rows = numbered.orderBy(F.xxhash64("id", F.lit(seed)), "id").rdd.zipWithIndex().map(lambda r: (r[0][0], r[1]))
-    rows = ids.sparkSession.createDataFrame(rows, f"id {kind}, k long")
+    rows = numbered(rows, [F.xxhash64("id", F.lit(seed)), F.col("id")])
     draws = rows.select("id", "k", F.explode(F.sequence(F.lit(1), F.lit(per_item))).alias("turn"))
     # the draw skips the id's own number
     drawn = F.pmod(F.xxhash64("id", "turn", F.lit(seed)), F.lit(n - 1))
     draws = draws.withColumn("other", F.when(drawn >= F.col("k"), drawn + 1).otherwise(drawn))
     both = draws.select("id", "other").join(rows.select(F.col("id").alias("b"), F.col("k").alias("other")), "other")
     out = both.select(F.least("id", "b").alias("a_id"), F.greatest("id", "b").alias("b_id")).distinct()
+    if log is not None:
+        out = out.join(log.select(F.least("a_id", "b_id").alias("a_id"), F.greatest("a_id", "b_id").alias("b_id")), ["a_id", "b_id"], "left_anti")
     return out.orderBy(F.xxhash64("a_id", "b_id", F.lit(seed)), "a_id", "b_id").limit(most) if most else out
 
 
@@ -144,6 +166,34 @@ def merge_sort(ids: Sequence, ask: Ask) -> list:
     return runs[0] if runs else []
 
 
+def ask_here(judge, candidates: DataFrame, resume: str = "", workers: int = 8, most: int = 10_000) -> Ask:
+    """An Ask over a shortlist of at most ``most`` candidates, which are fetched once: no job for each batch.
+
+    At most ``workers`` pairs are asked at a time, in all; a pair is asked once, in either
+    orientation; any error that lasts fails the run.
+    """
+    rows = kept(candidates, "shortlist")
+    n = rows.count()
+    if n > most:
+        drop(rows)
+        raise ValueError(f"{n} candidates, over {most}: ask with a table of pairs instead")
+    by_id = {r["id"]: r.asDict(recursive=True) for r in rows.collect()}
+    drop(rows)
+    once = patient(lambda a, b: judge(resume, a, b))
+    memo: dict[tuple, bool] = {}
+
+    def ask(pairs: list[tuple]) -> list[bool]:
+        new = [p for p in dict.fromkeys(pairs) if p not in memo and p[::-1] not in memo]
+        with ThreadPoolExecutor(workers) as pool:
+            for p, got in zip(new, pool.map(lambda p: once(by_id[p[0]], by_id[p[1]]), new), strict=True):
+                if got not in ("A", "B"):
+                    raise ValueError(f"a judge answered {got}")
+                memo[p] = got == "A"
+        return [memo[p] if p in memo else not memo[p[::-1]] for p in pairs]
+
+    return ask
+
+
 def ask_with(judged: Callable[[DataFrame], DataFrame], candidates: DataFrame, memo: dict | None = None) -> Ask:
     """An Ask that sends the pairs it has not been asked before to a judge as one table."""
     memo = {} if memo is None else memo

@@ -16,7 +16,7 @@ from rankloom.functions import vectors as V
 from rankloom.operators import aggregate, dedup, graph, judge, linear, pairs
 from rankloom.operators.filters import HullConfig, RecallConfig
 from rankloom.plans import pipelines
-from rankloom.plans.testdata import all_decisions, decisions, jobs, read, sql_decisions, sql_jobs
+from rankloom.plans.testdata import decisions, jobs, read, sql_decisions, sql_jobs
 from rankloom.sources import files, slugs
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,7 +41,9 @@ def oracle_sql() -> dict[str, str]:
     return dict(_sql)
 
 
-JOBS, DECISIONS, ACYCLIC = sql_jobs(), sql_decisions(), sql_decisions(acyclic=True)
+JOBS, DECISIONS = sql_jobs(), sql_decisions()
+#: Contests among so many neighbouring ids, for what grows with the square of a contest.
+POOL = 100
 HULL = HullConfig(functions=("medium", "standard", "small", "promo"), levels=("Senior", "Staff"), country="US", remote=True, titles=("widget", "gear", "lead small"), min_comp=50)
 RECALL = RecallConfig(functions=("medium", "standard", "small"), country="US", min_comp=40, seeds=("red", "small gizmo", "brand#4"))
 WEIGHTS = [((k % 7) - 3) / 10 for k in range(64)]
@@ -141,10 +143,11 @@ def recall_filter(spark, sf):
     return jobs(spark, sf).where(F.col("jd_embedding").isNotNull() & RECALL.column()).select("id", "title", "salary_currency")
 
 
-@query(f"select vec_id, round({_NORM.format(v='embedding')}, 4) as length, round(cast(embedding[1] as double) / ({_NORM.format(v='embedding')} + 1e-9), 4) as first, round(cast(embedding[64] as double) / ({_NORM.format(v='embedding')} + 1e-9), 4) as last from embeddings")
+@query(f"select vec_id, round({_NORM.format(v='embedding')}, 4) as length, array_to_string(list_transform(embedding, lambda x: cast(cast(round(1000 * cast(x as double) / ({_NORM.format(v='embedding')} + 1e-9)) as bigint) as varchar)), ',') as unit from embeddings")
 def vector_normalise(spark, sf):
     v = V.doubles(F.col("embedding"))
-    return read(spark, sf, "embeddings").select("vec_id", F.round(V.norm(v), 4).alias("length"), F.round(V.unit(v)[0], 4).alias("first"), F.round(V.unit(v)[63], 4).alias("last"))
+    thousandths = F.transform(V.unit(v), lambda x: F.round(x * 1000).cast("long").cast("string"))
+    return read(spark, sf, "embeddings").select("vec_id", F.round(V.norm(v), 4).alias("length"), F.array_join(thousandths, ",").alias("unit"))
 
 
 @query(f"select vec_id, round({_DOT.format(v='embedding')}, 4) as score from embeddings")
@@ -165,9 +168,9 @@ def keep_last(spark, sf):
 
 @query(f"select j.id, substr(coalesce(d.text, ''), 1, 4000) as jd from {JOBS} j join documents d on d.doc_id = j.id where j.level = 'Staff'")
 def fetch_jd(spark, sf):
-    corpus = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    corpus = files.with_ordinal(read(spark, sf, "documents")).withColumnRenamed("doc_id", "id")
     wanted = jobs(spark, sf).where("level = 'Staff'").select("id")
-    return corpus.join(wanted, "id").select("id", F.substring(X.text(F.col("text")), 1, judge.PAIR_TEXT).alias("jd"))
+    return files.look_up(corpus, wanted, ["text"]).select("id", F.substring(X.text(F.col("text")), 1, judge.PAIR_TEXT).alias("jd"))
 
 
 @query(f"select id, title from {JOBS} j where id not in (select doc_id from labels)")
@@ -211,10 +214,18 @@ def pair_normalise(spark, sf):
     return graph.pairs(decisions(spark, sf))
 
 
-@query(f"select x.a_id, x.b_id, case when max(case when (d.winner = 'A') = (d.a_id < d.b_id) then 1 else 0 end) = (case when x.a_id < x.b_id then 1 else 0 end) then 'A' else 'B' end as winner from (select vec_id as a_id, (vec_id * 7 + 13) % 500 as b_id from embeddings where vec_id < 500 union all select (vec_id * 7 + 26) % 500, vec_id from embeddings where vec_id < 500) x join {DECISIONS} d on least(x.a_id, x.b_id) = least(d.a_id, d.b_id) and greatest(x.a_id, x.b_id) = greatest(d.a_id, d.b_id) group by x.a_id, x.b_id")
+_LAST = "(select max(vec_id) + 1 from embeddings)"
+
+
+def _last(spark, sf) -> int:
+    """One over the largest id of the vectors."""
+    return 1 + (read(spark, sf, "embeddings").agg(F.max("vec_id")).first()[0] or 0)
+
+
+@query(f"select x.a_id, x.b_id, case when max(case when (d.winner = 'A') = (d.a_id < d.b_id) then 1 else 0 end) = (case when x.a_id < x.b_id then 1 else 0 end) then 'A' else 'B' end as winner from (select vec_id as a_id, (vec_id * 7 + 13) % {_LAST} as b_id from embeddings union all select (vec_id * 7 + 26) % {_LAST}, vec_id from embeddings) x join {DECISIONS} d on least(x.a_id, x.b_id) = least(d.a_id, d.b_id) and greatest(x.a_id, x.b_id) = greatest(d.a_id, d.b_id) group by x.a_id, x.b_id")
 def memo_replay(spark, sf):
-    ids = read(spark, sf, "embeddings").where("vec_id < 500")
-    asked = ids.selectExpr("vec_id as a_id", "(vec_id * 7 + 13) % 500 as b_id").unionByName(ids.selectExpr("(vec_id * 7 + 26) % 500 as a_id", "vec_id as b_id")).distinct()
+    ids, n = read(spark, sf, "embeddings"), _last(spark, sf)
+    asked = ids.selectExpr("vec_id as a_id", f"(vec_id * 7 + 13) % {n} as b_id").unionByName(ids.selectExpr(f"(vec_id * 7 + 26) % {n} as a_id", "vec_id as b_id")).distinct()
     return judge.with_memo(asked, decisions(spark, sf))[0]
 
 
@@ -223,26 +234,24 @@ def vector_mean_std(spark, sf):
     return linear.mean_std(read(spark, sf, "embeddings"), "embedding").select("place", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"))
 
 
-@query(f"select d.a_id, d.b_id, round(cast(a.embedding[1] as double) - cast(b.embedding[1] as double), 4) as first, round(cast(a.embedding[64] as double) - cast(b.embedding[64] as double), 4) as last, case when winner = 'A' then 1.0::double else 0.0::double end as y from {DECISIONS} d join embeddings a on a.vec_id = d.a_id join embeddings b on b.vec_id = d.b_id")
+@query(f"select d.a_id, d.b_id, array_to_string(list_transform(list_zip(a.embedding, b.embedding), lambda p: cast(cast(round(1000 * (cast(p[1] as double) - cast(p[2] as double))) as bigint) as varchar)), ',') as diff, case when winner = 'A' then 1.0::double else 0.0::double end as y from {DECISIONS} d join embeddings a on a.vec_id = d.a_id join embeddings b on b.vec_id = d.b_id")
 def edge_diff(spark, sf):
     out = linear.edge_diff(decisions(spark, sf), read(spark, sf, "embeddings"), "vec_id", "embedding")
-    return out.select("a_id", "b_id", F.round(F.col("x")[0], 4).alias("first"), F.round(F.col("x")[63], 4).alias("last"), "y")
+    return out.select("a_id", "b_id", F.array_join(F.transform("x", lambda x: F.round(x * 1000).cast("long").cast("string")), ",").alias("diff"), "y")
 
 
-@query("select cast(i as integer) as i, cast(j as integer) as j, round(sum(cast(embedding[i + 1] as double) * cast(embedding[j + 1] as double)), 4) as x from embeddings, (select unnest(range(8)) as i) a, (select unnest(range(8)) as j) b group by 1, 2")
+@query("select cast(i as integer) as i, cast(j as integer) as j, round(sum(cast(embedding[i + 1] as double) * cast(embedding[j + 1] as double)), 4) as x from embeddings, (select unnest(range(64)) as i) a, (select unnest(range(64)) as j) b group by 1, 2")
 def gram(spark, sf):
-    xx, *_ = linear.gram(read(spark, sf, "embeddings").withColumn("v", F.slice("embedding", 1, 8)), "v")
-    return spark.createDataFrame([(i, j, round(float(xx[i, j]), 4)) for i in range(8) for j in range(8)], "i int, j int, x double")
+    xx, *_ = linear.gram(read(spark, sf, "embeddings"), "embedding")
+    return spark.createDataFrame([(i, j, round(float(x), 4)) for i, row in enumerate(xx) for j, x in enumerate(row)], "i int, j int, x double")
 
 
-_BT = sql_decisions(200)
-_BT_EDGE = f"(select case when winner = 'A' then a_id else b_id end as src, case when winner = 'A' then b_id else a_id end as dst from {_BT} d)"
 
 
 def _bt_sql(rounds: int) -> str:
     steps = [
-        f"g as (select i, j, count(*) as n from (select src as i, dst as j from {_BT_EDGE} e union all select dst, src from {_BT_EDGE} e) group by i, j)",
-        f"p0 as (select id, sum(w) as wins, cast(1 as double) as p from (select src as id, 1 as w from {_BT_EDGE} e union all select dst, 0 from {_BT_EDGE} e) group by id)",
+        f"g as (select i, j, count(*) as n from (select src as i, dst as j from {_EDGE} e union all select dst, src from {_EDGE} e) group by i, j)",
+        f"p0 as (select id, sum(w) as wins, cast(1 as double) as p from (select src as id, 1 as w from {_EDGE} e union all select dst, 0 from {_EDGE} e) group by id)",
     ]
     for k in range(rounds):
         steps.append(f"q{k} as (select x.id, x.wins, (x.wins + 0.5) / (coalesce(s.load, 0) + 1.0 / (x.p + 1)) as p from p{k} x left join (select g.i, sum(g.n / (a.p + b.p)) as load from g join p{k} a on a.id = g.i join p{k} b on b.id = g.j group by g.i) s on s.i = x.id)")
@@ -252,23 +261,23 @@ def _bt_sql(rounds: int) -> str:
 
 @query(_bt_sql(3))
 def bt_3_iters(spark, sf):
-    return aggregate.bt_tables(decisions(spark, sf, 200), 3).select("id", "wins", F.round("p", 4).alias("strength"))
+    return aggregate.bt_tables(decisions(spark, sf), 3).select("id", "wins", F.round("p", 4).alias("strength"))
 
 
 def _fuse_sql(rounds: int) -> str:
-    prior = f"select vec_id as id, {_DOT.format(v='embedding')} as s from embeddings where vec_id < 200"
+    prior = f"select vec_id as id, {_DOT.format(v='embedding')} as s from embeddings"
     steps = [f"t0 as (select id, s, s as theta from ({prior}))"]
     for k in range(rounds):
-        r = f"(select d.a_id, d.b_id, (case when winner = 'A' then 1.0 else 0.0 end) - 1 / (1 + exp(b.theta - a.theta)) as r from {_BT} d join t{k} a on a.id = d.a_id join t{k} b on b.id = d.b_id)"
+        r = f"(select d.a_id, d.b_id, (case when winner = 'A' then 1.0 else 0.0 end) - 1 / (1 + exp(b.theta - a.theta)) as r from {DECISIONS} d join t{k} a on a.id = d.a_id join t{k} b on b.id = d.b_id)"
         g = f"(select id, sum(g) as g from (select a_id as id, r as g from {r} x union all select b_id, -r from {r} x) group by id)"
-        steps.append(f"t{k + 1} as (select t.id, t.s, t.theta + 0.5 * (coalesce(g.g, 0) / (select count(*) from {_BT} d) - (t.theta - t.s) / (select count(*) from t{k})) as theta from t{k} t left join {g} g on g.id = t.id)")
+        steps.append(f"t{k + 1} as (select t.id, t.s, t.theta + 0.5 * (coalesce(g.g, 0) / (select count(*) from {DECISIONS} d) - (t.theta - t.s) / (select count(*) from t{k})) as theta from t{k} t left join {g} g on g.id = t.id)")
     return f"with {', '.join(steps)} select id, round(theta, 4) as theta from t{rounds}"
 
 
 @query(_fuse_sql(3))
 def fuse_3_iters(spark, sf):
-    prior = linear.linear_score(read(spark, sf, "embeddings").where("vec_id < 200"), "embedding", WEIGHTS, name="s").select(F.col("vec_id").alias("id"), "s")
-    return aggregate.fuse_tables(prior, decisions(spark, sf, 200), iterations=3).select("id", F.round("theta", 4).alias("theta"))
+    prior = linear.linear_score(read(spark, sf, "embeddings"), "embedding", WEIGHTS, name="s").select(F.col("vec_id").alias("id"), "s")
+    return aggregate.fuse_tables(prior, decisions(spark, sf), iterations=3).select("id", F.round("theta", 4).alias("theta"))
 
 
 _REACH = f"r as (select src, dst from {_EDGE} e union select r.src, e.dst from r join {_EDGE} e on e.src = r.dst)"
@@ -293,23 +302,27 @@ def nodes_in_cycles(spark, sf):
     return sizes.where("n > 1").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("in_cycles"))
 
 
-@query(f"with recursive {_REACH} select src, dst from r")
+_POOLED = f"(select case when winner = 'A' then a_id else b_id end as src, case when winner = 'A' then b_id else a_id end as dst from {sql_decisions(pool=POOL)} d)"
+_POOL_REACH = f"r as (select src, dst from {_POOLED} e union select r.src, e.dst from r join {_POOLED} e on e.src = r.dst)"
+
+
+@query(f"with recursive {_POOL_REACH} select src, dst from r")
 def closure(spark, sf):
-    return graph.closure(graph.edges(decisions(spark, sf)))
+    return graph.closure(graph.edges(decisions(spark, sf, pool=POOL)))
 
 
-_ASKED = "(select a.vec_id as a_id, (a.vec_id * 11 + 3) % 500 as b_id from embeddings a where a.vec_id < 500)"
+_ASKED = f"(select vec_id as a_id, vec_id - vec_id % {POOL} + (vec_id * 11 + 3) % {POOL} as b_id from embeddings)"
 
 
-@query(f"with recursive {_REACH} select a_id, b_id from {_ASKED} p where not exists (select 1 from r where r.src = p.a_id and r.dst = p.b_id) and not exists (select 1 from r where r.src = p.b_id and r.dst = p.a_id)")
+@query(f"with recursive {_POOL_REACH} select a_id, b_id from {_ASKED} p where not exists (select 1 from r where r.src = p.a_id and r.dst = p.b_id) and not exists (select 1 from r where r.src = p.b_id and r.dst = p.a_id)")
 def incomparable_pairs(spark, sf):
-    asked = read(spark, sf, "embeddings").where("vec_id < 500").selectExpr("vec_id as a_id", "(vec_id * 11 + 3) % 500 as b_id")
-    return graph.incomparable(asked, graph.closure(graph.edges(decisions(spark, sf))))
+    asked = read(spark, sf, "embeddings").selectExpr("vec_id as a_id", f"vec_id - vec_id % {POOL} + (vec_id * 11 + 3) % {POOL} as b_id")
+    return graph.incomparable(asked, graph.closure(graph.edges(decisions(spark, sf, pool=POOL))))
 
 
-@query(f"select round(avg(case when a.pos < b.pos then 1.0 else 0.0 end), 4) as fidelity from {_EDGE} e join (select vec_id as id, row_number() over (order by embedding[1] desc, vec_id) as pos from embeddings where vec_id < 500) a on a.id = e.src join (select vec_id as id, row_number() over (order by embedding[1] desc, vec_id) as pos from embeddings where vec_id < 500) b on b.id = e.dst")
+@query(f"select round(avg(case when a.pos < b.pos then 1.0 else 0.0 end), 4) as fidelity from {_EDGE} e join (select vec_id as id, row_number() over (order by embedding[1] desc, vec_id) as pos from embeddings) a on a.id = e.src join (select vec_id as id, row_number() over (order by embedding[1] desc, vec_id) as pos from embeddings) b on b.id = e.dst")
 def fidelity(spark, sf):
-    order = pipelines.numbered(read(spark, sf, "embeddings").where("vec_id < 500").select(F.col("vec_id").alias("id"), F.col("embedding")[0].alias("u")), [F.desc("u"), "id"]).select("id", F.col("rank").alias("pos"))
+    order = pipelines.numbered(read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding")[0].alias("u")), [F.desc("u"), "id"]).select("id", F.col("rank").alias("pos"))
     return graph.fidelity(graph.edges(decisions(spark, sf)), order).select(F.round("fidelity", 4).alias("fidelity"))
 
 
@@ -319,9 +332,9 @@ def agreement(spark, sf):
     return graph.agreement(decisions(spark, sf), scores).select(F.round("agreement", 4).alias("agreement"))
 
 
-@query(f"with g as (select id, count(*) as n from (select a_id as id from {_BT} d union all select b_id from {_BT} d) group by id) select j.id, j.title, coalesce(g.n, 0) as comparisons, g.n is not null as compared, row_number() over (order by (case when g.n is null then 1 else 0 end), coalesce(g.n, 0) desc, j.id) as rank from {JOBS} j left join g on g.id = j.id where j.id < 300")
+@query(f"with g as (select id, count(*) as n from (select a_id as id from {DECISIONS} d union all select b_id from {DECISIONS} d) group by id) select j.id, j.title, coalesce(g.n, 0) as comparisons, g.n is not null as compared, row_number() over (order by (case when g.n is null then 1 else 0 end), coalesce(g.n, 0) desc, j.id) as rank from {JOBS} j left join g on g.id = j.id")
 def uncompared_append(spark, sf):
-    some, met = jobs(spark, sf).where("id < 300").select("id", "title"), graph.degree(decisions(spark, sf, 200))
+    some, met = jobs(spark, sf).select("id", "title"), graph.degree(decisions(spark, sf))
     ranked = met.join(some, "id", "left").withColumn("compared", F.lit(True)).where("title is not null")
     rest = some.join(met, "id", "left_anti").withColumns({"comparisons": F.lit(0).cast("long"), "compared": F.lit(False)})
     both = ranked.unionByName(rest.select(*ranked.columns))
@@ -371,10 +384,10 @@ def semantic_union(spark, sf):
     return pipelines.semantic_union(jobs(spark, sf), HullConfig(levels=("Senior", "Staff"), titles=("gear",)), WEIGHTS, 0.1)
 
 
-@query("select vec_id as id, row_number() over (order by embedding[1] desc, vec_id) as rank from embeddings where vec_id < 500 order by rank limit 20")
+@query("select vec_id as id, row_number() over (order by embedding[1] desc, vec_id) as rank from embeddings order by rank limit 20")
 def ranked_head(spark, sf):
-    rows = read(spark, sf, "embeddings").where("vec_id < 500").select(F.col("vec_id").alias("id"), F.col("embedding")[0].alias("u"))
-    return pipelines.numbered(rows, [F.desc("u"), "id"]).orderBy("rank").limit(20).select("id", F.col("rank").cast("long").alias("rank"))
+    rows = read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding")[0].alias("u"))
+    return pipelines.numbered(files.head_of(rows, 20, [F.desc("u"), "id"]), [F.desc("u"), "id"]).select("id", F.col("rank").cast("long").alias("rank"))
 
 
 # what SQL doesn't express: fits, sequential orders, sampling
@@ -393,33 +406,33 @@ def ridge_rank(spark, sf):
 @query()
 def pca_logistic(spark, sf):
     people = _people(spark, sf)
-    model = linear.fit_preference(people, all_decisions(spark, sf), "id", "embedding")
+    model = linear.fit_preference(people, decisions(spark, sf), "id", "embedding")
     return linear.preference_scores(model, people, "embedding").select("id", F.round("model_score", 4).alias("model_score"))
 
 
 @query()
 def distilled_scores(spark, sf):
-    model = linear.fit_preference(_people(spark, sf), all_decisions(spark, sf), "id", "embedding")
+    model = linear.fit_preference(_people(spark, sf), decisions(spark, sf), "id", "embedding")
     return linear.preference_scores(model, jobs(spark, sf), "jd_embedding").select("id", F.round("model_score", 4).alias("model_score"))
 
 
 @query()
 def gold_rank(spark, sf):
     people = _people(spark, sf)
-    scored = linear.preference_scores(linear.fit_preference(people, all_decisions(spark, sf), "id", "embedding"), people, "embedding")
-    return aggregate.gold_rank(scored, all_decisions(spark, sf))[0].select("rank", "id", "company", "title", F.round("model_score", 4).alias("model_score"), "comparisons", "compared")
+    scored = linear.preference_scores(linear.fit_preference(people, decisions(spark, sf), "id", "embedding"), people, "embedding")
+    return aggregate.gold_rank(scored, decisions(spark, sf))[0].select("rank", "id", "company", "title", F.round("model_score", 4).alias("model_score"), "comparisons", "compared")
 
 
 @query()
 def soft_fuse(spark, sf):
     people = _people(spark, sf)
-    scored = linear.preference_scores(linear.fit_preference(people, all_decisions(spark, sf), "id", "embedding"), people, "embedding")
-    return aggregate.fuse_rank(scored, all_decisions(spark, sf))[0].select("rank", "id", "company", "title", "fused_strength", "model_prior", "comparisons", "compared")
+    scored = linear.preference_scores(linear.fit_preference(people, decisions(spark, sf), "id", "embedding"), people, "embedding")
+    return aggregate.fuse_rank(scored, decisions(spark, sf))[0].select("rank", "id", "company", "title", "fused_strength", "model_prior", "comparisons", "compared")
 
 
 @query()
 def bradley_terry(spark, sf):
-    return aggregate.bt_rank(_people(spark, sf).select("id", "company", "title"), all_decisions(spark, sf))
+    return aggregate.bt_rank(_people(spark, sf).select("id", "company", "title"), decisions(spark, sf))
 
 
 @query()
@@ -427,30 +440,51 @@ def random_pairs(spark, sf):
     return pairs.random_pairs(_people(spark, sf), per_item=3)
 
 
-def _asking(spark, sf, most: int | None = None):
-    people = _people(spark, sf).where(F.lit(True) if most is None else F.col("id") < most).select("id", "company", "title", "utility")
-    ids = [r["id"] for r in people.select("id").orderBy("id").collect()]
-    return ids, pairs.ask_with(lambda t: judge.decide(t, judge.UtilityJudge()), people)
+def _shortlist(spark, sf, top: int):
+    """The first candidates of the list, as a judged run takes them, and an Ask over them."""
+    people = files.head_of(_people(spark, sf).select("id", "company", "title", "utility"), top, "id")
+    return sorted(r["id"] for r in people.select("id").collect()), pairs.ask_here(judge.UtilityJudge(), people)
 
 
 @query()
 def gated_sampling(spark, sf):
-    ids, ask = _asking(spark, sf)
+    ids, ask = _shortlist(spark, sf, 2600)
     return spark.createDataFrame(pairs.gated_sampling(ids, ask, per_item=6, batch=128), "a_id long, b_id long, first boolean")
 
 
-@query("select vec_id as id, row_number() over (order by cast(embedding[1] as double) desc, vec_id desc) as rank from embeddings where vec_id < 24")
+@query("select id, row_number() over (order by u desc, id desc) as rank from (select vec_id as id, cast(embedding[1] as double) as u from embeddings order by vec_id limit 24)")
 def merge_sort(spark, sf):
-    ids, ask = _asking(spark, sf, 24)
+    ids, ask = _shortlist(spark, sf, 24)
     return spark.createDataFrame([(v, k + 1) for k, v in enumerate(pairs.merge_sort(ids, ask))], "id long, rank long")
 
 
+@query("select id, company, title from (select id, company, title, salary_max_k from {JOBS} j where salary_max_k is not null order by salary_max_k desc, id limit 40)".replace("{JOBS}", JOBS))
+def candidate_prefix(spark, sf):
+    rows = jobs(spark, sf).where("salary_max_k is not null").select("id", "company", "title", "salary_max_k")
+    return files.head_of(rows, 40, [F.desc("salary_max_k"), "id"]).drop("salary_max_k")
+
+
+@query("select user_id as id, event_type, value from (select user_id, event_type, value, row_number() over (partition by user_id order by event_id) as place from events where user_id in (select c_custkey from customer where c_custkey % 3 = 0)) where place = 1")
+def look_up_first(spark, sf):
+    corpus = read(spark, sf, "events").withColumnsRenamed({"user_id": "id", "event_id": "ordinal"})
+    wanted = read(spark, sf, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"))
+    return files.look_up(corpus, wanted.unionByName(wanted), ["event_type", "value"])
+
+
 RESUME = "An invented engineer who has built standard and economy widgets with small teams, led brand#4 work on promo gear, and would rather write tests than meetings notes."
 
 
-@query()
+_FIT = f"""select id, company, title, url, round(cast(id as double) / 7, 6) as embed_score, score as match_score,
+  case when score >= 90 then 'strong' when score >= 70 then 'solid' when score >= 50 then 'stretch' else 'weak' end as verdict,
+  concat(len(have), ' of ', len(skills), ' skills') as summary, array_to_string(have, '|') as strengths, array_to_string(list_filter(skills, lambda s: not list_contains(have, s)), '|') as gaps, cast(null as varchar) as error
+from (select *, cast(case when len(skills) > 0 then round(100.0 * len(have) / len(skills)) else 0 end as integer) as score
+  from (select *, list_filter(skills, lambda s: contains(lower('{RESUME}'), lower(s))) as have from {JOBS} j
+    where regexp_matches(coalesce(jd_markdown, ''), '[^[:space:] ]') and id not in (select doc_id from labels)))"""
+
+
+@query(_FIT)
 def match_scores(spark, sf):
     done = read(spark, sf, "labels").select(F.col("doc_id").alias("id"))
-    rows = jobs(spark, sf).select("id", "company", "title", "url", "skills", "jd_markdown")
+    rows = jobs(spark, sf).select("id", "company", "title", "url", "skills", "jd_markdown", F.round(F.col("id") / 7, 6).alias("score"))
     out = judge.score_fits(rows, judge.OverlapFit(), RESUME, done)
     return out.withColumns({c: F.array_join(c, "|") for c in ("strengths", "gaps")})

@@ -28,18 +28,27 @@ from {part} p left join {documents} d on d.doc_id = p.p_partkey left join {embed
 _DECISIONS = """
 select a_id, b_id, case when (ua > ub) {flip} then 'A' else 'B' end as winner from (
   select a.vec_id as a_id, b.vec_id as b_id, cast(a.embedding[{first}] as double) as ua, cast(b.embedding[{first}] as double) as ub
-  from (select * from {embeddings} where vec_id < {most}) a cross join (select 1 as k union all select 2 union all select 3) ks
-  join {embeddings} b on b.vec_id = (a.vec_id * 7 + ks.k * 13) % {most} where a.vec_id <> b.vec_id)
+  from (select vec_id, embedding, {start} as start, {most} as most from {embeddings}, (select max(vec_id) + 1 as n from {embeddings}) t) a cross join (select 1 as k union all select 2 union all select 3) ks
+  join {embeddings} b on b.vec_id = a.start + (a.vec_id * 7 + ks.k * 13) % a.most where a.vec_id <> b.vec_id)
 """
 
 
+def _decisions(first: int, acyclic: bool, pool: int) -> str:
+    start, most = (f"vec_id - vec_id % {pool}", str(pool)) if pool else ("0", "n")
+    flip = "" if acyclic else "<> (a_id % 50 = 0)"
+    text = _DECISIONS
+    for name, value in (("{first}", str(first)), ("{start}", start), ("{most}", most), ("{flip}", flip)):
+        text = text.replace(name, value)
+    return text
+
+
 def sql_jobs() -> str:
     """The jobs view for DuckDB."""
     return "(" + _JOBS.format(sep="'|'", part="part", documents="documents", embeddings="embeddings") + ")"
 
 
-def sql_decisions(most: int = 500, acyclic: bool = False) -> str:
-    return "(" + _DECISIONS.format(first=1, embeddings="embeddings", most=most, flip="" if acyclic else "<> (a_id % 50 = 0)") + ")"
+def sql_decisions(acyclic: bool = False, pool: int = 0) -> str:
+    return "(" + _decisions(1, acyclic, pool).replace("{embeddings}", "embeddings") + ")"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,13 +60,10 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(_JOBS.replace("{sep}", "'[|]'"), **tables)
 
 
-def decisions(spark: SparkSession, sf_dir: str, most: int = 500, acyclic: bool = False) -> DataFrame:
-    """Three decisions for each vector under ``most``, by a hidden utility; every 50th vector's are turned, so cycles exist, unless ``acyclic``."""
-    text = _DECISIONS.replace("{first}", "0").replace("{most}", str(most)).replace("{flip}", "" if acyclic else "<> (a_id % 50 = 0)")
-    return spark.sql(text, embeddings=read(spark, sf_dir, "embeddings"))
-
+def decisions(spark: SparkSession, sf_dir: str, acyclic: bool = False, pool: int = 0) -> DataFrame:
+    """Three decisions for each vector, by a hidden utility; every 50th vector's are turned, so cycles exist, unless ``acyclic``.
 
-def all_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three decisions for each vector of the table; partners are taken modulo one over its largest id."""
-    last = read(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0]
-    return decisions(spark, sf_dir, 1 if last is None else last + 1)
+    Partners are from the whole table or, with ``pool``, from so many neighbouring ids:
+    contests of bounded size, whose closure grows with the table and not with its square.
+    """
+    return spark.sql(_decisions(0, acyclic, pool), embeddings=read(spark, sf_dir, "embeddings"))

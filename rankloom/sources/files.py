@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,9 +40,8 @@ def project(df: DataFrame, columns: Sequence[str] | None = None, embeddings: boo
 
 
 def parse_where(text: str) -> dict[str, str]:
-    """``k=v,k=v`` to a dict; entries without ``=`` are ignored, the first ``=`` splits."""
-    pairs = (part.split("=", 1) for part in text.split(",") if "=" in part)
-    return {k.strip(): v.strip() for k, v in pairs}
+    """``k=v,k=v`` to a dict; entries without ``=`` are ignored, the first ``=`` splits, blanks stay."""
+    return dict(part.split("=", 1) for part in text.split(",") if "=" in part)
 
 
 def where_equal(df: DataFrame, where: dict[str, str]) -> DataFrame:
@@ -71,6 +71,23 @@ def with_ordinal(df: DataFrame, name: str = "ordinal") -> DataFrame:
     return df.withColumn(name, F.struct(meta["file_name"].alias("file"), meta["row_index"].alias("row")))
 
 
+def head_of(candidates: DataFrame, top: int = 0, order: Column | str = "ordinal") -> DataFrame:
+    """The first ``top`` candidates of a list in its order; 0: all."""
+    return candidates.orderBy(order).limit(top) if top else candidates
+
+
+def look_up(corpus: DataFrame, wanted: DataFrame, columns: Sequence[str], id_col: str = "id", ordinal: str = "ordinal") -> DataFrame:
+    """(id, columns) of the wanted ids that the corpus has; of several rows with one id the first in ``ordinal``.
+
+    Repeated and null wanted ids count once and not at all.  Only the named columns are
+    read; the semi-join is a broadcast where the wanted list is small, and then only
+    wanted rows are shuffled.
+    """
+    ids = wanted.select(id_col).where(F.col(id_col).isNotNull()).distinct()
+    rows = corpus.select(id_col, F.struct(*columns).alias("_row"), F.col(ordinal).alias("_place")).join(ids, id_col, "left_semi")
+    return rows.groupBy(id_col).agg(F.min_by("_row", "_place").alias("_row")).select(id_col, "_row.*")
+
+
 def read_json_array(spark: SparkSession, path: str, schema: str | StructType = CANDIDATE) -> DataFrame:
     """A file that holds one JSON array of objects, as rows."""
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
@@ -91,6 +108,26 @@ def to_jsonl(df: DataFrame, name: str = "value") -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias(name))
 
 
+def write_json_array(df: DataFrame, path: str, order: Column | str | None = None) -> None:
+    """One JSON file with an array of all rows, nulls kept, in ``order``; it appears whole, in place of an older one.
+
+    Rows pass the driver a partition at a time; this is for lists that readers take whole.
+    """
+    spark = df.sparkSession
+    rows = to_jsonl(df.orderBy(order) if order is not None else df)
+    jvm = spark._jvm
+    to, temporary = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    fs = to.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(temporary, False)
+    out.write(b"[")
+    for k, row in enumerate(rows.toLocalIterator()):
+        out.write((",\n " if k else "\n ").encode() + row[0].encode())
+    out.write(b"\n]\n")
+    out.close()
+    fs.delete(to, False)
+    fs.rename(temporary, to)
+
+
 def append_log(df: DataFrame, path: str) -> None:
     """Adds a round of records to a log of JSON lines, committed as a whole."""
     df.write.mode("append").option("ignoreNullFields", "false").json(path)

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from rankloom.operators import aggregate, graph, judge, linear, pairs
 from rankloom.streaming import decisions as stream
@@ -166,7 +167,7 @@ def test_preference_model_on_the_driver_and_as_steps(spark):
     want = model.features(x) @ model.w[:-1]
     assert np.allclose([got[k] for k in range(10)], want)
     diffs = linear.edge_diff(d, df, "id", "v")
-    assert np.allclose(linear.pairwise_logistic(diffs, 5), linear.pairwise_logistic(diffs, 5, driver_rows=1))
+    assert np.allclose(linear.pairwise_logistic(diffs, 5), linear.pairwise_logistic(diffs, 5, driver_bytes=0))
 
 
 def test_model_file(spark, tmp_path):
@@ -240,3 +241,112 @@ def test_streamed_log(spark, tmp_path):
     q = stream.degrees(log).writeStream.outputMode("complete").format("memory").queryName("degrees").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {r["id"]: r["comparisons"] for r in spark.sql("select * from degrees").collect()} == {1: 3, 2: 2, 3: 1}
+
+
+def some_vectors(spark, n, d, seed=0):
+    x = np.random.default_rng(seed).standard_normal((n, d))
+    return x, spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)] + [(n, None)], "id long, v array<float>")
+
+
+def test_wide_vectors(spark):
+    """1,536 coordinates: unit vectors in time proportional to the width, Gram matrices, ridge, components and projections as numpy has them."""
+    import time
+
+    from rankloom.functions import vectors as V
+
+    x, df = some_vectors(spark, 200, 1536)
+    x = x.astype(np.float32).astype(float)
+    began = time.perf_counter()
+    got = {r["id"]: r["u"] for r in df.select("id", V.unit(V.doubles(F.col("v"))).alias("u")).collect()}
+    assert time.perf_counter() - began < 10 and got[200] is None
+    unit = x / (np.linalg.norm(x, axis=1)[:, None] + 1e-9)
+    assert np.allclose([got[k] for k in range(200)], unit)
+    xx, xy, total, n = linear.gram(df.withColumn("y", F.col("id").cast("double")), "v", "y", normalise=True)
+    assert n == 200 and np.allclose(xx, unit.T @ unit) and np.allclose(xy, unit.T @ np.arange(200)) and np.allclose(total, unit.sum(0))
+    w = linear.ridge(df.withColumn("y", F.col("id").cast("double")), "v", "y")
+    assert np.allclose(w, np.linalg.solve(unit.T @ unit + np.eye(1536), unit.T @ np.arange(200)))
+    scored = {r["id"]: r["score"] for r in linear.linear_score(df, "v", w, 0.5, normalise=True).collect()}
+    assert np.allclose([scored[k] for k in range(200)], unit @ w + 0.5) and scored[200] is None
+    model = linear.principal(df, "v", 64)
+    z = {r["id"]: r["projected"] for r in linear.projected(df, "id", "v", model).collect()}
+    assert len(z) == 200 and np.allclose([z[k] for k in range(200)], model.features(x), atol=1e-6)
+
+
+def test_sums_over_many_partitions(spark):
+    x, df = some_vectors(spark, 90, 7)
+    for parts in (1, 3, 40):
+        xx, _, total, n = linear.gram(df.repartition(parts), "v")
+        assert n == 90 and np.allclose(xx, x.T @ x, atol=1e-4) and np.allclose(total, x.sum(0), atol=1e-4)
+    summed = linear._total(spark.range(64).repartition(64), lambda batches: iter([linear.pa.RecordBatch.from_arrays([linear.pa.array([np.array([float(sum(b.num_rows for b in batches))]).tobytes()], linear.pa.binary())], ["part"])]), fan_in=2)
+    assert summed.tolist() == [64.0]
+
+
+def test_preferences_without_decisions_or_on_the_executors(spark):
+    x, df = some_vectors(spark, 30, 5)
+    none = decided(spark, [])
+    assert {r["model_score"] for r in linear.preference_scores(linear.fit_preference(df, none, "id", "v"), df, "v").collect()} == {0.0}
+    rng = random.Random(2)
+    some = decided(spark, [(a, b, rng.choice("AB")) for a in range(30) for b in rng.sample(range(30), 3) if a != b])
+    diffs = linear.edge_diff(some, df, "id", "v")
+    assert np.allclose(linear.pairwise_logistic(diffs, steps=5), linear.pairwise_logistic(diffs, steps=5, driver_bytes=0))
+
+
+def test_fuse_rank_beyond_the_driver(spark):
+    c = spark.createDataFrame([(k, f"t{k}", (k * 37 % 11) / 5 - 1) for k in range(12)], "id long, title string, model_score double")
+    d = decided(spark, [(a, (a * 5 + 3) % 12, "AB"[a % 2]) for a in range(12) if a != (a * 5 + 3) % 12] + [(0, 99, "A")])
+    here, agree = aggregate.fuse_rank(c, d, iterations=8)
+    there, also = aggregate.fuse_rank(c, d, iterations=8, most=3)
+    assert agree == also and sorted(map(tuple, here.select(*sorted(here.columns)).collect())) == sorted(map(tuple, there.select(*sorted(here.columns)).collect()))
+
+
+def test_gold_rank_refuses_what_is_too_long(spark):
+    c = spark.createDataFrame([(k, 0.0) for k in range(5)], "id long, model_score double")
+    with pytest.raises(ValueError, match="bounded"):
+        aggregate.gold_rank(c, decided(spark, []), most=4)
+
+
+def test_random_pairs_leave_out_what_is_decided(spark):
+    ids = spark.range(40).unionByName(spark.range(5))
+    every = {tuple(r) for r in pairs.random_pairs(ids, 3).collect()}
+    log = [(b, a, "A") if k % 2 else (a, b, "B") for k, (a, b) in enumerate(sorted(every)[:20])]
+    left = {tuple(r) for r in pairs.random_pairs(ids, 3, log=decided(spark, log)).collect()}
+    assert left == every - {(min(a, b), max(a, b)) for a, b, _ in log}
+    assert len(pairs.random_pairs(ids, 3, most=7, log=decided(spark, log)).collect()) == 7
+    for n in (0, 1, 2, 3, 100):
+        rows = pairs.numbered(spark.range(n).select((F.col("id") * 3).alias("id")), [F.desc("id")]).collect()
+        assert sorted((r["k"], r["id"]) for r in rows) == [(k, 3 * (n - 1 - k)) for k in range(n)]
+
+
+def test_asking_a_shortlist(spark):
+    import threading
+    import time
+
+    people = spark.createDataFrame([(k, float(k * 7 % 10)) for k in range(10)], "id long, utility double")
+    now, most, lock, asked = [0], [0], threading.Lock(), []
+
+    def slow(resume, a, b):
+        with lock:
+            now[0] += 1
+            most[0] = max(most[0], now[0])
+            asked.append(frozenset((a["id"], b["id"])))
+        time.sleep(0.01)
+        with lock:
+            now[0] -= 1
+        return judge.UtilityJudge()(resume, a, b)
+
+    order = pairs.merge_sort(list(range(10)), pairs.ask_here(slow, people, workers=3))
+    assert [k * 7 % 10 for k in order] == list(range(9, -1, -1)) and most[0] <= 3 and len(set(asked)) == len(asked)
+    with pytest.raises(ValueError, match="over 9"):
+        pairs.ask_here(slow, people, most=9)
+    rows, each = judge._bounded(people.repartition(30), 3)
+    assert rows.rdd.getNumPartitions() * each <= 3
+
+
+def test_match_records(spark):
+    resume = "a text that names red and blue things, long enough to be scored by any judge that reads it, and more words"
+    c = spark.createDataFrame([(1, "c", "t", "u", ["red", "green"], "jd", 0.25), (2, "c", "t", "u", ["red"], "jd", None), (3, "c", "t", "u", ["blue"], " ", 1.0)], "id long, company string, title string, url string, skills array<string>, jd_markdown string, score float")
+    got = {r["id"]: r for r in judge.score_fits(c, judge.OverlapFit(), resume).collect()}
+    assert {k: (r["match_score"], r["embed_score"]) for k, r in got.items()} == {1: (50, 0.25), 2: (100, None)}
+    assert judge.score_fits(c.drop("score"), judge.OverlapFit(), resume).where("embed_score is not null").count() == 0
+    log = spark.createDataFrame([(1, 40, 1), (1, 60, 2), (2, 90, 1), (9, 99, 1), (3, None, 1)], "id long, match_score int, at int")
+    assert [(r["id"], r["match_score"]) for r in judge.matched(c, log).collect()] == [(2, 90), (1, 60)]

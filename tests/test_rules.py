@@ -141,3 +141,39 @@ def test_last_and_best(spark):
 def test_salary_and_sizes(spark):
     df = spark.createDataFrame([(50.0, 100.0, 1536.0), (50.0, -1.0, 10.0), (-1.0, 100.0, 1024.0**3)], "lo double, hi double, n double")
     assert [tuple(r) for r in df.select(X.salary(F.col("lo"), F.col("hi")), X.human_size(F.col("n"))).collect()] == [("$50-100k", "1.5KB"), ("$50-?k", "10.0B"), ("", "1.0GB")]
+
+
+def test_list_prefix_and_look_up(spark, tmp_path):
+    rows = spark.createDataFrame([(5, 1), (4, 2), (3, 3)], "id long, ordinal long")
+    assert [r["id"] for r in files.head_of(rows, 2).orderBy("ordinal").collect()] == [5, 4] and files.head_of(rows).count() == 3
+    spark.createDataFrame([(1, "a"), (1, "b"), (2, None), (2, "c"), (None, "d"), (7, "e")], "id long, text string").coalesce(1).write.parquet(f"{tmp_path}/corpus")
+    corpus = files.with_ordinal(spark.read.parquet(f"{tmp_path}/corpus"))
+    wanted = spark.createDataFrame([(1,), (1,), (2,), (None,), (8,)], "id long")
+    assert sorted(map(tuple, files.look_up(corpus, wanted, ["text"]).collect())) == [(1, "a"), (2, None)]
+    assert files.look_up(corpus, wanted.limit(0), ["text"]).count() == 0
+
+
+def test_json_array_file(spark, tmp_path):
+    import json
+
+    path = f"file://{tmp_path}/list.json"
+    rows = spark.createDataFrame([(2, "é \"q\"", None), (1, None, ["a", None])], "id long, title string, skills array<string>")
+    for _ in range(2):
+        files.write_json_array(rows, path, "id")
+    want = [{"id": 1, "title": None, "skills": ["a", None]}, {"id": 2, "title": "é \"q\"", "skills": None}]
+    assert json.load(open(f"{tmp_path}/list.json", encoding="utf-8")) == want
+    assert files.read_json_array(spark, path, "id long, title string, skills array<string>").count() == 2
+    files.write_json_array(rows.limit(0), path)
+    assert json.load(open(f"{tmp_path}/list.json")) == []
+    assert files.parse_where("a=b=c,d, e= f") == {"a": "b=c", " e": " f"}
+
+
+def test_session_options_are_put_back(spark):
+    from rankloom.plans import pipelines, registry
+    from rankloom.plans.testdata import jobs
+    from rankloom.sources.store import CLEANUP
+
+    names = ("spark.sql.optimizer.windowGroupLimitThreshold", CLEANUP)
+    before = [spark.conf.get(n, None) for n in names]
+    pipelines.recall_rank(jobs(spark, "/root/testdata/sf0.001"), registry.RECALL)
+    assert [spark.conf.get(n, None) for n in names] == before
