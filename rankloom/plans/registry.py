@@ -6,6 +6,7 @@ same result for DuckDB, where SQL can.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,7 @@ from rankloom.operators.filters import HullConfig, RecallConfig
 from rankloom.plans import pipelines
 from rankloom.plans.testdata import decisions, jobs, read, sql_decisions, sql_jobs
 from rankloom.sources import files, slugs
+from rankloom.sources.store import shared_dir
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
@@ -390,6 +392,131 @@ def ranked_head(spark, sf):
     return pipelines.numbered(files.head_of(rows, 20, [F.desc("u"), "id"]), [F.desc("u"), "id"]).select("id", F.col("rank").cast("long").alias("rank"))
 
 
+# fits and orders whose result SQL can state, over a prior that it can state too
+
+
+def _prior(spark, sf) -> DataFrame:
+    return linear.linear_score(read(spark, sf, "embeddings"), "embedding", WEIGHTS, name="model_score").select(F.col("vec_id").alias("id"), "model_score")
+
+
+_WINS = f"w as materialized (select id, sum(w) as wins from (select src as id, 1 as w from {_EDGE} e union all select dst, 0 from {_EDGE} e) group by id)"
+_GAMES = f"g as materialized (select i, j, count(*) as n from (select src as i, dst as j from {_EDGE} e union all select dst, src from {_EDGE} e) group by i, j)"
+
+
+@query(f"""with recursive {_WINS}, {_GAMES},
+  s as (select 0 as k, id, 1.0::double as p from w union all
+    select k + 1, id, q / exp(avg(ln(greatest(q, 1e-12))) over ()) from (
+      select a.k, a.id, (w.wins + 0.5) / (coalesce(l.load, 0) + 1.0 / (a.p + 1)) as q from s a join w on w.id = a.id
+      left join (select g.i, sum(g.n / (x.p + y.p)) as load from g join s x on x.id = g.i join s y on y.id = g.j group by g.i) l on l.i = a.id where a.k < 300))
+  select id, round(p, 4) as strength from s where k = 300""")
+def bradley_terry_strengths(spark, sf):
+    return aggregate.bradley_terry(decisions(spark, sf)).select("id", F.round("strength", 4).alias("strength"))
+
+
+@query(f"""with recursive d as materialized (select a_id, b_id, case when winner = 'A' then 1.0 else 0.0 end as y from {DECISIONS} d),
+  n as materialized (select vec_id as id, {_DOT.format(v='embedding')} as s, (select count(*) from d) as met, (select count(*) from embeddings) as many from embeddings),
+  t as (select 0 as k, id, s as theta from n union all
+    select t.k + 1, t.id, t.theta + 0.5 * (coalesce(g.g, 0) / n.met - (t.theta - n.s) / n.many) from t join n on n.id = t.id
+    left join (select id, sum(g) as g from (select unnest([d.a_id, d.b_id]) as id, unnest([1, -1]) * (d.y - 1 / (1 + exp(b.theta - a.theta))) as g from d join t a on a.id = d.a_id join t b on b.id = d.b_id) group by id) g on g.id = t.id where t.k < 500)
+  select id, row_number() over (order by theta desc, id)::integer as rank, round(theta, 4) as fused_strength, round(s, 4) as model_prior from t join n using (id) where k = 500""")
+def fused_order(spark, sf):
+    return aggregate.fuse_rank(_prior(spark, sf), decisions(spark, sf))[0].select("id", "rank", "fused_strength", "model_prior")
+
+
+@query(f"""with recursive {_REACH}, c as materialized (select * from {_SCC} c),
+  v as materialized (select vec_id as id, {_DOT.format(v='embedding')} as s, coalesce(c.component, vec_id) as component from embeddings left join c on c.id = vec_id),
+  e as materialized (select distinct a.component as src, b.component as dst from {_EDGE} e join v a on a.id = e.src join v b on b.id = e.dst where a.component <> b.component),
+  q as materialized (select component, max(s) as best, min(id) as first, coalesce((select list(e.src) from e where e.dst = v.component), []) as before from v group by component),
+  t as (select 0 as k, []::bigint[] as done union all
+    select t.k + 1, list_append(any_value(t.done), arg_max(q.component, (q.best, -q.first))) from t, q where not list_contains(t.done, q.component) and list_has_all(t.done, q.before) group by t.k)
+  select id, row_number() over (order by list_position(done, component), s desc, id)::integer as rank from v, (select done from t order by k desc limit 1)""")
+def gold_order(spark, sf):
+    return aggregate.gold_rank(_prior(spark, sf), decisions(spark, sf))[0].select("id", "rank")
+
+
+_UNIT = f"list_transform(embedding, lambda x: cast(x as double) / ({_NORM.format(v='embedding')} + 1e-9))"
+
+
+@query(f"select cast(place as integer) as place, round(sum(u * y), 4) as xy from (select unnest({_UNIT}) as u, unnest(range(64)) as place, case when label < 3 then 1.0 else -1.0 end as y from embeddings) group by place")
+def ridge_solution(spark, sf):
+    """X'y, given back by the fitted weights: (X'X + lam) w."""
+    rows = read(spark, sf, "embeddings").withColumn("y", F.when(F.col("label") < 3, 1.0).otherwise(-1.0))
+    xx, *_ = linear.gram(rows, "embedding", normalise=True)
+    w = linear.ridge(rows, "embedding", "y", 2.0)
+    return spark.createDataFrame([(k, round(float(x), 4)) for k, x in enumerate(xx @ w + 2.0 * w)], "place int, xy double")
+
+
+@query("""select cast(i as integer) as i, cast(j as integer) as j, round(covar_pop(x[i + 1], x[j + 1]), 4) as covariance
+  from (select list_transform(embedding, lambda x: cast(x as double)) as x from embeddings), (select unnest(range(64)) as i) a, (select unnest(range(64)) as j) b group by 1, 2""")
+def components_rebuild(spark, sf):
+    """The covariance of the coordinates, put together again from all principal components and their scales."""
+    m = linear.principal(read(spark, sf, "embeddings"), "embedding", 64)
+    whole = (m.V * m.zsd**2) @ m.V.T
+    return spark.createDataFrame([(i, j, round(float(x), 4) + 0.0) for i, row in enumerate(whole) for j, x in enumerate(row)], "i int, j int, covariance double")
+
+
+@query(f"""with recursive x as materialized (select row_number() over () as r, list_transform(list_zip(a.embedding, b.embedding), lambda p: cast(p[1] as double) - cast(p[2] as double)) as x, case when d.winner = 'A' then 1.0 else 0.0 end as y
+    from {DECISIONS} d join embeddings a on a.vec_id = d.a_id join embeddings b on b.vec_id = d.b_id),
+  s as (select 0 as k, list_transform(range(64), lambda i: 0.0::double) as w union all
+    select k + 1, list(w - 0.5 * (g + w) order by place) from (
+      select k, place, any_value(w) as w, avg(x * rest) as g from (
+        select s.k, unnest(range(64)) as place, unnest(s.w) as w, unnest(x.x) as x, 1 / (1 + exp(-list_sum(list_transform(list_zip(s.w, x.x), lambda p: p[1] * p[2])))) - x.y as rest from s, x where s.k < 20) group by k, place) t
+      join (select count(*) as n from x) n on true group by k, n)
+  select cast(unnest(range(64)) as integer) as place, round(unnest(w), 3) as weight from s where k = 20""".replace("0.5 * (g + w)", "0.5 * (g + w / n)"))
+def logistic_20_steps(spark, sf):
+    diffs = linear.edge_diff(decisions(spark, sf), read(spark, sf, "embeddings"), "vec_id", "embedding")
+    return spark.createDataFrame([(k, round(float(x), 3) + 0.0) for k, x in enumerate(linear.pairwise_logistic(diffs, steps=20))], "place int, weight double")
+
+
+# files written and read again
+
+
+def _at(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"select cast(id as varchar) as id, company, title, level, salary_max_k, array_to_string(skills, '|') as skills from {JOBS} j where level = 'Junior'")
+def json_array_file(spark, sf):
+    path = _at(spark, "list.json")
+    rows = jobs(spark, sf).where("level = 'Junior'").select(F.col("id").cast("string").alias("id"), "company", "title", "level", "salary_max_k", "skills")
+    files.write_json_array(rows, path, "id")
+    return files.read_json_array(spark, path).select("id", "company", "title", "level", "salary_max_k", F.array_join("skills", "|").alias("skills"))
+
+
+@query(f"select cast(a_id as varchar) as a_id, cast(b_id as varchar) as b_id, winner from {DECISIONS} d")
+def jsonl_log(spark, sf):
+    """Two rounds in one log, with a torn line and a blank one that count for nothing."""
+    path = _at(spark, "log")
+    rows = decisions(spark, sf).select(F.col("a_id").cast("string").alias("a_id"), F.col("b_id").cast("string").alias("b_id"), "winner")
+    files.append_log(rows.where("a_id < b_id"), path)
+    files.append_log(rows.where("not a_id < b_id"), path)
+    spark.createDataFrame([('{"a_id": "1", "b_',), ("",)], "value string").coalesce(1).write.mode("append").text(path)
+    return files.read_jsonl(spark, path).select("a_id", "b_id", "winner")
+
+
+@query(f"select cast(a_id as varchar) as a_id, cast(b_id as varchar) as b_id, winner from {DECISIONS} d where winner = 'A'")
+def jsonl_strict(spark, sf):
+    path = _at(spark, "log")
+    files.append_log(decisions(spark, sf).where("winner = 'A'").select(F.col("a_id").cast("string").alias("a_id"), F.col("b_id").cast("string").alias("b_id"), "winner"), path)
+    return files.read_jsonl(spark, path, strict=True).select("a_id", "b_id", "winner")
+
+
+@query("select cast(place as integer) as place, round(avg(x), 4) as mean from (select unnest(range(64)) as place, unnest(list_transform(embedding, lambda x: cast(x as double))) as x from embeddings) group by place")
+def model_file(spark, sf):
+    path = _at(spark, "model")
+    files.save_model(spark, linear.principal(read(spark, sf, "embeddings"), "embedding", 8), path)
+    return spark.createDataFrame([(k, round(float(x), 4) + 0.0) for k, x in enumerate(files.load_model(spark, path).mean)], "place int, mean double")
+
+
+@query("select sum(length(p_name) + 1)::bigint - 1 as n, sha256(string_agg(p_name, chr(10) order by p_partkey)) as text_sha256 from part")
+def text_file(spark, sf):
+    """All names in one text file, read whole and stripped."""
+    path = _at(spark, "text")
+    read(spark, sf, "part").orderBy("p_partkey").select(F.col("p_name").alias("value")).coalesce(1).write.text(path)
+    text = files.read_text(spark, path, 100)
+    return spark.createDataFrame([(text,)], "text string").select(F.length("text").cast("long").alias("n"), F.sha2("text", 256).alias("text_sha256"))
+
+
 # what SQL doesn't express: fits, sequential orders, sampling
 
 
@@ -464,10 +591,10 @@ def candidate_prefix(spark, sf):
     return files.head_of(rows, 40, [F.desc("salary_max_k"), "id"]).drop("salary_max_k")
 
 
-@query("select user_id as id, event_type, value from (select user_id, event_type, value, row_number() over (partition by user_id order by event_id) as place from events where user_id in (select c_custkey from customer where c_custkey % 3 = 0)) where place = 1")
+@query("select user_id as id, event_type, value from (select user_id, event_type, value, row_number() over (partition by user_id order by event_id) as place from events where user_id in (select c_custkey from customer where c_acctbal > 0)) where place = 1")
 def look_up_first(spark, sf):
     corpus = read(spark, sf, "events").withColumnsRenamed({"user_id": "id", "event_id": "ordinal"})
-    wanted = read(spark, sf, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"))
+    wanted = read(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("id"))
     return files.look_up(corpus, wanted.unionByName(wanted), ["event_type", "value"])
 
 
