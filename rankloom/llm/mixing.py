@@ -10,8 +10,8 @@ permutation of block indexes, as often as the stream repeats; blocks are joined
 (source, index).
 
 Permutations are swap-or-not shuffles: keyed, exact on any range, and pure arithmetic.
-Prefix sums are two-level: within (source, bin) and over a fixed number of bins, so no
-source is ever in one task.
+Prefix sums are two-level: within (source, bin) and over the bins, whose number grows with
+the documents, so no source is ever in one task.
 """
 
 from __future__ import annotations
@@ -72,11 +72,10 @@ def _spread(goals: DataFrame, column: str, name: str) -> DataFrame:
     return parts.select("*", F.explode(F.sequence(F.col("_part") * _PART, upto)).alias(name)).drop("_part")
 
 
-def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, bins: int) -> DataFrame:
-    """(doc_id, source, size, bin) of every row."""
+def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """(doc_id, source, size) of every row."""
     size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"))
-    return rows.withColumn("bin", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.lit(bins)).cast("int"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"))
 
 
 class Mix:
@@ -94,10 +93,13 @@ class Mix:
     The sizes and the plan are written once, so that every later read agrees.
     """
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = 32, shard_blocks: int = 4096, seed: int = 20240517, bins: int = 1024, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0):
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = 32, shard_blocks: int = 4096, seed: int = 20240517, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0):
         self.block = block
-        self._columns = (id_col, text_col, source_col, seed, bins)
+        self._columns = (id_col, text_col, source_col)
         self._sizes = rows = kept(sized(docs, *self._columns), "sizes")
+        # so many that a bin has some 65,000 documents at most, even of one source that holds all
+        bins = max(1 << 10, 1 << (rows.count() >> 16).bit_length())
+        rows = rows.withColumn("bin", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.lit(bins)).cast("int"))
         by_bin = rows.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
         goals = targets(by_bin.groupBy("source").agg(F.sum("bin_size").alias("source_size")), weights, most)
         goals = goals.withColumn("k", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
@@ -147,7 +149,7 @@ class Mix:
         never pieces of it glued together.  A column n_chars is set to the new length.
         Texts without words go.
         """
-        id_col, text_col, source_col, seed, bins = self._columns
+        id_col, text_col, source_col = self._columns
         # how often each block of a text is taken, in the order of its blocks
         times = F.transform(F.array_sort(F.collect_list(F.struct("block", "times"))), lambda x: x["times"])
         laps = self.pieces.groupBy("k", "first_word").agg(F.max("times").alias("laps"), times.alias("times")).where("laps > 0")
