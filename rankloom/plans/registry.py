@@ -360,6 +360,23 @@ def slug_from_url(spark, sf):
     return read(spark, sf, "pages").select("page_id", slugs.from_url(F.col("url"), pattern)["slug"].alias("slug")).where("slug is not null")
 
 
+# a careers URL of each system, with {s} for the slug, and one of none
+_URLS = (
+    ("greenhouse", "https://boards.greenhouse.io/{s}/jobs/1"), ("lever", "https://jobs.lever.co/{s}?x=1"), ("ashby", "http://jobs.ashbyhq.com/{s}#a"), ("workable", "https://apply.workable.com/{s}/"),
+    ("smartrecruiters", "https://careers.smartrecruiters.com/{s}/x"), ("recruitee", "https://{s}.recruitee.com/o/x"), ("personio", "https://{s}.jobs.personio.com/"), ("paylocity", "https://recruiting.paylocity.com/recruiting/jobs/All/7/{s}"),
+    ("workday", "https://{s}.wd12.myworkdayjobs.com/en-US"), ("breezy", "https://{s}.breezy.hr"), (None, "https://jobs.example/{s}"),
+)
+_ATS = " ".join(f"when {k} then '{ats}'" for k, (ats, _) in enumerate(_URLS) if ats)
+
+
+@query(f"select p_partkey as id, case p_partkey % {len(_URLS)} {_ATS} end as ats, case when p_partkey % {len(_URLS)} in (4, 8) then slug when p_partkey % {len(_URLS)} = 10 then null else lower(slug) end as slug from (select p_partkey, replace(p_brand, '#', '-') as slug from part)")
+def ats_of_url(spark, sf):
+    """The system and slug of careers URLs of all documented forms; each part's key says which form its URL has."""
+    url = F.element_at(F.array(*[F.lit(u) for _, u in _URLS]), (F.col("p_partkey") % len(_URLS) + 1).cast("int"))
+    rows = read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.replace(url, F.lit("{s}"), F.replace("p_brand", F.lit("#"), F.lit("-"))).alias("url"))
+    return rows.select("id", slugs.from_url(F.col("url")).alias("r")).select("id", "r.ats", "r.slug")
+
+
 @query("select distinct ats, case when ats in ('smartrecruiters', 'workday') then slug else lower(slug) end as slug from (select case p_size % 3 when 0 then 'lever' when 1 then 'workday' else 'nosuch' end as ats, trim(p_brand) as slug from part where p_partkey % 4 <> 0) where ats <> 'nosuch' and not (ats = 'lever' and lower(slug) in (select lower(p_brand) from part where p_partkey % 50 = 0))")
 def slug_lines(spark, sf):
     part = read(spark, sf, "part")
@@ -392,6 +409,14 @@ def ranked_head(spark, sf):
     return pipelines.numbered(files.head_of(rows, 20, [F.desc("u"), "id"]), [F.desc("u"), "id"]).select("id", F.col("rank").cast("long").alias("rank"))
 
 
+@query(f"""select rank::integer as rank, lpad(rank::varchar, 4, ' ') || ' ' || rpad(substr(coalesce(company, ''), 1, 20), 20, ' ') || ' ' || rpad(substr(coalesce(title, ''), 1, 40), 40, ' ') || ' ' || case when n > 0 then '[' || n || 'cmp]' else '[imputed]' end as line
+  from (select row_number() over (order by coalesce(salary_max_k, -1) desc, id) as rank, company, title, id % 3 as n from {JOBS} j) where rank <= 25""")
+def shown_head(spark, sf):
+    rows = jobs(spark, sf).select("id", "company", "title", F.coalesce("salary_max_k", F.lit(-1.0)).alias("pay"), (F.col("id") % 3).alias("comparisons"))
+    order = [F.desc("pay"), F.col("id")]
+    return pipelines.shown(pipelines.numbered(files.head_of(rows, 25, order), order), "rank")
+
+
 # fits and orders whose result SQL can state, over a prior that it can state too
 
 

@@ -71,7 +71,7 @@ def with_ordinal(df: DataFrame, name: str = "ordinal") -> DataFrame:
     return df.withColumn(name, F.struct(meta["file_name"].alias("file"), meta["row_index"].alias("row")))
 
 
-def head_of(candidates: DataFrame, top: int = 0, order: Column | str = "ordinal") -> DataFrame:
+def head_of(candidates: DataFrame, top: int = 0, order: Column | str | list = "ordinal") -> DataFrame:
     """The first ``top`` candidates of a list in its order; 0: all."""
     return candidates.orderBy(order).limit(top) if top else candidates
 
