@@ -8,7 +8,7 @@ bounds (the window has to fit around the word), and the words themselves are com
 
 The benchmark side is broadcast in slices of at most ``slice_bytes`` of text, measured
 before.  A slice is held as its text and arrays of a few numbers for each word of it, some
-40 bytes for each byte of text; a larger benchmark takes more passes over the documents,
+ten bytes for each byte of text; a larger benchmark takes more passes over the documents,
 never more memory.
 """
 

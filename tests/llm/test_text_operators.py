@@ -252,6 +252,31 @@ def test_decontamination(spark, docs, rows, items, size):
     assert sorted((r["doc_id"] for r in left.collect()), key=repr) == sorted((r[0] for r in want if not r[5]), key=repr)
 
 
+def test_a_large_benchmark_is_held_in_bounded_slices(spark):
+    """16 MB of items: slices of 4 MB, each some 40 bytes of arrays for a byte of text, and little more while it is made."""
+    import pickle
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    words = np.array([f"w{k:05x}" for k in range(50_000)])
+    items = [(k, " ".join(words[rng.integers(0, len(words), 2000)])) for k in range(1200)]
+    size = sum(len(t) for _, t in items)
+    assert size > 16 << 20
+    some, total = [], 0
+    while total < 4 << 20:
+        some.append((str(items[len(some)][0]), items[len(some)][1]))
+        total += len(some[-1][1])
+    tracemalloc.start()
+    windows = decontaminate.item_windows(some, 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(windows.place) == sum(len(t.split()) - 9 for _, t in some)
+    assert len(pickle.dumps(windows)) < 45 * total / 4 and peak < 60 * total
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    slices = list(decontaminate._slices(bench, "item_id", "text", 10, 4 << 20))
+    assert len(slices) == -(-size // (4 << 20)) and sum(len(w.ids) for w in slices) == len(items) and max(len(w.joined) for w in slices) < 6 << 20
+
+
 def test_decontamination_of_and_by_nothing(spark, docs, no_docs, rows):
     none = spark.createDataFrame([], "item_id long, text string")
     got = decontaminate.report(decontaminate.benchmark_hits(docs, none)).collect()
