@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column
@@ -114,12 +115,29 @@ def compared(n: Column) -> Column:
     return F.when(n > 0, F.concat(F.lit("["), n.cast("string"), F.lit("cmp]"))).otherwise("[imputed]")
 
 
-def human_size(n: Column) -> Column:
-    """Bytes as B, KB, MB, GB or TB with one decimal, by 1024."""
-    out = F.concat(F.format_string("%.1f", F.bround(n / 1024.0**4, 1)), F.lit("TB"))
-    for power, unit in ((3, "GB"), (2, "MB"), (1, "KB"), (0, "B")):
-        out = F.when(n < 1024.0 ** (power + 1), F.concat(F.format_string("%.1f", F.bround(n / 1024.0**power, 1)), F.lit(unit))).otherwise(out)
-    return out
+def one_decimal(v: Column) -> Column:
+    """A number with one digit behind the point as C prints it: from its exact binary value, ties to even."""
+    a = F.abs(v)
+    part = a % 1.0
+    digit = F.floor(part * 10)
+    # part * 10 may be rounded; five times part less the tie above the digit, in two differences that are exact near it, is not
+    over = (part * 4 - (digit * 2 + 1) / 4.0) + part
+    tenths = digit + F.when((over > 0) | ((over == 0) & (digit % 2 == 1)), 1).otherwise(0)
+    long = 2.0**63
+    whole = F.floor(a / long).cast("decimal(19,0)") * F.lit(Decimal(2**63)) + F.floor(a % long).cast("decimal(19,0)") + F.floor(tenths / 10)
+    sign = F.when(v.cast("string").startswith("-"), "-").otherwise("")
+    finite = F.when(a < long * long / 2, F.concat(whole.cast("string"), F.lit("."), (tenths % 10).cast("string"))).otherwise(F.format_string("%.1f", a))
+    return F.concat(sign, F.when(F.isnan(a), "nan").when(a == float("inf"), "inf").when(a.isNotNull(), finite))
+
+
+def human_size(n: Column, units: Sequence[str] = ("B", "KB", "MB", "GB", "TB")) -> Column:
+    """Bytes with one decimal, by 1024, in the first unit of which there are fewer than 1024, or the last; of no number, the last unit alone."""
+    n = n.cast("double")
+    scale, unit = F.lit(1024.0 ** (len(units) - 1)), F.lit(units[-1])
+    for power in range(len(units) - 2, -1, -1):
+        small = n < 1024.0 ** (power + 1)
+        scale, unit = F.when(small, 1024.0**power).otherwise(scale), F.when(small, units[power]).otherwise(unit)
+    return F.concat(F.coalesce(one_decimal(n / scale), F.lit("")), unit)
 
 
 def verdict(score: Column) -> Column:

@@ -1,5 +1,10 @@
 """Null, sentinel and tie rules on hand-written rows."""
 
+import random
+
+import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,6 +148,33 @@ def test_salary_and_sizes(spark):
     assert [tuple(r) for r in df.select(X.salary(F.col("lo"), F.col("hi")), X.human_size(F.col("n"))).collect()] == [("$50-100k", "1.5KB"), ("$50-?k", "10.0B"), ("", "1.0GB")]
 
 
+def test_sizes_are_exact_and_end_at_the_last_unit(spark):
+    exact = [0.15, 0.25, 0.35, 0.05, 0.95, 9.96, 1023.96, 1280.0, 1024.0**4, 1.5 * 1024.0**5, 3.35 * 2.0**50 * 1024, 2.0**90, 2.0**122, 0.0, -0.0, -5.0, -1e30, float("inf"), float("nan")]
+    rng = random.Random(3)
+    # quotients whose shortest decimals seem to end in a 5
+    exact += [float(f"{rng.randrange(10**6)}.{rng.randrange(10)}5") * 2.0**30 for _ in range(500)] + [rng.uniform(0, 20) for _ in range(500)]
+    got = spark.createDataFrame([(x,) for x in exact], "n double").select("n", X.human_size(F.col("n"), ("B", "KB", "MB", "GB"))).collect()
+    for n, size in got:
+        k = 0
+        while k < 3 and not n / 1024**k < 1024:
+            k += 1
+        assert size == f"{n / 1024**k:.1f}" + ("B", "KB", "MB", "GB")[k]
+    odd = spark.createDataFrame([(None,), (1024.0**4,), (1024.0**5,)], "n double")
+    assert [tuple(r) for r in odd.select(X.human_size(F.col("n"), ("B", "KB", "MB", "GB")), X.human_size(F.col("n"))).collect()] == [("GB", "TB"), ("1024.0GB", "1.0TB"), ("1048576.0GB", "1024.0TB")]
+
+
+def test_human_size_equals_its_sql_on_large_and_missing_keys(spark, tmp_path):
+    from rankloom.plans import registry
+
+    keys = [(1, 1), (2**21, 2**20), (9_000_000, 900_000), (2**62, 2**62), (None, 3), (3, None), (-7, 5), (0, -1), (1640, 1), (94_906_267, 94_906_265)]
+    pq.write_table(pa.table({"o_orderkey": pa.array([k[0] for k in keys], pa.int64()), "o_custkey": pa.array([k[1] for k in keys], pa.int64())}), f"{tmp_path}/orders.parquet")
+    got = registry.queries()["human_size"](spark, str(tmp_path)).collect()
+    with duckdb.connect() as c:
+        c.execute(f"create view orders as select * from '{tmp_path}/orders.parquet'")
+        want = c.execute(registry.oracle_sql()["human_size"]).fetchall()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
 def test_list_prefix_and_look_up(spark, tmp_path):
     rows = spark.createDataFrame([(5, 1), (4, 2), (3, 3)], "id long, ordinal long")
     assert [r["id"] for r in files.head_of(rows, 2).orderBy("ordinal").collect()] == [5, 4] and files.head_of(rows).count() == 3
