@@ -9,10 +9,11 @@ dealt over some more columns), drawn to their shares in the class.  Texts are sc
 attention; the end of a text is a token.
 
 Fitting.  Subword counts cover all training texts, and so do the counts of each token's
-left and right neighbours, from which embeddings, classes and shares come.  The driver
-warms up the weights on at most ``most_windows`` windows; then every partition of a fixed
-share of all windows takes gradient steps from the same weights, which are averaged in
-Spark, for a few rounds.
+left and right neighbours, from which embeddings, classes and shares come.  All windows
+of all training texts train the weights: the driver takes the first steps, on at most
+``most_windows`` windows; then, in a few rounds over as many parts of the texts, every
+partition takes gradient steps over all windows of its texts from the same weights, which
+are averaged in Spark.
 
 Base score.  Word counts are exact.  A bounded list of words that are frequent in a
 sample is counted by hash aggregates and comes back as one array; all other words meet
@@ -40,6 +41,8 @@ WIDTH, CLASSES = 32, 64
 #: Columns of neighbours, and how many of them are for one token each.
 CONTEXT, SINGLE = 256, 192
 WINDOW, STRIDE = 32, 24
+#: Windows in a step of training in Spark, and how many are mixed at a time.
+BATCH, MIXED = 128, 1 << 15
 LONG = 1000
 #: Blanks as the subword pattern has them: \s of ``re`` has \x1c-\x1f besides.
 _BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -127,58 +130,15 @@ class Model:
     def size() -> int:
         return 2 * WIDTH * WIDTH + 2 * WIDTH * CLASSES + CLASSES + WINDOW
 
-    def attention(self, x: np.ndarray, a: np.ndarray, far: np.ndarray) -> np.ndarray:
-        """Causal attention weights of windows x (n, t, d); far: one score for each distance."""
-        t = x.shape[1]
-        s = np.matmul(np.matmul(x, a), x.transpose(0, 2, 1))
-        s += _distances(far, t)
-        np.exp(s, out=s)
-        s /= s.sum(2, keepdims=True)
-        return s
-
     def slope(self, ids: np.ndarray, flat: np.ndarray) -> tuple[float, np.ndarray]:
-        """Mean loss over windows ids (n, WINDOW + 1), whose last column is a target only, and its gradient; PAD, which may end a window, is no target."""
-        a, b, c1, c2, bias, far = self.parts(flat)
-        use = ids[:, 1:] != PAD
-        ids = np.where(ids != PAD, ids, END)  # no target attends to what is behind it
-        x = self.embed[ids[:, :-1]]
-        y = self.classes[ids[:, 1:]]
-        n, t, d = x.shape
-        p = self.attention(x, a, far)
-        v = np.matmul(x, b)
-        h = np.matmul(p, v)
-        z = np.matmul(x, c1) + np.matmul(h, c2) + bias
-        z -= z.max(2, keepdims=True)
-        e = np.exp(z)
-        total = e.sum(2, keepdims=True)
-        q = e / total
-        at = (np.arange(n)[:, None], np.arange(t)[None], y)
-        loss = float(np.mean((np.log(total[..., 0]) - z[at])[use]))
-        q[at] -= 1
-        q *= use[..., None] / np.float32(use.sum())
-        flat_x, flat_q = x.reshape(-1, d), q.reshape(-1, CLASSES)
-        dh = np.matmul(q, c2.T)
-        dv = np.matmul(p.transpose(0, 2, 1), dh)
-        dp = np.matmul(dh, v.transpose(0, 2, 1))
-        ds = p * (dp - (dp * p).sum(2, keepdims=True))
-        by_place = ds.sum(0)
-        grads = (
-            flat_x.T @ np.matmul(ds, x).reshape(-1, d), flat_x.T @ dv.reshape(-1, d), flat_x.T @ flat_q, h.reshape(-1, d).T @ flat_q, flat_q.sum(0),
-            np.array([np.trace(by_place, -k) for k in range(t)] + [0.0] * (WINDOW - t)),
-        )
-        return loss, np.concatenate([g.ravel() for g in grads]).astype(np.float32)
+        """Mean loss over windows ids (n, t + 1), whose last column is a target only, and its gradient; PAD, which may end a window, is no target."""
+        return Slopes(self.embed, self.classes, *np.subtract(ids.shape, (0, 1)))(ids, flat)
 
     def steps(self, windows: np.ndarray, flat: np.ndarray, rate: float, batch: int = 64, seed: int = 3) -> np.ndarray:
         """Adam over the windows once."""
-        flat = flat.copy()
-        m, s = np.zeros_like(flat), np.zeros_like(flat)
-        order = np.random.default_rng(seed).permutation(len(windows))
-        for k, at in enumerate(range(0, len(order), batch), 1):
-            _, g = self.slope(windows[order[at : at + batch]], flat)
-            m = 0.9 * m + 0.1 * g
-            s = 0.99 * s + 0.01 * g * g
-            flat -= rate * (m / (1 - 0.9**k)) / (np.sqrt(s / (1 - 0.99**k)) + 1e-7)
-        return flat
+        adam = Adam(self.embed, self.classes, flat, rate, batch, seed)
+        adam.pass_over(windows)
+        return adam.flat
 
     def scores(self, sequences: list[np.ndarray]) -> np.ndarray:
         """log10 probability of each id sequence with its end; its start follows an end."""
@@ -236,6 +196,90 @@ class Model:
         return self._rows
 
 
+class Slopes:
+    """Losses and gradients over up to n windows of t tokens, in arrays that are made once: half of the time would go into making them anew."""
+
+    def __init__(self, embed: np.ndarray, classes: np.ndarray, n: int, t: int):
+        self.embed, self.classes, self.t = np.ascontiguousarray(embed, np.float32), classes.astype(np.int16), t
+        self.gap = np.maximum(np.arange(t)[:, None] - np.arange(t)[None], 0).ravel()
+        wide = {"x": WIDTH, "asking": WIDTH, "given": WIDTH, "dh": WIDTH, "x_h": 2 * WIDTH, "back": 2 * WIDTH, "z": CLASSES}
+        self.rows = {name: np.empty((n * t, width), np.float32) for name, width in wide.items()}
+        self.across = {name: np.empty((n, WIDTH, t), np.float32) for name in ("x", "given")}
+        self.pairs = {name: np.empty((n, t, t), np.float32) for name in ("p", "turned", "dp")}
+        self.h = np.empty((n, t, WIDTH), np.float32)
+
+    def __call__(self, ids: np.ndarray, flat: np.ndarray) -> tuple[float, np.ndarray]:
+        n, t, d = len(ids), self.t, WIDTH
+        a, b, c1, c2, bias, far = Model.parts(self, flat)
+        x, asking, given, dh, x_h, back, z = (r[: n * t] for r in self.rows.values())
+        x_across, given_across = (r[:n] for r in self.across.values())
+        p, turned, dp = (r[:n] for r in self.pairs.values())
+        h = self.h[:n]
+        by_window = lambda r: r.reshape(n, t, d)
+        target = ids[:, 1:].ravel()
+        use = target != PAD
+        before = ids[:, :-1].ravel()
+        self.embed.take(np.where(before != PAD, before, END), 0, out=x, mode="clip")  # no target attends to what is behind it
+        # forward: attention, what it brings, scores of classes
+        np.matmul(x, a, out=asking)
+        np.matmul(x, b, out=given)
+        np.copyto(x_across, by_window(x).transpose(0, 2, 1))
+        np.matmul(by_window(asking), x_across, out=p)
+        np.exp(p, out=p)
+        p *= np.tril(np.exp(_distances(far, t)))  # a true zero ahead: tiny numbers take a hundred times as long
+        p /= np.matmul(p.reshape(-1, t), np.ones((t, 1), np.float32)).reshape(n, t, 1)
+        np.matmul(p, by_window(given), out=h)
+        x_h[:, :d] = x
+        x_h[:, d:] = h.reshape(-1, d)
+        np.matmul(x_h, np.concatenate([c1, c2]), out=z)
+        z += bias
+        np.minimum(z, 80, out=z)
+        at = np.arange(n * t) * CLASSES + self.classes[np.where(use, target, END)]
+        hit = z.ravel()[at]
+        np.exp(z, out=z)
+        total = np.matmul(z, np.ones(CLASSES, np.float32))
+        many = max(1, int(use.sum()))
+        loss = float((np.log(total) - hit)[use].sum()) / many
+        # backward; z becomes the slope by the scores of classes
+        z *= (use / (total * np.float32(many)))[:, None].astype(np.float32)
+        z.ravel()[at] -= (use / many).astype(np.float32)
+        by_class = np.matmul(x_h.T, z)
+        np.matmul(z, c2.T, out=dh)
+        np.copyto(turned, p.transpose(0, 2, 1))
+        np.matmul(turned, by_window(dh), out=h)
+        back[:, d:] = h.reshape(-1, d)
+        np.copyto(given_across, by_window(given).transpose(0, 2, 1))
+        np.matmul(by_window(dh), given_across, out=dp)
+        dp -= np.einsum("ij,ij->i", dh, x_h[:, d:]).reshape(n, t, 1)
+        dp *= p
+        np.matmul(dp, by_window(x), out=h)
+        back[:, :d] = h.reshape(-1, d)
+        by_given = np.matmul(x.T, back)
+        by_gap = np.zeros(WINDOW)
+        by_gap[:t] = np.bincount(self.gap, dp.sum(0).ravel(), t)  # nothing is attended ahead: dp is zero there
+        grads = (by_given[:, :d], by_given[:, d:], by_class[:d], by_class[d:], np.matmul(np.ones(n * t, np.float32), z), by_gap)
+        return loss, np.concatenate([g.ravel() for g in grads]).astype(np.float32)
+
+
+class Adam:
+    """Steps of Adam from given weights, over windows (n, WINDOW + 1) as they come."""
+
+    def __init__(self, embed: np.ndarray, classes: np.ndarray, flat: np.ndarray, rate: float, batch: int = 64, seed: int = 3):
+        self.slopes, self.flat, self.rate, self.batch = Slopes(embed, classes, batch, WINDOW), flat.copy(), rate, batch
+        self.m, self.s, self.k = np.zeros_like(flat), np.zeros_like(flat), 0
+        self.rng = np.random.default_rng(seed)
+
+    def pass_over(self, windows: np.ndarray) -> None:
+        """A step for each batch of the windows, in random order."""
+        order = self.rng.permutation(len(windows))
+        for at in range(0, len(order), self.batch):
+            _, g = self.slopes(windows[order[at : at + self.batch]], self.flat)
+            self.k += 1
+            self.m = 0.9 * self.m + 0.1 * g
+            self.s = 0.99 * self.s + 0.01 * g * g
+            self.flat -= self.rate * (self.m / (1 - 0.9**self.k)) / (np.sqrt(self.s / (1 - 0.99**self.k)) + 1e-7)
+
+
 def _distances(far: np.ndarray, t: int) -> np.ndarray:
     """Scores by distance for t places, -inf (a large negative number) ahead."""
     gap = np.arange(t)[:, None] - np.arange(t)[None]
@@ -406,36 +450,65 @@ def _word_counts(size: int):
     return run
 
 
+def _cut(data: bytes) -> np.ndarray:
+    """Windows (n, WINDOW + 1) of a text's ids with an end before and after them; the last one is padded, and each starts with the last id of the one before."""
+    n = len(data) // 2 // WINDOW + 1
+    s = np.full(n * WINDOW + 1, PAD, np.uint16)
+    s[0] = END
+    s[1 : len(data) // 2 + 1] = np.frombuffer(data, np.uint16)
+    s[len(data) // 2 + 1] = END
+    return np.lib.stride_tricks.sliding_window_view(s, WINDOW + 1)[::WINDOW]
+
+
+def _marks(data: bytes, n: int) -> np.ndarray:
+    """Hashes of a text's windows, by its ids and the window's place."""
+    seed = np.uint64(len(data)) + (np.frombuffer(data[:64].ljust(64, b"\0"), np.uint64) * W._SHINGLE[:8]).sum()
+    return W.mix(np.arange(n, dtype=np.uint64) + seed)
+
+
 def _windows(every: int):
-    """One in ``every`` windows of each text, its last one padded, by a hash of the text's ids and the window's place."""
+    """One in ``every`` windows of each text, by its hash."""
 
     def run(batches):
         for batch in batches:
             out, key = [], []
             for x in batch.column("ids"):
                 data = x.as_py()
-                s = np.r_[END, np.frombuffer(data, np.uint16), END].astype(np.uint16)
-                n = -(-(len(s) - 1) // WINDOW)
-                s = np.r_[s, np.full(n * WINDOW + 1 - len(s), PAD, np.uint16)]
-                seed = np.uint64(len(data)) + (np.frombuffer(data[:64].ljust(64, b"\0"), np.uint64) * W._SHINGLE[:8]).sum()
-                mark = W.mix(np.arange(n, dtype=np.uint64) + seed)
+                windows = _cut(data)
+                mark = _marks(data, len(windows))
                 for k in np.flatnonzero(mark % np.uint64(every) == 0).tolist():
-                    out.append(s[k * WINDOW : k * WINDOW + WINDOW + 1].tobytes())
+                    out.append(windows[k].tobytes())
                     key.append(int(mark[k] >> np.uint64(1)))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(key, pa.int64())], ["window", "key"])
 
     return run
 
 
-def _trained(shared, rate: float):
-    """One pass over a partition's windows: its weights, times how many windows it has."""
+def _trained(shared, flat: np.ndarray, rate: float, every: int = 1):
+    """Steps over all windows of a partition's texts (or one in ``every``), mixed some ten thousand at a time: the weights, times how many windows there were."""
 
     def run(batches):
-        held = [np.frombuffer(x.as_py(), np.uint16) for batch in batches for x in batch.column("window")]
-        if held:
-            model = shared.value
-            flat = model.steps(np.array(held).astype(np.int64), model.weights, rate)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat.astype(float) * len(held)), pa.array(np.full(len(flat), len(held)))], ["place", "value", "n"])
+        adam = Adam(*shared.value, flat, rate, BATCH)
+        many, waiting, held = 0, 0, []
+
+        def step():
+            nonlocal many, waiting
+            adam.pass_over(np.concatenate(held))
+            many, waiting = many + waiting, 0
+            held.clear()
+
+        for batch in batches:
+            for x in batch.column("ids"):
+                data = x.as_py()
+                windows = _cut(data)
+                held.append(windows if every == 1 else windows[_marks(data, len(windows)) % np.uint64(every) == 0])
+                waiting += len(held[-1])
+                if waiting >= MIXED:
+                    step()
+        if waiting:
+            step()
+        if many:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(adam.flat.astype(float) * many), pa.array(np.full(len(flat), many))], ["place", "value", "n"])
 
     return run
 
@@ -486,7 +559,7 @@ def _most_frequent(counted: DataFrame, most: int, top: int = 100_000) -> list[in
     return [r["word"] for r in counted.where(F.col("n") >= least).collect()] if left < most else []
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, modulus: int = 7, remainder: int = 2, frequent_words: int = 1 << 18, sample_share: int = 16, most_windows: int = 12_000, every: int = 8, every_round: int = 5, rounds: int = 1) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, modulus: int = 7, remainder: int = 2, frequent_words: int = 1 << 18, sample_share: int = 16, most_windows: int = 12_000, every: int = 1, rounds: int = 2) -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Rows with crc32(id as text) mod ``modulus`` = ``remainder`` are held out; all others,
@@ -495,9 +568,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", token
     50,256 byte-level BPE ranks.  ``frequent_words``
     bounds the broadcast words, chosen on one in ``sample_share`` texts (which ones are
     chosen changes no result).  Embeddings, classes and shares come from counts over all
-    training texts.  Texts of any length are read and scored whole.  One in ``every`` windows of these is kept, by a hash: ``most_windows`` bounds
-    those the driver starts the weights from, and one in ``every_round`` of all trains the
-    weights in every round.
+    training texts.  Texts of any length are read, learned from and scored whole.  All
+    their windows train the weights, once each, in ``rounds`` rounds; ``most_windows`` bounds
+    those that the driver takes the first steps on.  ``every`` above 1 trains on one window
+    in so many only.
     """
     spark = docs.sparkSession
     bounded_batches(spark, 500)
@@ -513,16 +587,20 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", token
     training = read.where(~F.col("held_out"))
 
     id_counts = _as_array(training.select("ids").mapInArrow(_id_counts, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), VOCABULARY)
-    windows = kept(training.select("ids").mapInArrow(_windows(every), "window binary, key long"), "windows")
-    some = sorted((r["key"], r["window"]) for r in some_rows(windows, F.xxhash64("window", "key"), most_windows))
+    total = training.agg(F.coalesce(F.sum(F.floor(F.octet_length("ids") / (2 * WINDOW)) + 1), F.lit(0))).first()[0]
+    windows = kept(training.select("ids").mapInArrow(_windows(max(every, -(-total // most_windows))), "window binary, key long"), "windows")
+    # copies of a text have windows of one key: a row's number sets them apart
+    some = sorted((r["key"], r["window"]) for r in some_rows(windows.withColumn("row", F.monotonically_increasing_id()), F.xxhash64("window", "key", "row"), most_windows))
+    drop(windows)
     model = fit(np.array([np.frombuffer(x, np.uint16) for _, x in some]), id_counts, *_neighbours(training, id_counts))
+    learned = context.broadcast((model.embed, model.classes))
     for k in range(rounds):
-        steps = windows.where(F.col("key") % every_round == 0).select("window").mapInArrow(_trained(context.broadcast(model), 0.002 / (k + 1)), "place long, value double, n long")
+        part = training.where(F.pmod(F.xxhash64("u"), F.lit(rounds)) == k).select("ids")
+        steps = part.mapInArrow(_trained(learned, model.weights, 0.002 / (k + 1), every), "place long, value double, n long")
         mean = steps.groupBy("place").agg((F.sum("value") / F.sum("n")).alias("w")).orderBy("place").collect()
         if mean:
             model = Model(model.embed, model.classes, model.column, model.share, np.array([r["w"] for r in mean], np.float32))
 
-    drop(windows)
     known = _as_array(training.select("known", "known_n").mapInArrow(_word_counts(len(table)), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), len(table))
     totals = training.agg(F.count("*"), F.coalesce(F.sum("n_words"), F.lit(0))).first()
     ends, train_tokens = totals[0], totals[0] + totals[1]

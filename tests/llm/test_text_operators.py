@@ -3,8 +3,10 @@
 import hashlib
 import math
 import re
+import tempfile
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -614,6 +616,48 @@ def test_lm_windows_hold_each_target_once():
         assert all(w[0] == v[-1] for v, w in zip(windows, windows[1:], strict=False))
 
 
+def test_lm_trains_on_all_windows_of_all_training_texts(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(8)
+    texts = [(k, " ".join(f"w{x}" for x in rng.integers(0, 300, n))) for k, n in enumerate([0, 1, 3, 400, 5000, *rng.integers(10, 300, 35)])]
+    trained, folder = lm._trained, str(tmp_path)
+
+    def counting(*arguments):
+        run = trained(*arguments)
+
+        def noted(batches):
+            for out in run(batches):
+                with tempfile.NamedTemporaryFile("w", dir=folder, delete=False) as f:
+                    f.write(str(out.column("n")[0].as_py()))
+                yield out
+
+        return noted
+
+    monkeypatch.setattr(lm, "_trained", counting)
+    assert lm.score(spark.createDataFrame(texts, "doc_id long, text string").repartition(3), most_windows=50).count() == len(texts)
+    with open(lm.tokenizer_file(), "rb") as f:
+        e = lm.encoder(f.read(), lm.PATTERN)
+    want = [len(e.encode_ordinary(t)) // lm.WINDOW + 1 for k, t in texts if zlib.crc32(str(k).encode()) % 7 != 2]
+    assert sum(int(p.read_text()) for p in tmp_path.iterdir()) == sum(want) > 500
+
+
+def test_lm_training_takes_windows_as_they_come(monkeypatch):
+    monkeypatch.setattr(lm, "MIXED", 40)
+    monkeypatch.setattr(lm, "BATCH", 16)
+    m = small_model()
+    rng = np.random.default_rng(9)
+    texts = [rng.integers(0, lm.END, n).astype(np.uint16).tobytes() for n in (0, 31, 32, 700, 3000, 5)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[k : k + 2], pa.binary())], ["ids"]) for k in (0, 2, 4)]
+    [got] = lm._trained(SimpleNamespace(value=(m.embed, m.classes)), m.weights, 0.01)(batches)
+    windows = [lm._cut(t) for t in texts]
+    adam = lm.Adam(m.embed, m.classes, m.weights, 0.01, 16)
+    adam.pass_over(np.concatenate(windows[:5]))  # 1, 1, 2, 22 and 94: the first 40 are there with the fifth text
+    adam.pass_over(windows[5])
+    many = sum(map(len, windows))
+    assert many == 121 and got.column("n").to_pylist() == [many] * lm.Model.size()
+    assert np.allclose(np.array(got.column("value")) / many, adam.flat) and not np.allclose(adam.flat, m.weights)
+    assert list(lm._trained(SimpleNamespace(value=(m.embed, m.classes)), m.weights, 0.01)([])) == []
+
+
 def test_lm_padding_changes_no_slope():
     m = small_model()
     ids = np.random.default_rng(7).integers(0, lm.END, (2, lm.WINDOW + 1))
