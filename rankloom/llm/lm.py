@@ -588,7 +588,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", token
 
     id_counts = _as_array(training.select("ids").mapInArrow(_id_counts, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), VOCABULARY)
     total = training.agg(F.coalesce(F.sum(F.floor(F.octet_length("ids") / (2 * WINDOW)) + 1), F.lit(0))).first()[0]
-    windows = kept(training.select("ids").mapInArrow(_windows(max(every, -(-total // most_windows))), "window binary, key long"), "windows")
+    windows = kept(training.select("ids").mapInArrow(_windows(max(every, -(-total // max(1, most_windows)))), "window binary, key long"), "windows")
     # copies of a text have windows of one key: a row's number sets them apart
     some = sorted((r["key"], r["window"]) for r in some_rows(windows.withColumn("row", F.monotonically_increasing_id()), F.xxhash64("window", "key", "row"), most_windows))
     drop(windows)

@@ -640,6 +640,11 @@ def test_lm_trains_on_all_windows_of_all_training_texts(spark, tmp_path, monkeyp
     assert sum(int(p.read_text()) for p in tmp_path.iterdir()) == sum(want) > 500
 
 
+def test_lm_without_first_steps(spark):
+    got = lm.score(spark.createDataFrame([(1, "a b c"), (2, None)], "doc_id long, text string"), most_windows=0).collect()
+    assert len(got) == 2 and all(r["score"] < 0 for r in got)
+
+
 def test_lm_training_takes_windows_as_they_come(monkeypatch):
     monkeypatch.setattr(lm, "MIXED", 40)
     monkeypatch.setattr(lm, "BATCH", 16)
