@@ -25,6 +25,7 @@ from __future__ import annotations
 import base64
 import re
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -43,16 +44,21 @@ CONTEXT, SINGLE = 256, 192
 WINDOW, STRIDE = 32, 24
 #: Windows in a step of training in Spark, and how many are mixed at a time.
 BATCH, MIXED = 128, 1 << 15
+#: Windows whose slopes, or scores, are computed at a time.  A sum of exp of scores below HIGH has no score above 80; one above LOW has lost nothing.
+BLOCK, SCORED, LOW, HIGH = 32, 64, 1e-30, 5e34
 LONG = 1000
 #: Blanks as the subword pattern has them: \s of ``re`` has \x1c-\x1f besides.
 _BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Whole words and, as group 1, whole gaps of over LONG code points.
 _LONG_RUNS = re.compile(rf"(?<![^{_BLANK}])[^{_BLANK}]{{{LONG + 1},}}|(?<![{_BLANK}])([{_BLANK}]{{{LONG + 1},}})")
+#: Two blanks side by side.
+_GAPS = re.compile(f"[{_BLANK}][{_BLANK}]")
 _encoders: dict[int, object] = {}
 
 
 #: Fixed value: how the vocabulary's texts are cut before pairs are merged.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+GAPS = r"\s+(?!\S)|\s+"
 
 
 def tokenizer_file() -> str:
@@ -64,7 +70,7 @@ def tokenizer_file() -> str:
 
 def encoder(ranks: bytes, pattern: str):
     """A tiktoken encoding of the ranks' file content, made once in each process."""
-    key = hash(ranks)
+    key = hash((ranks, pattern))
     if key not in _encoders:
         import tiktoken
 
@@ -90,6 +96,11 @@ def subwords(text: str, encode, has_long: bool = True) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.uint32), *(np.asarray(encode(text[a:b])) for a, b in zip(cuts, cuts[1:], strict=False) if a < b)])
 
 
+def encoders(ranks: bytes, pattern: str):
+    """Texts to ids: any texts, and those without two blanks side by side.  There the look-ahead at what follows a gap decides nothing, and a pattern without it cuts faster."""
+    return tuple(partial(encoder(ranks, p).encode_to_numpy, disallowed_special=()) for p in (pattern, pattern.replace(GAPS, r"\s+")))
+
+
 def has_long_runs(start: np.ndarray, end: np.ndarray, first: np.ndarray, texts: list[bytes]) -> np.ndarray:
     """Which texts have a word, or a gap between words, of LONG bytes or more."""
     n = len(texts)
@@ -132,7 +143,8 @@ class Model:
 
     def slope(self, ids: np.ndarray, flat: np.ndarray) -> tuple[float, np.ndarray]:
         """Mean loss over windows ids (n, t + 1), whose last column is a target only, and its gradient; PAD, which may end a window, is no target."""
-        return Slopes(self.embed, self.classes, *np.subtract(ids.shape, (0, 1)))(ids, flat)
+        slopes = Slopes(self.embed, self.classes, *np.subtract(ids.shape, (0, 1)))
+        return slopes(*slopes.read(ids), flat, True)
 
     def steps(self, windows: np.ndarray, flat: np.ndarray, rate: float, batch: int = 64, seed: int = 3) -> np.ndarray:
         """Adam over the windows once."""
@@ -143,8 +155,9 @@ class Model:
     def scores(self, sequences: list[np.ndarray]) -> np.ndarray:
         """log10 probability of each id sequence with its end; its start follows an end."""
         a, b, c1, c2, bias, far = self.parts()
-        embedded, asking, direct = self._tables(a, b, c1, bias)
-        near = np.exp(_distances(far, WINDOW))  # zero above the diagonal
+        embedded, asking, direct = self._tables(a, c1, bias)
+        brought = b @ c2  # what attention brings goes to the classes at once
+        near = np.tril(np.exp(_distances(far, WINDOW)))  # true zeros ahead, as in training
         n = [len(s) + 1 for s in sequences]  # tokens to score
         flat = np.full(sum(n) + len(n) + WINDOW, END, np.int64)
         begin = np.r_[0, np.cumsum(np.array(n) + 1)][:-1].astype(np.int64)
@@ -158,107 +171,128 @@ class Model:
         skip = np.where(turn > 0, WINDOW - STRIDE, 0)
         out = np.zeros(len(n))
         col = np.arange(WINDOW)
-        ones = np.ones(CLASSES, np.float32)
-        one_row = np.ones((WINDOW, 1), np.float32)
+        ones = np.ones(max(CLASSES, WINDOW), np.float32)
+        share = self.share.ravel()
         # windows inside a text score the same columns and need no mask; its first and last ones do
         inner = (turn > 0) & (left >= WINDOW)
         for masked, chosen in ((False, np.flatnonzero(inner)), (True, np.flatnonzero(~inner))):
             new = 0 if masked else WINDOW - STRIDE  # the first column that any of these windows scores
-            for k in range(0, len(chosen), 128):
-                own = chosen[k : k + 128]
+            most, t = min(SCORED, len(chosen)), WINDOW - new
+            arrays = [np.empty(shape, np.float32) for shape in ((most, WINDOW, WIDTH), (most, t, WIDTH), (most, WIDTH, WINDOW), (most, t, WINDOW), (most, t, WIDTH), (most, t, CLASSES), (most, t, CLASSES))]
+            for k in range(0, len(chosen), SCORED):
+                own = chosen[k : k + SCORED]
+                rows, asked, across, p, h, z, own_part = (x[: len(own)] for x in arrays)
                 at = place[own, None] + col
                 ids = flat[np.minimum(at, len(flat) - 2)]
-                rows = embedded[ids]
-                p = np.matmul(asking[ids[:, new:]], rows[..., :WIDTH].transpose(0, 2, 1))
-                np.exp(p, out=p)
-                p *= near[new:]
-                h = np.matmul(p, rows[..., WIDTH:])
-                h /= np.matmul(p, one_row)
                 before = ids[:, new:]
                 target = flat[np.minimum(at[:, new:] + 1, len(flat) - 1)]
-                if masked:
-                    use = (col >= skip[own, None]) & (col < left[own, None])
-                    h, before, target, many_of = h[use], before[use], target[use], use.sum(1)
-                else:
-                    h, before, target, many_of = h.reshape(-1, WIDTH), before.ravel(), target.ravel(), STRIDE
-                z = h @ c2
-                z += direct[before]
-                hit = z[np.arange(len(z)), self.classes[target]]
+                embedded.take(ids, 0, out=rows, mode="clip")
+                asking.take(before, 0, out=asked, mode="clip")
+                np.copyto(across, rows.transpose(0, 2, 1))
+                np.matmul(asked, across, out=p)
+                np.exp(p, out=p)
+                p *= near[new:]
+                np.matmul(p, rows, out=h)
+                h *= (1 / np.matmul(p.reshape(-1, WINDOW), ones[:WINDOW])).reshape(-1, t, 1)
+                np.matmul(h.reshape(-1, WIDTH), brought, out=z.reshape(-1, CLASSES))
+                z += direct.take(before, 0, out=own_part, mode="clip")
+                hit = z.ravel()[np.arange(before.size) * CLASSES + self.classes.take(target).ravel()].reshape(before.shape)
                 np.exp(z, out=z)
-                value = hit - np.log(z @ ones) + self.share[target, self.column[before]]
-                out += np.bincount(np.repeat(doc[own], many_of), value, len(n))
+                value = hit - np.log(np.matmul(z.reshape(-1, CLASSES), ones[:CLASSES])).reshape(before.shape) + share.take(target * CONTEXT + self.column.take(before))
+                if masked:
+                    value[(col < skip[own, None]) | (col >= left[own, None])] = 0
+                out += np.bincount(doc[own], value.sum(1, dtype=float), len(n))
         return out / np.log(10)
 
-    def _tables(self, a: np.ndarray, b: np.ndarray, c1: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Of each id: its embedding and what it gives to who attends to it; what it asks for; its own part of the next class's scores."""
+    def _tables(self, a: np.ndarray, c1: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of each id: its embedding; what it asks for; its own part of the next class's scores."""
         if not hasattr(self, "_rows"):
-            self._rows = tuple(np.ascontiguousarray(x, np.float32) for x in (np.concatenate([self.embed, self.embed @ b], 1), self.embed @ a, self.embed @ c1 + bias))
+            self._rows = tuple(np.ascontiguousarray(x, np.float32) for x in (self.embed, self.embed @ a, self.embed @ c1 + bias))
         return self._rows
 
 
 class Slopes:
-    """Losses and gradients over up to n windows of t tokens, in arrays that are made once: half of the time would go into making them anew."""
+    """Losses and gradients over windows of t tokens, some at a time in arrays that are made once and stay in a core's cache: most of the time would go into moving them."""
 
     def __init__(self, embed: np.ndarray, classes: np.ndarray, n: int, t: int):
-        self.embed, self.classes, self.t = np.ascontiguousarray(embed, np.float32), classes.astype(np.int16), t
+        n = min(n, BLOCK)
+        self.classes, self.t, self.n = classes.astype(np.intp), t, n
+        self.embed = np.ascontiguousarray(embed, np.float32)
         self.gap = np.maximum(np.arange(t)[:, None] - np.arange(t)[None], 0).ravel()
-        wide = {"x": WIDTH, "asking": WIDTH, "given": WIDTH, "dh": WIDTH, "x_h": 2 * WIDTH, "back": 2 * WIDTH, "z": CLASSES}
-        self.rows = {name: np.empty((n * t, width), np.float32) for name, width in wide.items()}
-        self.across = {name: np.empty((n, WIDTH, t), np.float32) for name in ("x", "given")}
-        self.pairs = {name: np.empty((n, t, t), np.float32) for name in ("p", "turned", "dp")}
-        self.h = np.empty((n, t, WIDTH), np.float32)
-
-    def __call__(self, ids: np.ndarray, flat: np.ndarray) -> tuple[float, np.ndarray]:
-        n, t, d = len(ids), self.t, WIDTH
-        a, b, c1, c2, bias, far = Model.parts(self, flat)
-        x, asking, given, dh, x_h, back, z = (r[: n * t] for r in self.rows.values())
-        x_across, given_across = (r[:n] for r in self.across.values())
-        p, turned, dp = (r[:n] for r in self.pairs.values())
-        h = self.h[:n]
-        by_window = lambda r: r.reshape(n, t, d)
-        target = ids[:, 1:].ravel()
+        self.first = np.arange(n * t) * CLASSES
+        self.x_h, self.z = np.empty((n * t, 2 * WIDTH), np.float32), np.empty((n * t, CLASSES), np.float32)
+        self.rows = [np.empty((n * t, WIDTH), np.float32) for _ in range(3)]
+        self.pairs = [np.empty((n, t, t), np.float32) for _ in range(2)]
+        self.across = np.empty((n, WIDTH, t), np.float32)
+        self.ones = np.ones(max(n * t, CLASSES), np.float32)
+
+    def read(self, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of windows (n, t + 1), whose last column is a target only: the token before each target, the target's class, and whether it is one."""
+        before, target = ids[:, :-1].ravel(), ids[:, 1:].ravel()
         use = target != PAD
-        before = ids[:, :-1].ravel()
-        self.embed.take(np.where(before != PAD, before, END), 0, out=x, mode="clip")  # no target attends to what is behind it
+        # no target attends to what is behind it, so any token will do there
+        return np.where(before != PAD, before, END).astype(np.intp), self.classes.take(np.where(use, target, END)), use
+
+    def __call__(self, before: np.ndarray, target: np.ndarray, use: np.ndarray, flat: np.ndarray, with_loss: bool = False) -> tuple[float, np.ndarray]:
+        """Mean loss, 0 unless asked for, and its gradient over whole windows as ``read`` gives them.  Embeddings are not learned, so what attention brings is taken as it is and meets b @ c2 at once."""
+        a, b, c1, c2, bias, far = Model.parts(self, flat)
+        near = np.tril(np.exp(_distances(far, self.t)))  # a true zero ahead: tiny numbers take a hundred times as long
+        brought = b @ c2
+        weights = a, np.concatenate([c1, brought]), brought, bias, near
+        many, step = max(1, int(use.sum())), self.n * self.t
+        sums = [self._block(before[k : k + step], target[k : k + step], use[k : k + step], many, with_loss, *weights) for k in range(0, len(before), step)]
+        loss, by_a, by_class, by_bias, by_pair = (sum(x) for x in zip(*sums, strict=True))
+        by_gap = np.zeros(WINDOW)
+        by_gap[: self.t] = np.bincount(self.gap, by_pair, self.t)  # nothing is attended ahead: by_pair is zero there
+        by_brought = by_class[WIDTH:]
+        grads = (by_a, by_brought @ c2.T, by_class[:WIDTH], b.T @ by_brought, by_bias, by_gap)
+        return loss / many, np.concatenate([g.ravel() for g in grads]).astype(np.float32)
+
+    def _block(self, before, target, use, many, with_loss, a, c, brought, bias, near):
+        """Sums of losses over windows, and of gradients by a, by the classes' weights, by their bias and by pairs of places."""
+        t, d, rows = self.t, WIDTH, len(before)
+        n = rows // t
+        x_h, z = self.x_h[:rows], self.z[:rows]
+        x, asking, dh = (r[:rows] for r in self.rows)
+        p, dp, across = (r[:n] for r in (*self.pairs, self.across))
+        by_window = lambda r: r.reshape(n, t, -1)
         # forward: attention, what it brings, scores of classes
+        self.embed.take(before, 0, out=x, mode="clip")
+        np.copyto(across, by_window(x).transpose(0, 2, 1))
         np.matmul(x, a, out=asking)
-        np.matmul(x, b, out=given)
-        np.copyto(x_across, by_window(x).transpose(0, 2, 1))
-        np.matmul(by_window(asking), x_across, out=p)
+        np.matmul(by_window(asking), across, out=p)
         np.exp(p, out=p)
-        p *= np.tril(np.exp(_distances(far, t)))  # a true zero ahead: tiny numbers take a hundred times as long
-        p /= np.matmul(p.reshape(-1, t), np.ones((t, 1), np.float32)).reshape(n, t, 1)
-        np.matmul(p, by_window(given), out=h)
+        p *= near
+        p *= (1 / np.matmul(p.reshape(-1, t), self.ones[:t])).reshape(n, t, 1)
         x_h[:, :d] = x
-        x_h[:, d:] = h.reshape(-1, d)
-        np.matmul(x_h, np.concatenate([c1, c2]), out=z)
-        z += bias
-        np.minimum(z, 80, out=z)
-        at = np.arange(n * t) * CLASSES + self.classes[np.where(use, target, END)]
-        hit = z.ravel()[at]
+        np.matmul(p, by_window(x), out=by_window(x_h)[..., d:])
+        np.matmul(x_h, c, out=z)
+        hit = self.first[:rows] + target
+        loss = -float((z.ravel()[hit] + bias[target])[use].clip(None, 80).sum()) if with_loss else 0.0
+        # a class's exp of bias multiplies sums, so that z needs no more than one exp
         np.exp(z, out=z)
-        total = np.matmul(z, np.ones(CLASSES, np.float32))
-        many = max(1, int(use.sum()))
-        loss = float((np.log(total) - hit)[use].sum()) / many
-        # backward; z becomes the slope by the scores of classes
-        z *= (use / (total * np.float32(many)))[:, None].astype(np.float32)
-        z.ravel()[at] -= (use / many).astype(np.float32)
-        by_class = np.matmul(x_h.T, z)
-        np.matmul(z, c2.T, out=dh)
-        np.copyto(turned, p.transpose(0, 2, 1))
-        np.matmul(turned, by_window(dh), out=h)
-        back[:, d:] = h.reshape(-1, d)
-        np.copyto(given_across, by_window(given).transpose(0, 2, 1))
-        np.matmul(by_window(dh), given_across, out=dp)
-        dp -= np.einsum("ij,ij->i", dh, x_h[:, d:]).reshape(n, t, 1)
+        times = np.exp(bias)
+        total = np.matmul(z, times)
+        if not (total.min() > LOW and total.max() < HIGH):  # scores end at 80
+            np.matmul(x_h, c, out=z)
+            z += bias
+            np.minimum(z, 80, out=z)
+            np.exp(z, out=z)
+            times = self.ones[:CLASSES]
+            total = np.matmul(z, times)
+        if with_loss:
+            loss += float(np.log(total)[use].sum())
+        # backward; z becomes the slope by the scores of classes, over ``times``
+        use = use / np.float32(many)
+        z *= (use / total)[:, None]
+        z.ravel()[hit] -= use / times[target]
+        np.matmul(z, (brought * times).T, out=dh)
+        np.matmul(by_window(dh), across, out=dp)
+        dp -= np.vecdot(dh, x_h[:, d:]).reshape(n, t, 1)
         dp *= p
-        np.matmul(dp, by_window(x), out=h)
-        back[:, :d] = h.reshape(-1, d)
-        by_given = np.matmul(x.T, back)
-        by_gap = np.zeros(WINDOW)
-        by_gap[:t] = np.bincount(self.gap, dp.sum(0).ravel(), t)  # nothing is attended ahead: dp is zero there
-        grads = (by_given[:, :d], by_given[:, d:], by_class[:d], by_class[d:], np.matmul(np.ones(n * t, np.float32), z), by_gap)
-        return loss, np.concatenate([g.ravel() for g in grads]).astype(np.float32)
+        back = asking
+        np.matmul(dp, by_window(x), out=by_window(back))
+        return loss, np.matmul(x.T, back), np.matmul(x_h.T, z) * times, np.matmul(self.ones[:rows], z) * times, np.matmul(self.ones[:n], dp.reshape(n, -1))
 
 
 class Adam:
@@ -271,9 +305,10 @@ class Adam:
 
     def pass_over(self, windows: np.ndarray) -> None:
         """A step for each batch of the windows, in random order."""
-        order = self.rng.permutation(len(windows))
-        for at in range(0, len(order), self.batch):
-            _, g = self.slopes(windows[order[at : at + self.batch]], self.flat)
+        read = self.slopes.read(windows[self.rng.permutation(len(windows))])
+        step = self.batch * WINDOW
+        for at in range(0, len(windows) * WINDOW, step):
+            _, g = self.slopes(*(x[at : at + step] for x in read), self.flat)
             self.k += 1
             self.m = 0.9 * self.m + 0.1 * g
             self.s = 0.99 * self.s + 0.01 * g * g
@@ -341,7 +376,7 @@ def fit(windows: np.ndarray, counts: np.ndarray, following: np.ndarray, precedin
     return model
 
 
-_READ = "u long, id long, held_out boolean, ids binary, n_words long, known array<int>, known_n array<int>, rare array<long>, rare_n array<int>"
+_READ = "u long, id long, held_out boolean, ids binary, n_words long, known binary, known_n binary, rare array<long>, rare_n array<int>"
 
 
 def _read(ranks, frequent):
@@ -349,8 +384,7 @@ def _read(ranks, frequent):
 
     def run(batches):
         data, pattern = ranks.value
-        encoding = encoder(data, pattern)
-        encode = lambda text: encoding.encode_to_numpy(text, disallowed_special=())
+        encode, encode_single = encoders(data, pattern)
         table = frequent.value
         for batch in batches:
             for row, texts in W.chunks(batch.column("text")):
@@ -364,15 +398,19 @@ def _read(ranks, frequent):
                 new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(h) else np.empty(0, np.int64)
                 many = np.diff(np.r_[new, len(h)]).astype(np.int32)
                 h, of = h[order[new]], of[order[new]]
-                by_text = np.argsort(of, kind="stable")
+                by_text = np.argsort(of.astype(np.min_scalar_type(len(texts))), kind="stable")
                 h, of, many = h[by_text], of[by_text], many[by_text]
-                at = np.minimum(np.searchsorted(table, h), max(len(table) - 1, 0))
+                at, by_hash = np.empty(len(h), np.int64), np.argsort(h)  # neighbours in the table one after another
+                at[by_hash] = np.minimum(np.searchsorted(table, h[by_hash]), max(len(table) - 1, 0))
                 is_known = table[at] == h if len(table) else np.zeros(len(h), bool)
-                lists = []
-                for part, value in ((is_known, at.astype(np.int32)), (~is_known, h.view(np.int64))):
-                    offsets = np.r_[0, np.cumsum(np.bincount(of[part], minlength=len(texts)))].astype(np.int32)
-                    lists += [pa.ListArray.from_arrays(offsets, value[part]), pa.ListArray.from_arrays(offsets, many[part])]
-                ids = [subwords(t.translate(W.LOWER).decode("utf-8", "replace"), encode, x).astype(np.uint16).tobytes() for t, x in zip(texts, long, strict=True)]
+                ends = lambda part: np.r_[0, np.cumsum(np.bincount(of[part], minlength=len(texts)))].astype(np.int32)  # noqa: E731, B023
+                # the frequent words are read by workers only, which take bytes at a fraction of the time of arrays
+                offsets = pa.py_buffer(ends(is_known) * np.int32(4))
+                lists = [pa.Array.from_buffers(pa.binary(), len(texts), [None, offsets, pa.py_buffer(x[is_known])]) for x in (at.astype(np.int32), many)]
+                offsets = ends(~is_known)
+                lists += [pa.ListArray.from_arrays(offsets, x[~is_known]) for x in (h.view(np.int64), many)]
+                lower = [t.translate(W.LOWER).decode("utf-8", "replace") for t in texts]
+                ids = [subwords(t, encode if x or _GAPS.search(t) else encode_single, x).astype(np.uint16).tobytes() for t, x in zip(lower, long, strict=True)]
                 own = batch.slice(row, len(texts))
                 yield pa.RecordBatch.from_arrays([own.column("u"), own.column("id"), own.column("held_out"), pa.array(ids, pa.binary()), pa.array(np.diff(first)), *lists], [x.split()[0] for x in _READ.split(", ")])
 
@@ -439,11 +477,16 @@ def _neighbours(training: DataFrame, counts: np.ndarray) -> np.ndarray:
     return out.reshape(2, VOCABULARY, CONTEXT)
 
 
+def _numbers(column: pa.Array) -> np.ndarray:
+    """The 32-bit numbers that a column's rows hold as bytes."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.int32)
+
+
 def _word_counts(size: int):
     def run(batches):
         total = np.zeros(size, np.int64)
         for batch in batches:
-            total += np.bincount(batch.column("known").flatten().to_numpy(), batch.column("known_n").flatten().to_numpy(), size).astype(np.int64)
+            total += np.bincount(_numbers(batch.column("known")), _numbers(batch.column("known_n")), size).astype(np.int64)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["token", "n"])
 
@@ -460,10 +503,13 @@ def _cut(data: bytes) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(s, WINDOW + 1)[::WINDOW]
 
 
-def _marks(data: bytes, n: int) -> np.ndarray:
-    """Hashes of a text's windows, by its ids and the window's place."""
-    seed = np.uint64(len(data)) + (np.frombuffer(data[:64].ljust(64, b"\0"), np.uint64) * W._SHINGLE[:8]).sum()
-    return W.mix(np.arange(n, dtype=np.uint64) + seed)
+def _marks(texts: list[bytes], many: list[int]) -> np.ndarray:
+    """Hashes of texts' windows one after another, by the text's ids and the window's place."""
+    heads = np.frombuffer(b"".join(x[:64].ljust(64, b"\0") for x in texts), np.uint64).reshape(-1, 8)
+    seed = np.array([len(x) for x in texts], np.uint64) + (heads * W._SHINGLE[:8]).sum(1)
+    many = np.array(many)
+    place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    return W.mix(place.astype(np.uint64) + np.repeat(seed, many))
 
 
 def _windows(every: int):
@@ -471,14 +517,14 @@ def _windows(every: int):
 
     def run(batches):
         for batch in batches:
-            out, key = [], []
-            for x in batch.column("ids"):
-                data = x.as_py()
-                windows = _cut(data)
-                mark = _marks(data, len(windows))
-                for k in np.flatnonzero(mark % np.uint64(every) == 0).tolist():
-                    out.append(windows[k].tobytes())
-                    key.append(int(mark[k] >> np.uint64(1)))
+            texts = batch.column("ids").to_pylist()
+            many = [len(x) // 2 // WINDOW + 1 for x in texts]
+            mark = _marks(texts, many)
+            chosen = np.flatnonzero(mark % np.uint64(every) == 0)
+            first = np.cumsum(many) - many
+            of = np.searchsorted(first, chosen, "right") - 1
+            out = [_cut(texts[i])[k].tobytes() for i, k in zip(of.tolist(), (chosen - first[of]).tolist(), strict=True)]
+            key = (mark[chosen] >> np.uint64(1)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(key, pa.int64())], ["window", "key"])
 
     return run
@@ -501,7 +547,7 @@ def _trained(shared, flat: np.ndarray, rate: float, every: int = 1):
             for x in batch.column("ids"):
                 data = x.as_py()
                 windows = _cut(data)
-                held.append(windows if every == 1 else windows[_marks(data, len(windows)) % np.uint64(every) == 0])
+                held.append(windows if every == 1 else windows[_marks([data], [len(windows)]) % np.uint64(every) == 0])
                 waiting += len(held[-1])
                 if waiting >= MIXED:
                     step()
@@ -529,8 +575,8 @@ def _scored(shared, logs):
                     j += 1
                 score[k:j] = model.scores(ids[k:j])
                 k = j
-            at, n = (batch.column(c).flatten().to_numpy() for c in ("known", "known_n"))
-            of = np.repeat(np.arange(len(ids)), [len(x) if x.is_valid else 0 for x in batch.column("known")])
+            at, n = (_numbers(batch.column(c)) for c in ("known", "known_n"))
+            of = np.repeat(np.arange(len(ids)), [len(x.as_py()) // 4 for x in batch.column("known")])
             sums = np.bincount(of, log_known[at] * n, len(ids)) if len(at) else np.zeros(len(ids))
             hits = np.bincount(of, is_known[at] * n, len(ids)).astype(np.int64) if len(at) else np.zeros(len(ids), np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("u", "id", "held_out", "n_words")), pa.array(score), pa.array(sums), pa.array(hits)], ["u", "id", "held_out", "n_words", "score", "sums", "hits"])

@@ -707,3 +707,55 @@ def test_subwords_around_long_runs_are_the_usual_ones():
         assert got[: len(left)] == left and got[-len(right) :] == right
     plain = before + " " + "x" * 1000 + " " + after
     assert list(lm.subwords(plain, encode, True)) == list(encode(plain))
+
+
+def test_subwords_without_look_ahead_are_the_usual_ones():
+    with open(lm.tokenizer_file(), "rb") as f:
+        encode, encode_single = lm.encoders(f.read(), lm.PATTERN)
+    rng = np.random.default_rng(11)
+    bits = ["the", "can't", "'s", "'", "x" * 30, "été", "数字", "12", "³", "!?", "\x1c", "\x1f", "_", "é́", "​", "🙂"]
+    gaps = [" ", "\n", "\t", "\x85", "\xa0", "　", "", ""]
+    for _ in range(600):
+        n = rng.integers(0, 9)
+        text = "".join(gaps[g] + bits[b] for g, b in zip(rng.integers(0, len(gaps), n), rng.integers(0, len(bits), n), strict=True)) + gaps[rng.integers(len(gaps))]
+        assert not lm._GAPS.search(text) and encode_single(text).tolist() == encode(text).tolist()
+    assert encode_single("a  b").tolist() != encode("a  b").tolist()
+    assert all(lm._GAPS.search("a" + x + y + "b") for x in gaps[:6] for y in gaps[:6])
+
+
+def test_lm_slopes_multiply_no_more_than_they_must(monkeypatch):
+    m = small_model()
+    windows = np.random.default_rng(12).integers(0, lm.END, (256, lm.WINDOW + 1)).astype(np.uint16)
+    adam, done, matmul = lm.Adam(m.embed, m.classes, m.weights, 0.01, 128), [], np.matmul
+
+    def counting(a, b, **more):
+        done.append(a.size * (b.shape[-1] if b.ndim > 1 else 1))
+        return matmul(a, b, **more)
+
+    monkeypatch.setattr(lm, "np", SimpleNamespace(**{**vars(np), "matmul": counting}))
+    adam.pass_over(windows)
+    # with values and their slopes in products of their own: 627,000 a window
+    assert sum(done) / len(windows) < 540_000
+
+
+def test_lm_slopes_of_scores_beyond_bounds(monkeypatch):
+    m = small_model()
+    ids = np.random.default_rng(13).integers(0, lm.END, (70, lm.WINDOW + 1))
+    loss, g = m.slope(ids, m.weights)
+    monkeypatch.setattr(lm, "HIGH", 0.0)
+    other, h = m.slope(ids, m.weights)
+    assert abs(loss - other) < 1e-5 and np.abs(g - h).max() < 1e-6
+    flat = m.weights.copy()
+    m.parts(flat)[4][:] += np.where(np.arange(lm.CLASSES) == 5, 200, 0)  # a score ends at 80
+    monkeypatch.undo()
+    loss, g = m.slope(ids, flat)
+    assert np.isfinite(loss) and np.isfinite(g).all() and 70 < loss < 85
+
+
+def test_lm_windows_are_chosen_by_text_and_place():
+    rng = np.random.default_rng(14)
+    texts = [rng.integers(0, lm.END, n).astype(np.uint16).tobytes() for n in (0, 31, 32, 700, 3000, 5)]
+    [got] = lm._windows(3)([pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], ["ids"])])
+    alone = [w for t in texts for r in lm._windows(3)([pa.RecordBatch.from_arrays([pa.array([t], pa.binary())], ["ids"])]) for w in zip(r.column("window").to_pylist(), r.column("key").to_pylist(), strict=True)]
+    assert list(zip(got.column("window").to_pylist(), got.column("key").to_pylist(), strict=True)) == alone and 20 < len(alone) < 60
+    assert {w for w, _ in alone} <= {w.tobytes() for t in texts for w in lm._cut(t)}
